@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cws import op7_fingerprints
+from .licences import op4_licences
 from .mixing import op2_mixing
 from .simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_mixing, op6_simhash)}
+    return {q.__name__: q for q in (op2_mixing, op4_licences, op6_simhash, op7_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
