@@ -10,10 +10,11 @@ from .cws import op7_fingerprints
 from .licences import op4_licences
 from .mixing import op2_mixing
 from .simhash import op6_simhash
+from .tokenfile import op9_tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_mixing, op4_licences, op6_simhash, op7_fingerprints)}
+    return {q.__name__: q for q in (op2_mixing, op4_licences, op6_simhash, op7_fingerprints, op9_tokenfile)}
 
 
 def oracle_sql() -> dict[str, str]:
