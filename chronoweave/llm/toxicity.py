@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 Words (runs of letters, digits and non-ASCII bytes, ASCII case folded) are hashed to BUCKETS
-embeddings. For each filter width, filters slide over the words of a text; each filter's largest
+embeddings, and so are their first PREFIX bytes; a word is the sum of the two, so that what is learnt
+of a word carries over to words that begin alike. For each filter width, filters slide over the words of a text; each filter's largest
 response in the text is a feature, and a logistic layer weighs the features. Scoring needs no matrix
 product: for each width and place the filters are applied to the whole embedding table once, so a text is
 gathers, sums and maxima over its words, whatever its length.
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, encode, ship, slices, span_hashes, table
+from .common import FOLD, encode, mix, ship, slices, span_hashes, table
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 #: Labelled texts that a fit sees at most, and their bytes at most (whole texts; see ``sample``).
 FIT, FIT_BYTES = 6000, 24 << 20
+#: Bytes of a word's beginning that has an embedding too.
+PREFIX = 6
 EPOCHS, RATE, BATCH = 6, 0.02, 128
 #: Score that counts as toxic, and texts a language needs for a threshold of its own.
 THRESHOLD, ENOUGH = 0.3, 40
@@ -40,13 +43,16 @@ IN_WORD[128:] = True
 
 
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, and where each text's begin (one more at the end)."""
+    """Buckets of all words and of their beginnings (n, 2), and where each text's begin (one more at the end)."""
     data, offsets = encode(texts)
     inside = IN_WORD[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    ids = (span_hashes(FOLD[data], starts, ends) >> np.uint64(64 - 16)).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
-    return ids, np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros((0, 2), np.int32), np.zeros(len(offsets), np.int64)
+    folded = FOLD[data]
+    both = [span_hashes(folded, starts, ends), mix(span_hashes(folded, starts, np.minimum(ends, starts + PREFIX)) + np.uint64(1))]
+    return (np.stack(both, axis=1) >> np.uint64(64 - 16)).astype(np.int32), np.searchsorted(starts, offsets)
 
 
 @dataclass
@@ -85,9 +91,7 @@ class Model:
                 if b <= a:
                     continue
                 own = slice(t * FILTERS, (t + 1) * FILTERS)
-                response = places[0][ids[a:b]]
-                for j in range(1, w):
-                    response = response + places[j][ids[a + j : b + j]]
+                response = sum(places[j][ids[a + j : b + j, side]] for j in range(w) for side in (0, 1))
                 at = response.argmax(axis=0)
                 value = response[at, np.arange(FILTERS)] + self.bias[own]
                 best[i, own] = np.maximum(value, 0)
@@ -112,9 +116,9 @@ class Model:
             own, live = slice(t * FILTERS, (t + 1) * FILTERS), np.flatnonzero(sizes >= w)
             if not len(live):
                 continue
-            response = places[0][ids[: len(ids) - w + 1]]
-            for j in range(1, w):
-                response += places[j][ids[j : len(ids) - w + 1 + j]]
+            response = places[0][ids[: len(ids) - w + 1, 0]]
+            for j, side in ((j, side) for j in range(w) for side in (0, 1) if j or side):
+                response += places[j][ids[j : len(ids) - w + 1 + j, side]]
             if w > 1:  # windows that run into the next text don't count
                 last = begin[1:][sizes > 0]
                 for j in range(1, w):
@@ -139,7 +143,7 @@ def start(ids: np.ndarray, begin: np.ndarray, y: np.ndarray, seed: int = 5) -> M
     odds = np.log(df[1] / n[1]) - np.log(df[0] / n[0])
     support = df.sum(axis=0) - 1
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    embed[:, 0] = np.where(support > 1, np.clip(odds, -4, 4), 0)
+    embed[:, 0] = np.where(support > 1, np.clip(odds, -4, 4), 0) / 2
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0, : FILTERS // 2] += 1.0 / len(f)
@@ -155,7 +159,7 @@ def fit(texts: list, labels: list[int], languages: list, seed: int = 5) -> Model
     rate = (y.sum() + 0.5) / (len(y) + 1)
     ids, begin = word_ids(texts)
     if len(set(labels)) < 2:
-        model = start(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+        model = start(np.zeros((0, 2), np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
         model.out[:] = 0
         model.shift, model.thresholds = float(np.log(rate / (1 - rate))), {}
         return model
@@ -165,7 +169,7 @@ def fit(texts: list, labels: list[int], languages: list, seed: int = 5) -> Model
     train, check = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(y))
     words = [ids[begin[i] : begin[i + 1]] for i in range(len(y))]
     edges = lambda rows: np.concatenate(([0], np.cumsum([len(words[i]) for i in rows])))
-    join = lambda rows: np.concatenate([words[i] for i in rows]) if len(rows) else np.zeros(0, np.int32)
+    join = lambda rows: np.concatenate([words[i] for i in rows]) if len(rows) else np.zeros((0, 2), np.int32)
     model = start(join(train), edges(train), y[train], seed)
     rng, state = np.random.default_rng(seed), {}
     weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
@@ -198,9 +202,9 @@ def fit(texts: list, labels: list[int], languages: list, seed: int = 5) -> Model
                 slope = np.zeros_like(f)
                 for j in range(len(f)):
                     word = own[first + j]
-                    np.add.at(slope[j].T, filt, amount[:, None] * model.embed[word])
-                    touched.append(word)
-                    slopes.append(amount[:, None] * f[j][:, filt].T)
+                    np.add.at(slope[j].T, filt, amount[:, None] * (model.embed[word[:, 0]] + model.embed[word[:, 1]]))
+                    touched += [word[:, 0], word[:, 1]]
+                    slopes += [amount[:, None] * f[j][:, filt].T] * 2
                 adam(f"f{t}", f, slope + 1e-4 * f)
             adam("bias", model.bias, back.sum(axis=0))
             adam("out", model.out, best.T @ g + 1e-4 * model.out)
