@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import encode, mix, ship, stash, table, word_hashes
 
-BLOCK, SHARD = 16 << 20, 16 << 20
+BLOCK, SHARD = 6 << 20, 8 << 20
 #: Weight of bigrams against unigrams.
 BIGRAM = 0.3
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -72,10 +72,11 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).reshape(-1).view(f"<u{width}").astype(np.uint64)
 
 
-def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Bounds of each shard's keys in a sorted array: shards are equal ranges of hashes."""
-    cuts = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
+def shard_slices(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, start, stop) of the shards that sorted keys fall into: shards are equal ranges of the upper 32 bits."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(shard[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
 
 
 SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -104,11 +105,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
         out = []
         for kind, keys in enumerate((word, pair(before, word))):
             distinct, _, counts = tally(keys, train)
-            edges = shard_edges(distinct, shards)
-            for s in range(shards):
-                own = distinct[edges[s] : edges[s + 1]]
-                if len(own):
-                    out.append({"shard": s, "block": group["block"][0].as_py(), "kind": kind, "keys": pack(np.diff(own, prepend=np.uint64(0)), 8), "counts": pack(counts[edges[s] : edges[s + 1]], 4)})
+            for s, i, j in shard_slices(distinct, shards):
+                out.append({"shard": s, "block": group["block"][0].as_py(), "kind": kind, "keys": pack(np.diff(distinct[i:j], prepend=np.uint64(0)), 8), "counts": pack(counts[i:j], 4)})
         return pa.Table.from_pylist(out, schema=SENT)
 
     def add_up(group: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, ship, span_hashes, stash, table
-from .lm import pack, shard_edges, unpack
+from .lm import pack, shard_slices, unpack
 
 WINDOW, GRAM = 100, 24
 BLOCK, SHARD = 16 << 20, 16 << 20
@@ -225,8 +225,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     def ask(group: pa.Table) -> pa.Table:
         *_, anchor = Texts(group["k"].to_pylist(), group["t"].to_pylist()).segments()
         distinct, counts = np.unique(mix(anchor), return_counts=True)  # anchors are least hashes: spread them
-        edges, number = shard_edges(distinct, shards), group["block"][0].as_py()
-        out = [{"shard": s, "block": number, "keys": pack(np.diff(distinct[a:b], prepend=np.uint64(0)), 8), "counts": pack(counts[a:b], 4)} for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        number = group["block"][0].as_py()
+        out = [{"shard": s, "block": number, "keys": pack(np.diff(distinct[a:b], prepend=np.uint64(0)), 8), "counts": pack(counts[a:b], 4)} for s, a, b in shard_slices(distinct, shards)]
         return pa.Table.from_pylist(out, schema=ASKED)
 
     def tell(group: pa.Table) -> pa.Table:
@@ -249,13 +249,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
         number, whole = group["block"][0].as_py(), texts.data.tobytes()
         seen: set[bytes] = set()
         cols: list[list] = [[], [], [], [], [], []]
-        width = np.uint64((1 << 64) // shards + 1) if shards > 1 else None
 
         def put(h: int, key_: int, pos: int, count: int, content: bytes) -> None:
             fresh = content not in seen  # first in the block: blocks are walked in order
             if fresh:
                 seen.add(content)
-            for c, v in zip(cols, (int(h // int(width)) if width else 0, h - (1 << 64) if h >> 63 else h, key_, pos, count, content if fresh else None), strict=True):
+            for c, v in zip(cols, ((h >> 32) * shards >> 32, h - (1 << 64) if h >> 63 else h, key_, pos, count, content if fresh else None), strict=True):
                 c.append(v)
 
         for i in np.flatnonzero(state).tolist():
