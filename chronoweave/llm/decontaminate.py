@@ -4,10 +4,11 @@ Items are the documents of the index, training passages its queries: every passa
 all items above a threshold. An item's impacts are BM25 weights divided by their sum over the item, so the
 score of a passage is the weighted share of the item that it holds, and one threshold suits all items.
 A passage is a stretch of twice the longest item, every item length: whatever a text holds of an item
-lies within one passage. A passage whose terms' largest impacts don't reach the threshold can't score;
-that bound, for all passages at once, spares nearly all of them. The others run WAND: postings are in
-item order, in blocks with their largest impact; the pivot is the first item that list bounds allow, block
-bounds skip ahead, and only then an item is scored.
+lies within one passage. The commonest terms together hold at most half the threshold of any item,
+so a passage needs the rest from rarer ones. Blocks are aligned in item order: for every passage and block, the block
+maxima of the passage's rare terms bound what any item of the block can score, for many passages at once. Only
+blocks whose bound reaches the threshold are searched, by WAND: the pivot is the first item that the lists'
+bounds allow, cursors skip to it, and only then an item is scored.
 
 Retrieved pairs are verified word by word: an item counts as leaked if SHARE of its five-word shingles stand in
 the passage (fewer words: one shingle of them all), or that share of its question's and of its answer's. An item's answer is its last
@@ -32,7 +33,8 @@ from .toxicity import IN_WORD
 
 K1, B = 1.2, 0.75
 THRESHOLD, SHARE, SHINGLE = 0.5, 0.8, 5
-POSTINGS = 64
+#: Items of a block, aligned in item order for all lists.
+ALIGNED = 4
 SHARD_BYTES = 32 << 20
 SENTENCE_END = re.compile(r"[.!?]['\")\]]*\s+(?=\S)")
 
@@ -62,7 +64,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class Index:
     """Inverted index of items: (id, text) pairs; items without words are never found."""
 
-    def __init__(self, items: list[tuple]) -> None:
+    def __init__(self, items: list[tuple], threshold: float = THRESHOLD) -> None:
         items = [(i, t) for i, t in items if len(words_of([t])[0])]
         self.ids = [i for i, _ in items]
         hashes, begin = words_of([t for _, t in items])
@@ -83,12 +85,25 @@ class Index:
         own = np.bincount(self.item, weight, len(items))
         self.impact = weight / own[self.item] if len(items) else weight
         self.start = np.concatenate(([0], np.cumsum(df))).astype(np.int64)
-        self.bound = np.maximum.reduceat(self.impact, self.start[:-1]) if len(self.terms) else self.impact
-        # blocks of each list: last item and largest impact
-        self.block_start = np.concatenate(([0], np.cumsum(-(-df // POSTINGS)))).astype(np.int64)
-        at = np.concatenate([np.arange(a, b, POSTINGS) for a, b in zip(self.start[:-1], self.start[1:], strict=True)]) if len(self.terms) else np.zeros(0, np.int64)
-        self.block_max = np.maximum.reduceat(self.impact, at) if len(at) else self.impact
-        self.block_last = self.item[np.concatenate((at[1:], [len(self.item)])) - 1] if len(at) else self.item
+        # the commonest terms that together hold at most half the threshold of any item: a match needs others too
+        self.rare = np.ones(len(self.terms), bool)
+        common, shares = np.zeros(len(items)), np.zeros(len(items))
+        for t in np.lexsort((np.arange(len(df)), -df)).tolist():
+            own = slice(self.start[t], self.start[t + 1])
+            common[self.item[own]] += self.impact[own]
+            if common[self.item[own]].max() > threshold / 2:
+                break
+            self.rare[t] = False
+            shares = common.copy()
+        # item-aligned blocks: each rare list's largest impact in every block it touches, and the common terms' part
+        blocks = -(-len(items) // ALIGNED)
+        block, first = np.unique(term * max(blocks, 1) + self.item // ALIGNED, return_index=True)
+        top = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        of_term = block // max(blocks, 1)
+        self.block, self.block_max = block % max(blocks, 1), top
+        self.block_start = np.searchsorted(of_term, np.arange(len(self.terms) + 1))
+        self.block_slack = np.zeros(blocks)
+        np.maximum.at(self.block_slack, np.arange(len(items)) // ALIGNED, shares)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 where the index hasn't it."""
@@ -97,85 +112,108 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with score >= threshold for a query of distinct term numbers, by block-max WAND."""
-        lists = [[int(self.item[self.start[t]]), t, int(self.start[t])] for t in terms.tolist()]  # current item, term, cursor
+    def passages(self, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first and last word (exclusive) of the passages of texts whose words begin there."""
+        sizes = np.diff(begin)
+        step = self.longest
+        count = np.where(sizes > 0, np.maximum(-(-(sizes - step) // step), 1), 0)
+        text = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        first = begin[:-1][text] + nth * step
+        return text, first, np.minimum(first + 2 * step, begin[1:][text])
+
+    def promising(self, terms: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block bound reaches the threshold: block maxima of the passage's distinct rare terms
+        and the common terms' part."""
+        rare = np.flatnonzero((terms >= 0) & self.rare[terms])
+        a, b = np.searchsorted(rare, first), np.searchsorted(rare, last)
+        blocks, pairs = len(self.block_slack), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        lists = self.block_start[1:] - self.block_start[:-1]
+        load = np.concatenate(([0], np.cumsum(lists[terms[rare]])))
+        for i, j in slices(len(first), load[b] - load[a] + blocks, 1 << 21):
+            held = b[i:j] - a[i:j]
+            of = np.repeat(np.arange(j - i), held)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held) + a[i:j][of]
+            once = np.unique(of * len(self.terms) + terms[rare[at]])
+            of, term = once // len(self.terms), once % len(self.terms)
+            n = lists[term]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.block_start[term], n)
+            bound = np.bincount(np.repeat(of, n) * blocks + self.block[entry], self.block_max[entry], (j - i) * blocks).reshape(j - i, blocks) + self.block_slack
+            passage, block = np.nonzero(bound + 1e-9 >= threshold)
+            pairs.append((passage + i, block))
+        return np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
+
+    def search(self, terms: np.ndarray, low: int, high: int, threshold: float) -> list[tuple[int, float]]:
+        """All (item, score) with low <= item < high and score >= threshold for distinct term numbers, by WAND in item order."""
+        lists = []  # current item, term, cursor, end
+        for t in terms.tolist():
+            a, b = self.start[t], self.start[t + 1]
+            c, e = (int(x) for x in a + np.searchsorted(self.item[a:b], (low, high)))
+            if c < e:
+                lists.append((int(self.item[c]), t, c, e, float(self.impact[c:e].max())))
         found, eps = [], 1e-9
         while lists:
             lists.sort()
             total, pivot = 0.0, -1
-            for n, (_, t, _) in enumerate(lists):
-                total += self.bound[t]
+            for n, entry in enumerate(lists):
+                total += entry[4]
                 if total + eps >= threshold:
                     pivot = n
                     break
             if pivot < 0:
                 return found
             item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            # block bounds of the lists up to the pivot, and the first item past any of these blocks
-            most, past = 0.0, len(self.ids)
-            for _, t, _ in lists[: pivot + 1]:
-                a, b = self.block_start[t], self.block_start[t + 1]
-                k = a + int(np.searchsorted(self.block_last[a:b], item))
-                if k < b:
-                    most += self.block_max[k]
-                    past = min(past, int(self.block_last[k]) + 1)
-            if most + eps >= threshold and lists[0][0] == item:
-                score = sum(float(self.impact[c]) for i, _, c in lists if i == item)
+            to = item
+            if lists[0][0] == item:
+                score, to = sum(float(self.impact[c]) for i, _, c, _, _ in lists if i == item), item + 1
                 if score + eps >= threshold:
                     found.append((item, score))
-                to = item + 1
-            elif most + eps >= threshold:
-                to = item
-            else:
-                to = max(item + 1, min(past, lists[pivot + 1][0] if pivot + 1 < len(lists) else len(self.ids)))
             moved = []
-            for n, (i, t, c) in enumerate(lists):
-                if n <= pivot and i < to:
-                    c += int(np.searchsorted(self.item[c : self.start[t + 1]], to))
-                    if c < self.start[t + 1]:
-                        moved.append([int(self.item[c]), t, c])
-                else:
-                    moved.append([i, t, c])
+            for entry in lists:
+                i, t, c, e, most = entry
+                if i < to:
+                    c += int(np.searchsorted(self.item[c:e], to))
+                    if c == e:
+                        continue
+                    entry = (int(self.item[c]), t, c, e, most)
+                moved.append(entry)
             lists = moved
         return found
 
-    def leaks(self, hashes: np.ndarray, threshold: float, share: float) -> list[tuple]:
-        """(item id, first word of the passage, score, overlap, question, answer) of a text's leaked items, the best passage of each."""
+    def leaks(self, hashes: np.ndarray, begin: np.ndarray, threshold: float, share: float) -> list[tuple]:
+        """(text, item id, first word of the passage, score, overlap, question, answer) of all leaked items of texts, the best passage of each."""
+        if not len(self.terms) or not len(hashes):
+            return []
         terms = self.lookup(hashes)
-        bounds = np.concatenate(([0.0], np.cumsum(np.where(terms >= 0, self.bound[np.maximum(terms, 0)] if len(self.bound) else 0.0, 0.0))))
-        size, step = 2 * self.longest, self.longest
-        begin = np.arange(0, max(len(hashes) - step, 1), step)
-        end = np.minimum(begin + size, len(hashes))
-        best: dict[int, tuple] = {}
-        for p in np.flatnonzero(bounds[end] - bounds[begin] + 1e-9 >= threshold).tolist():
-            own = terms[begin[p] : end[p]]
-            query = np.unique(own[own >= 0])
-            if self.bound[query].sum() + 1e-9 < threshold:
-                continue
-            there: dict[int, np.ndarray] = {}
-            for item, score in self.search(query, threshold):
+        text, first, last = self.passages(begin)
+        best: dict[tuple[int, int], tuple] = {}
+        there: dict[int, np.ndarray] = {}
+        current = -1
+        for p, block in zip(*(x.tolist() for x in self.promising(terms, first, last, threshold)), strict=True):
+            if p != current:
+                own = terms[first[p] : last[p]]
+                query, there, current = np.unique(own[own >= 0]), {}, p
+            for item, score in self.search(query, block * ALIGNED, (block + 1) * ALIGNED, threshold):
                 held: list[float | None] = []
                 for width, part in (self.whole[item], self.question[item], self.answer[item]):
                     if width and width not in there:
-                        there[width] = shingles(hashes[begin[p] : end[p]], width)
+                        there[width] = shingles(hashes[first[p] : last[p]], width)
                     held.append(float(np.isin(part, there[width], assume_unique=True).mean()) if width else None)
                 if held[0] >= share or held[1] is not None and held[1] >= share and (held[2] is None or held[2] >= share):
-                    row = (self.ids[item], int(begin[p]), float(score), *held)
-                    if item not in best or row[3] > best[item][3]:
-                        best[item] = row
-        return [best[i] for i in sorted(best)]
+                    key = (int(text[p]), item)
+                    row = (key[0], self.ids[item], int(first[p] - begin[key[0]]), float(score), *held)
+                    if key not in best or row[4] > best[key][4]:
+                        best[key] = row
+        return [best[k] for k in sorted(best)]
 
 
-def indexes(items: DataFrame, item: str, text: str) -> Iterator[Index]:
+def indexes(items: DataFrame, item: str, text: str, threshold: float) -> Iterator[Index]:
     """Indexes of all items, in shards of at most about SHARD_BYTES of text. Items without text are left out."""
     rows = items.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
     for s in range(count):
-        yield Index(sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == s).toLocalIterator()))
+        yield Index(sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == s).toLocalIterator()), threshold)
 
 
 LEAK = "doc bigint, item bigint, first_word bigint, score double, overlap double, question double, answer double"
@@ -192,7 +230,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     out = None
-    for index in indexes(items, item, item_text):
+    for index in indexes(items, item, item_text, threshold):
         part = rows.mapInArrow(search_with(index, threshold, share), LEAK)
         out = part if out is None else out.union(part)
     return out
@@ -209,9 +247,7 @@ def search_with(index: Index, threshold: float, share: float) -> Callable[[Itera
             found = []
             for i, j in slices(len(texts), np.array([len(t or "") + 16 for t in texts], np.int64), 2 << 20):
                 hashes, begin = words_of(texts[i:j])
-                for n in range(j - i):
-                    if begin[n + 1] > begin[n]:
-                        found += [(keys[i + n], *x) for x in index.leaks(hashes[begin[n] : begin[n + 1]], threshold, share)]
+                found += [(keys[i + n], *x) for n, *x in index.leaks(hashes, begin, threshold, share)]
             columns = list(zip(*found, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
