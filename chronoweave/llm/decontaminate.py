@@ -254,6 +254,28 @@ def search_with(index: Index, threshold: float, share: float) -> Callable[[Itera
     return run
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
+    """The rows of docs whose text leaks no item, with all their columns; cases as for leaks()."""
+    ship(docs.sparkSession)
+    at, names = docs.columns.index(text), docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def without(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        find = search_with(index, threshold, share)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at)], ["k", "t"])
+                gone = {n for r in find(iter([numbered])) for n in r.column(0).to_pylist()}
+                yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array([n not in gone for n in range(b.num_rows)], pa.bool_()))
+
+        return run
+
+    for index in indexes(items, item, item_text, threshold):
+        docs = docs.mapInArrow(without(index), schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it leaks."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

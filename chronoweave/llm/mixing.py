@@ -103,6 +103,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "weight")
 
 
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = 3) -> DataFrame:
+    """The rows of docs as often as the mix takes them, 0 to epochs times, with all their columns.
+
+    A text that the mix cuts counts as whole from half its tokens on. Rows that share a key are taken alike;
+    rows of size 0 are not taken; cases otherwise as for mix().
+    """
+    times = mix(docs, key, text, source, epochs=epochs).groupBy(F.col(key).alias("_k")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_n"))
+    taken = docs.join(times.where("_n > 0"), F.col(key).eqNullSafe(F.col("_k")))
+    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
