@@ -11,6 +11,7 @@ from .decontaminate import op5_decontaminate
 from .licences import op4_licences
 from .lm import op10_lm
 from .mixing import op2_mixing
+from .privacy import op3_privacy
 from .repeats import op8_repeats
 from .simhash import op6_simhash
 from .tokenfile import op9_tokenfile
@@ -18,7 +19,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_toxicity, op2_mixing, op4_licences, op5_decontaminate, op6_simhash, op7_fingerprints, op8_repeats, op9_tokenfile, op10_lm)}
+    return {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_privacy, op4_licences, op5_decontaminate, op6_simhash, op7_fingerprints, op8_repeats, op9_tokenfile, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
