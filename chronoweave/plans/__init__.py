@@ -1,0 +1 @@
+"""Whole plans: several operators in a row."""

@@ -1,0 +1 @@
+"""Incremental forms for unbounded span sources."""
