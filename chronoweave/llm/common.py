@@ -10,14 +10,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship
+
 #: Runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A-Z and their lower-case forms, for translate().
@@ -29,7 +29,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_shipped: set[str] = set()
+#: Whether a query's shuffle files go as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +41,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that its functions can be imported there."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a local one (single-machine sessions)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -73,9 +60,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # the written table replaces the shuffle files; a failed job writes none
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

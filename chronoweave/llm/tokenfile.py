@@ -16,7 +16,9 @@ all its checkpoints advance together, one table look-up of LIMIT bits for each i
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,10 @@ from .common import scratch, ship, table, tokenizer_path
 
 LIMIT, STRIDE, BLOCK = 18, 64, 1 << 16
 #: Chunks of text whose ids a worker remembers at most; beyond, it forgets all and starts anew.
-REMEMBER = 400_000
+REMEMBER = 600_000
+
+#: All white space but the space.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 _memo: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
@@ -42,6 +47,7 @@ def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
     before such spaces, and each distinct piece is encoded once. Texts with other arrangements of
     spaces are encoded whole. Strings of special tokens in a text are ordinary text.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
@@ -55,18 +61,19 @@ def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
         new = list({p for p in pieces if p not in memo})
         if new:
             for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
+                memo[p] = array("I", e.ids).tobytes()
         yield np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4")
         if len(new) > REMEMBER:
             memo.clear()
 
 
 def cut(text: str) -> list[str]:
-    """Pieces of a text that the tokenizer encodes independently of one another."""
+    """Pieces of a text that the tokenizer encodes independently of one another: cut before each space that stands
+    alone between two visible characters."""
+    if "\0" not in text and "  " not in text and not any(f"{c} " in text or f" {c}" in text for c in OTHER_SPACE if c in text):
+        return text.replace(" ", "\0 ").split("\0") if text else []
     parts = text.split(" ")
-    if len(parts) == 1:
-        return [text] if text else []
-    out = [parts[0]]
+    out = parts[:1] if parts[0] or len(parts) > 1 else []
     for p in parts[1:]:
         if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
             out.append(f" {p}")
@@ -155,8 +162,15 @@ class Codec:
         return out.reshape(-1)[:count]
 
 
-def token_rows(docs: DataFrame, key: str, text: str, path: str, end: int, to: str) -> None:
-    """Write (k, ids, task counts) of all rows: ids as little-endian uint32, one extra row of counts for each task."""
+def vocabulary(path: str) -> int:
+    """One more than the largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values(), default=0) + 1
+
+
+def token_rows(docs: DataFrame, key: str, text: str, path: str, end: int, width: int, to: str) -> None:
+    """Write (k, ids, task counts) of all rows: ids as little-endian integers of width bytes, one extra row of counts for each task."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -166,7 +180,7 @@ def token_rows(docs: DataFrame, key: str, text: str, path: str, end: int, to: st
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             blobs, sizes = [], []
             for ids in tokenize(texts, path):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                ids = np.append(ids, np.uint32(end)).astype(f"<u{width}")
                 got = np.bincount(ids)
                 if len(got) > len(tally):
                     tally = np.concatenate((tally, np.zeros(len(got) - len(tally), np.int64)))
@@ -204,7 +218,8 @@ def encode_corpus(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
-    token_rows(docs, key, text, path, end, f"{folder}/ids")
+    width = 2 if max(vocabulary(path), end + 1) <= 1 << 16 else 4
+    token_rows(docs, key, text, path, end, width, f"{folder}/ids")
     rows = spark.read.parquet(f"{folder}/ids")
     ids, counts = global_counts(rows)
     lengths = code_lengths(ids, counts)
@@ -226,7 +241,7 @@ def encode_corpus(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
             for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got, begin = np.frombuffer(blob.as_buffer(), "<u4"), 0
+                got, begin = np.frombuffer(blob.as_buffer(), f"<u{width}"), 0
                 while begin < len(got):
                     piece = got[begin : begin + block - size]
                     held.append(piece)
