@@ -9,6 +9,8 @@ suppressed. All of it happens in the document's own row: no shuffle, no growth w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ GATE = ("licen", "spdx", "copyright", "creativecommons", "creative commons", "pu
 
 V = r",?\s*(?:version|ver\.?|v\.?)?\s*"
 L = r"\s+(?:public\s+)?licen[sc]e"
-#: SPDX-like label, keyword, pattern of the name in prose, pattern of the address (lower case).
+#: SPDX-like label, keywords (any of them), pattern of the name in prose, pattern of the address (lower case).
 LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("apache-1.1", "apache", rf"apache(?:\s+software)?{L}{V}1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-2.0", "apache", rf"apache(?:\s+software)?(?:{L})?{V}2(?:\.0)?\b", r"apache\.org/licenses/license-2\.0"),
-    ("mit", "mit", r"(?:\bmit|\bexpat)(?:\s+\(?expat\)?)?\s+licen[sc]e", r"opensource\.org/licen[sc]es?/mit"),
+    ("mit", "mit|expat", r"(?:\bmit|\bexpat)(?:\s+\(?expat\)?)?\s+licen[sc]e", r"opensource\.org/licen[sc]es?/mit"),
     ("mit-0", "mit", r"\bmit(?:\s+no\s+attribution|-0)(?:\s+licen[sc]e)?", r"opensource\.org/licen[sc]es?/mit-0"),
     ("x11", "x11", r"\bx11\s+licen[sc]e", r"spdx\.org/licenses/x11"),
     ("isc", "isc", r"\bisc\s+licen[sc]e", r"opensource\.org/licen[sc]es?/isc"),
@@ -37,13 +39,13 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("bsd-4-clause", "bsd", r"(?:(?:original|old|4-clause|four-clause)\s+bsd|bsd[\s-]+4[\s-]+clause)(?:\s+licen[sc]e)?", r"spdx\.org/licenses/bsd-4-clause"),
     ("bsd", "bsd", r"\bbsd\s+licen[sc]e", r"opensource\.org/licen[sc]es?/bsd-license"),
     ("0bsd", "bsd", r"(?:zero-clause\s+bsd|\b0bsd)(?:\s+licen[sc]e)?", r"opensource\.org/licen[sc]es?/0bsd"),
-    ("gpl-1.0", "g", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}1(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
-    ("gpl-2.0", "g", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-3.0", "g", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}3(?:\.0)?\b", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl", "g", rf"gnu\s+(?:general{L}|gpl)", r"gnu\.org/(?:copyleft/gpl|licenses/gpl)\.html"),
-    ("lgpl-2.0", "l", rf"(?:gnu\s+library\s+general{L}|\blgpl){V}2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
-    ("lgpl-2.1", "l", rf"(?:gnu\s+lesser\s+general{L}|\blgpl){V}2\.1\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "l", rf"(?:gnu\s+lesser\s+general{L}|\blgpl){V}3(?:\.0)?\b", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("gpl-1.0", "gnu|gpl", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}1(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
+    ("gpl-2.0", "gnu|gpl", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", "gnu|gpl", rf"(?:gnu\s+(?:general{L}|gpl)|\bgpl){V}3(?:\.0)?\b", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl", "gnu", rf"gnu\s+(?:general{L}|gpl)", r"gnu\.org/(?:copyleft/gpl|licenses/gpl)\.html"),
+    ("lgpl-2.0", "gnu|lgpl", rf"(?:gnu\s+library\s+general{L}|\blgpl){V}2(?:\.0)?\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.0"),
+    ("lgpl-2.1", "gnu|lgpl", rf"(?:gnu\s+lesser\s+general{L}|\blgpl){V}2\.1\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", "gnu|lgpl", rf"(?:gnu\s+lesser\s+general{L}|\blgpl){V}3(?:\.0)?\b", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl", "lesser", rf"gnu\s+lesser\s+general{L}", r"gnu\.org/licenses/lgpl\.html"),
     ("agpl-3.0", "affero", rf"(?:gnu\s+)?affero\s+general{L}(?:{V}3(?:\.0)?)?", r"gnu\.org/licenses/agpl-3\.0"),
     ("agpl", "agpl", rf"\bagpl(?:{V}3(?:\.0)?\b)?", r"gnu\.org/licenses/agpl\.html"),
@@ -51,14 +53,14 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("gfdl-1.2", "free documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.2", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
     ("gfdl-1.3", "free documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.3", r"gnu\.org/licenses/fdl-1\.3"),
     ("gfdl", "free documentation", r"gnu\s+free\s+documentation\s+licen[sc]e", r"gnu\.org/(?:copyleft|licenses)/fdl\.html"),
-    ("mpl-1.0", "m", rf"(?:mozilla{L}|\bmpl){V}1\.0", r"mozilla\.org/mpl/1\.0"),
-    ("mpl-1.1", "m", rf"(?:mozilla{L}|\bmpl){V}1\.1", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", "m", rf"(?:mozilla{L}|\bmpl){V}2(?:\.0)?\b", r"mozilla\.org/mpl/2\.0"),
-    ("epl-1.0", "e", rf"(?:eclipse{L}|\bepl){V}1\.0", r"eclipse\.org/(?:legal|org/documents)/epl-v10"),
-    ("epl-2.0", "e", rf"(?:eclipse{L}|\bepl){V}2\.0", r"eclipse\.org/legal/epl-(?:2\.0|v20)"),
-    ("eupl-1.1", "e", rf"(?:european\s+union{L}|\beupl){V}1\.1", r"spdx\.org/licenses/eupl-1\.1"),
-    ("eupl-1.2", "e", rf"(?:european\s+union{L}|\beupl){V}1\.2", r"spdx\.org/licenses/eupl-1\.2"),
-    ("cddl-1.0", "c", rf"(?:common\s+development\s+and\s+distribution\s+licen[sc]e|\bcddl){V}1\.0", r"opensource\.org/licen[sc]es?/cddl-1\.0"),
+    ("mpl-1.0", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}1\.0", r"mozilla\.org/mpl/1\.0"),
+    ("mpl-1.1", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}1\.1", r"mozilla\.org/mpl/1\.1"),
+    ("mpl-2.0", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}2(?:\.0)?\b", r"mozilla\.org/mpl/2\.0"),
+    ("epl-1.0", "eclipse|epl", rf"(?:eclipse{L}|\bepl){V}1\.0", r"eclipse\.org/(?:legal|org/documents)/epl-v10"),
+    ("epl-2.0", "eclipse|epl", rf"(?:eclipse{L}|\bepl){V}2\.0", r"eclipse\.org/legal/epl-(?:2\.0|v20)"),
+    ("eupl-1.1", "european|eupl", rf"(?:european\s+union{L}|\beupl){V}1\.1", r"spdx\.org/licenses/eupl-1\.1"),
+    ("eupl-1.2", "european|eupl", rf"(?:european\s+union{L}|\beupl){V}1\.2", r"spdx\.org/licenses/eupl-1\.2"),
+    ("cddl-1.0", "common development|cddl", rf"(?:common\s+development\s+and\s+distribution\s+licen[sc]e|\bcddl){V}1\.0", r"opensource\.org/licen[sc]es?/cddl-1\.0"),
     ("cpl-1.0", "common public", rf"common{L}{V}1\.0", r"opensource\.org/licen[sc]es?/cpl1\.0"),
     ("artistic-1.0", "artistic", rf"artistic\s+licen[sc]e{V}1(?:\.0)?\b", r"perlfoundation\.org/artistic_license_1_0"),
     ("artistic-2.0", "artistic", rf"artistic\s+licen[sc]e{V}2(?:\.0)?\b", r"perlfoundation\.org/artistic_license_2_0"),
@@ -70,7 +72,7 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("libpng", "libpng", r"\blibpng\s+licen[sc]e", r"libpng\.org/pub/png/src/libpng-license"),
     ("openssl", "openssl", r"\bopenssl\s+licen[sc]e", r"openssl\.org/source/license"),
     ("php-3.01", "php", rf"\bphp\s+licen[sc]e{V}3\.01", r"php\.net/license/3_01"),
-    ("python-2.0", "python", r"python\s+software\s+foundation\s+licen[sc]e|\bpsf\s+licen[sc]e", r"python\.org/(?:psf/)?license"),
+    ("python-2.0", "python|psf", r"python\s+software\s+foundation\s+licen[sc]e|\bpsf\s+licen[sc]e", r"python\.org/(?:psf/)?license"),
     ("ruby", "ruby", r"\bruby\s+licen[sc]e", r"ruby-lang\.org/en/about/license"),
     ("postgresql", "postgresql", r"postgresql\s+licen[sc]e", r"opensource\.org/licen[sc]es?/postgresql"),
     ("ofl-1.1", "open font", rf"(?:sil\s+)?open\s+font\s+licen[sc]e(?:{V}1\.1)?", r"scripts\.sil\.org/ofl"),
@@ -110,8 +112,8 @@ def catalogue() -> list[tuple[str, str, str, str]]:
         for version in CC_VERSIONS:
             v = version.replace(".", r"\.")
             tag = clause.replace("-", r"[\s-]")
-            out.append((f"cc-{clause}-{version}", "c", rf"(?:\bcc[\s-]{tag}|creative\s+commons\s+{prose})(?:\s+licen[sc]e)?{V}{v}\b", rf"creativecommons\.org/licenses/{clause}/{v}"))
-        out.append((f"cc-{clause}", "c", rf"(?:\bcc[\s-]{tag}(?![\s-](?:nc|nd|sa)\b)|creative\s+commons\s+{prose})\b", rf"creativecommons\.org/licenses/{clause}/?(?![\d.a-z-])"))
+            out.append((f"cc-{clause}-{version}", "cc|creative", rf"(?:\bcc[\s-]{tag}|creative\s+commons\s+{prose})(?:\s+licen[sc]e)?{V}{v}\b", rf"creativecommons\.org/licenses/{clause}/{v}"))
+        out.append((f"cc-{clause}", "cc|creative", rf"(?:\bcc[\s-]{tag}(?![\s-](?:nc|nd|sa)\b)|creative\s+commons\s+{prose})\b", rf"creativecommons\.org/licenses/{clause}/?(?![\d.a-z-])"))
     return out
 
 
@@ -121,7 +123,7 @@ def rules() -> list[tuple[str, str, int, str]]:
     for label, keyword, name, address in catalogue():
         for priority, form in FORMS:
             text = form.replace("{n}", name).replace("{a}", address).replace("{i}", label.replace(".", r"\."))
-            need = {5: "spdx", 4: "."}.get(priority, keyword)
+            need = {5: "spdx", 4: re.match("[a-z-]+", address)[0]}.get(priority, keyword)
             found.append((label, need, priority, text))
     return sorted(found, key=lambda r: -r[2])
 
@@ -132,7 +134,7 @@ def words_of(text: Column) -> Column:
 
 def phrase_places(text: Column) -> Column:
     """array<struct<label, at>>: every place where a phrase's words stand consecutively. text: lower case."""
-    words = words_of(text)
+    words = words_of(text)  # bound once below
     firsts = sorted({p.split()[0] for p, _ in PHRASES})
 
     def places(w: Column) -> Column:
@@ -154,9 +156,13 @@ def _all(conditions: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def signature_matches(text: Column) -> Column:
-    """array<struct<start, stop, priority, label>> of all rules' matches, by start, longest first. text: lower case."""
-    table_ = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")) for label, k, n, p in rules()])
+def signature_matches(low: Column) -> Column:
+    """array<struct<start, stop, priority, label>> of all rules' matches, by start, longest first. low: lower case."""
+    return F.element_at(F.transform(F.array(low), _matches), 1)  # the text is computed once, not for each rule
+
+
+def _matches(text: Column) -> Column:
+    table_ = F.array(*[F.struct(F.array(*[F.lit(w) for w in k.split("|")]).alias("k"), F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")) for label, k, n, p in rules()])
 
     def intervals(r: Column) -> Column:
         hits, gaps = F.regexp_extract_all(text, r["p"], F.lit(0)), F.split(text, r["p"], -1)
@@ -167,7 +173,7 @@ def signature_matches(text: Column) -> Column:
         spans = F.aggregate(pairs, start, step, lambda a: a["out"])
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), (-r["n"]).alias("rank"), r["label"].alias("label")))
 
-    gated = F.filter(table_, lambda r: F.contains(text, r["k"]) & F.rlike(text, r["p"]))
+    gated = F.filter(table_, lambda r: F.exists(r["k"], lambda k: F.contains(text, k)) & F.rlike(text, r["p"]))
     found = F.sort_array(F.flatten(F.transform(gated, intervals)))
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-m["back"]).alias("stop"), (-m["rank"]).alias("priority"), m["label"].alias("label")))
 
