@@ -17,6 +17,7 @@ language, source, key or label.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -157,7 +158,8 @@ def fit(texts: list, labels: list[int], languages: list, seed: int = 5) -> Model
     """
     y = np.array(labels, np.int64)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    ids, begin = word_ids(texts)
+    parts = [word_ids(texts[a:b]) for a, b in slices(len(texts), np.array([len(t or "") + 16 for t in texts], np.int64), 2 << 20)]
+    words = [ids[c[i] : c[i + 1]] for ids, c in parts for i in range(len(c) - 1)]
     if len(set(labels)) < 2:
         model = start(np.zeros((0, 2), np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
         model.out[:] = 0
@@ -167,7 +169,6 @@ def fit(texts: list, labels: list[int], languages: list, seed: int = 5) -> Model
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     train, check = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(y))
-    words = [ids[begin[i] : begin[i + 1]] for i in range(len(y))]
     edges = lambda rows: np.concatenate(([0], np.cumsum([len(words[i]) for i in rows])))
     join = lambda rows: np.concatenate([words[i] for i in rows]) if len(rows) else np.zeros((0, 2), np.int32)
     model = start(join(train), edges(train), y[train], seed)
@@ -249,8 +250,8 @@ def learnable(key: str, fold: int = 4, held: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % fold != held
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, language: str, most: int = FIT, most_bytes: int = FIT_BYTES) -> tuple[list, list, list]:
-    """Texts, labels and languages for a fit: rows that may be learnt from, at most ``most`` of each label, in an order
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, language: str, most: int = FIT, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """(k, y, t, l): keys, labels, texts and languages for a fit: rows that may be learnt from, at most ``most`` of each label, in an order
     of hash, as far as ``most_bytes`` go. Rows without a label are left out; a key with several labels counts as its largest."""
     known = labels.where(F.col(label).isin(0, 1) & learnable(key)).groupBy(F.col(key).alias("lk")).agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64("lk", F.lit("fit"))
@@ -267,9 +268,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
             keep.add(k)
             total += b
     wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted(keep)], "w bigint")
-    got = rows.join(F.broadcast(wanted), F.col("k") == F.col("w")).select("k", "y", "t", "l").collect()
-    got = sorted(got, key=lambda r: (zlib.crc32(f"fit{r.k}".encode()), r.k, r.t or "", r.l or ""))
-    return [r.t for r in got], [r.y for r in got], [r.l for r in got]
+    return rows.join(F.broadcast(wanted), F.col("k") == F.col("w")).select("k", "y", "t", "l")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", language: str = "lang", as_: tuple[str, str, str] = ("score", "predicted", "toxic_by_language")) -> DataFrame:
@@ -297,7 +296,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", language: str = "la
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels, "doc_id", "text", "toxic", "lang"))
+    """Fit in one task, whose input is bounded by FIT and FIT_BYTES; the driver gets the model alone."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        rows.sort(key=lambda r: (zlib.crc32(f"fit{r['k']}".encode()), r["k"], r["t"] or "", r["l"] or ""))
+        model = fit([r["t"] for r in rows], [r["y"] for r in rows], [r["l"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample(docs, labels, "doc_id", "text", "toxic", "lang").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [], [])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
