@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, table, tokenizer_path
+from .common import scratch, ship, stash, table, tokenizer_path
 
 LIMIT, STRIDE, BLOCK = 18, 64, 1 << 16
 #: Chunks of text whose ids a worker remembers at most; beyond, it forgets all and starts anew.
@@ -56,15 +56,39 @@ def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
     tokenizer, memo = _tokenizers[path], _memo.setdefault(path, {})
     for text in texts:
         pieces = cut(text or "")
+        found = [memo.get(p) for p in pieces]
+        if None in found:
+            learn({p for p, f in zip(pieces, found, strict=True) if f is None}, memo, tokenizer)
+            found = [memo[p] for p in pieces]
+        yield np.frombuffer(b"".join(found), "<u4")
         if len(memo) > REMEMBER:
             memo.clear()
-        new = list({p for p in pieces if p not in memo})
-        if new:
-            for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[p] = array("I", e.ids).tobytes()
-        yield np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4")
-        if len(new) > REMEMBER:
-            memo.clear()
+
+
+def learn(pieces: set[str], memo: dict[str, bytes], tokenizer: object) -> None:
+    """Encode pieces and remember them; what they are made of is encoded once."""
+    made = {p: finer(p) for p in pieces}
+    new = list({q for parts in made.values() for q in parts if q not in memo})
+    for q, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        memo[q] = array("I", e.ids).tobytes()
+    for p, parts in made.items():
+        if len(parts) > 1:
+            memo[p] = b"".join([memo[q] for q in parts])
+
+
+def finer(piece: str) -> list[str]:
+    """A piece cut further where pre-tokens surely end: around a line feed between visible characters, and
+    before the full stops and commas after a word of letters alone."""
+    out = []
+    for n, line in enumerate(lines if len(lines := piece.split("\n")) == 1 or all(x and not x[-1].isspace() and (i == 0 or not x[0].isspace()) for i, x in enumerate(lines)) else [piece]):
+        if n:
+            out.append("\n")
+        word = line.rstrip(".,")
+        if len(word) < len(line) and word.removeprefix(" ").isalpha():
+            out += [word, line[len(word) :]]
+        else:
+            out.append(line)
+    return out
 
 
 def cut(text: str) -> list[str]:
@@ -181,12 +205,12 @@ def token_rows(docs: DataFrame, key: str, text: str, path: str, end: int, width:
             blobs, sizes = [], []
             for ids in tokenize(texts, path):
                 ids = np.append(ids, np.uint32(end)).astype(f"<u{width}")
-                got = np.bincount(ids)
-                if len(got) > len(tally):
-                    tally = np.concatenate((tally, np.zeros(len(got) - len(tally), np.int64)))
-                tally[: len(got)] += got
                 blobs.append(ids.tobytes())
                 sizes.append(len(ids))
+            got = np.bincount(np.frombuffer(b"".join(blobs), f"<u{width}"))
+            if len(got) > len(tally):
+                tally = np.concatenate((tally, np.zeros(len(got) - len(tally), np.int64)))
+            tally[: len(got)] += got
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(keys), pa.binary())], ["k", "n", "ids", "tally"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([tally.astype("<i8").tobytes()], pa.binary())], ["k", "n", "ids", "tally"])
 
@@ -315,7 +339,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
         doc = None if pd.isna(first["doc"]) else int(first["doc"])
         return pd.DataFrame({"doc": pd.array([doc], "Int64"), "start": [int(first["start"])], "n_tokens": [int(group["n"].sum())], "ids_crc32": [crc]})
 
-    counted = pieces.withColumn("pieces", F.count("*").over(Window.partitionBy("part", "head")))
+    counted = stash(pieces.withColumn("pieces", F.count("*").over(Window.partitionBy("part", "head"))), "pieces")
     whole = counted.where("pieces = 1").select("doc", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     split = counted.where("pieces > 1").groupBy("part", "head").applyInPandas(join, "doc bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return whole.union(split)
