@@ -15,9 +15,9 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
             return "null"
-        if isinstance(v, (bool, str)) or type(v).__name__ in ("bool_", "NAType"):
+        if isinstance(v, (bool, str)) or type(v).__name__ == "bool_":
             return str(v)
         return f"{float(v):.4f}" if math.isfinite(float(v)) else str(v)
 
