@@ -30,8 +30,8 @@ WINDOW, GRAM = 100, 24
 BLOCK, SHARD = 16 << 20, 16 << 20
 #: Symbols of one transform, as a power of two (a single anchor's segments may exceed them).
 BATCH_BITS = 20
-#: Segments from which on an anchor's windows go one by one.
-HOT = 2000
+#: Different contents from which on an anchor's windows go one by one.
+HOT = 8000
 FIRST_KEY = -(1 << 63)
 
 
@@ -223,18 +223,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
-        *_, anchor = Texts(group["k"].to_pylist(), group["t"].to_pylist()).segments()
-        distinct, counts = np.unique(mix(anchor), return_counts=True)  # anchors are least hashes: spread them
+        texts = Texts(group["k"].to_pylist(), group["t"].to_pylist())
+        _, first, length, anchor = texts.segments()
+        content = span_hashes(texts.data, first, first + length + WINDOW - 1)
+        spread = mix(anchor)  # anchors are least hashes: spread them
+        distinct, where, counts = np.unique(spread, return_inverse=True, return_counts=True)
+        fresh = np.bincount(where[np.unique(content, return_index=True)[1]], minlength=len(distinct))  # different contents
         number = group["block"][0].as_py()
-        out = [{"shard": s, "block": number, "keys": pack(np.diff(distinct[a:b], prepend=np.uint64(0)), 8), "counts": pack(counts[a:b], 4)} for s, a, b in shard_slices(distinct, shards)]
+        seen = np.minimum(counts, 2) + 2 * (fresh - 1)  # odd: once
+        out = [{"shard": s, "block": number, "keys": pack(np.diff(distinct[a:b], prepend=np.uint64(0)), 8), "counts": pack(seen[a:b], 4)} for s, a, b in shard_slices(distinct, shards)]
         return pa.Table.from_pylist(out, schema=ASKED)
 
     def tell(group: pa.Table) -> pa.Table:
         asked = group.to_pylist()
         keys = [np.cumsum(unpack(r["keys"], 8), dtype=np.uint64) for r in asked]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate([unpack(r["counts"], 4) for r in asked]).astype(np.float64), len(distinct))
-        state = ((total > 1).astype(np.uint8) + (total > hot))[where].astype(np.uint8)
+        seen = np.concatenate([unpack(r["counts"], 4) for r in asked]).astype(np.int64)
+        often = np.bincount(where, 2 - seen % 2, len(distinct)) > 1
+        many = np.bincount(where, (seen + 1) // 2, len(distinct)) > hot
+        state = (often.astype(np.uint8) + (often & many))[where].astype(np.uint8)
         cuts = np.cumsum([0, *map(len, keys)])
         return pa.Table.from_pylist([{"block": r["block"], "shard": r["shard"], "state": state[a:b].tobytes()} for r, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)], schema=TOLD)
 
@@ -246,28 +253,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
         spread = mix(anchor)
         distinct, where = np.unique(spread, return_inverse=True)
         state = np.frombuffer(b"".join(r["state"] for r in sorted(states.to_pylist(), key=lambda r: r["shard"])), np.uint8)[where] if len(distinct) else np.zeros(0, np.uint8)
-        number, whole = group["block"][0].as_py(), texts.data.tobytes()
-        seen: set[bytes] = set()
-        cols: list[list] = [[], [], [], [], [], []]
-
-        def put(h: int, key_: int, pos: int, count: int, content: bytes) -> None:
-            fresh = content not in seen  # first in the block: blocks are walked in order
-            if fresh:
-                seen.add(content)
-            for c, v in zip(cols, ((h >> 32) * shards >> 32, h - (1 << 64) if h >> 63 else h, key_, pos, count, content if fresh else None), strict=True):
-                c.append(v)
-
-        for i in np.flatnonzero(state).tolist():
-            r, a, m = int(row[i]), int(first[i]), int(size_[i])
-            pos = int(texts.pos[r] + a - texts.offsets[r])
-            if state[i] == 1:
-                put(int(spread[i]), texts.keys[r], pos, m, whole[a : a + m + WINDOW - 1])
-                continue
-            at = np.arange(a, a + m)
-            for j, h in enumerate(mix(span_hashes(texts.data, at, at + WINDOW)).tolist()):
-                put(h, texts.keys[r], pos + j, 1, whole[a + j : a + j + WINDOW])
-        arrays = [pa.array(cols[0], pa.int32()), pa.array([number] * len(cols[0]), pa.int32()), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]]
-        return pa.Table.from_arrays(arrays, schema=SEGMENT)
+        # windows of crowded anchors go one by one, each under its own hash
+        crowd = np.flatnonzero(state == 2)
+        of = np.repeat(crowd, size_[crowd])
+        single = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(size_[crowd]) - size_[crowd], size_[crowd])
+        plain = np.flatnonzero(state == 1)
+        begin = np.concatenate((first[plain], single))
+        count = np.concatenate((size_[plain], np.ones(len(single), np.int64)))
+        own = np.concatenate((row[plain], row[of]))
+        content = span_hashes(texts.data, begin, begin + count + WINDOW - 1)
+        label = np.concatenate((spread[plain], mix(content[len(plain) :])))
+        order = np.argsort(begin, kind="stable")
+        begin, count, own, content, label = (x[order] for x in (begin, count, own, content, label))
+        fresh = np.zeros(len(begin), bool)
+        fresh[np.unique(content, return_index=True)[1]] = True  # the first of each content in the block
+        whole = texts.data.tobytes()
+        pieces = [whole[a:b] if f else None for a, b, f in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), fresh.tolist(), strict=True)]
+        shard = ((label >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        keys = np.array(texts.keys, np.int64)[own] if len(own) else np.zeros(0, np.int64)
+        columns = (shard.astype(np.int32), np.full(len(own), group["block"][0].as_py(), np.int32), label.view(np.int64), keys, texts.pos[own] + begin - texts.offsets[own], count.astype(np.int32))
+        return pa.Table.from_arrays([*[pa.array(c) for c in columns], pa.array(pieces, pa.binary())], schema=SEGMENT)
 
     cut = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_out, "shard int, block int, anchor bigint, key bigint, pos bigint, size int, bytes binary")
     cut = stash(cut, "segments")
