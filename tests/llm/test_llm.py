@@ -321,7 +321,7 @@ def test_toxicity_learns_and_is_whole(spark, docs, empty):
         if bad:
             for _ in range(3):
                 w.insert(r.randint(0, len(w)), r.choice(["vile", "rotten", "filthy"]))
-        rows.append((i, " ".join(w), "en" if i % 2 else "fr"))
+        rows.append((i, " ".join(w), "en" if i // 4 % 2 else "fr"))
         labels.append((i, int(bad)))
     d, y = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(spark, d, y)
