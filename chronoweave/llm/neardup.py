@@ -1,12 +1,16 @@
-"""Near-duplicate removal on top of SimHash: similarity SHARE or more on five-word shingles.
+"""Near-duplicate removal: every pair of similarity SHARE or more on five-word shingles is found.
 
-Texts at that similarity may differ in many bits of one fingerprint, more than covering tables can span. So a
-text is cut at words chosen by content, and PIECES of its pieces, those with the least hashes, get a
-SimHash each, as does the whole text: near copies keep most of their pieces, and covering tables also join
-pieces that an edit has moved by up to two bits. Texts that share a class of pieces are candidates. In a class,
-each is compared with the class's first text and with the one before it in order of length: candidates
-grow with the texts, not with the square of a class. A pair counts only if its shingle sets, whole, have a
-Jaccard similarity of SHARE or more; connected pairs form a group, of which the smallest key stays.
+Two sets of shingles with that Jaccard similarity share one among the first n - ceil(SHARE n) + 1 of each, in any
+fixed order of all shingles (prefix filter). So each text is marked with the start of its set, frequent shingles
+of a sample of texts last, then by hash, and texts that share a mark are candidates; sizes and places rule out
+pairs that can't reach SHARE. A pair counts only if its whole sets reach it; connected pairs form a group, of
+which the smallest key stays.
+
+Not all pairs of a large group are needed to connect it. First, each text is compared with the smallest
+text of its FIRST marks and with the one before it in order of length, then, in rounds while these add many links,
+with one text of each of its marks: that is linear. Last, all candidate pairs that these links don't connect already
+are compared, with the texts of a frequent mark dealt in salted parts. The last step leaves nothing out; it is
+quadratic only in texts that share a mark and aren't connected.
 
 Exact copies are one text from the start: they are grouped by hash with map-side aggregation, so a group of any
 size costs a row a task. (Texts count as equal if two independent 64-bit hashes agree.)
@@ -14,20 +18,26 @@ size costs a row a task. (Texts count as equal if two independent 64-bit hashes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import encode, mix, ship, slices, stash, word_hashes
 from .graph import components
-from .simhash import links, majority
 
 SHARE, SHINGLE = 0.8, 5
-#: A piece ends after a word whose hash is divisible by CUT; pieces under LEAST words join the next.
-CUT, LEAST, PIECES = 16, 8, 8
+#: Marks of a text that the first step looks at.
+FIRST = 4
+#: Texts that are sampled for frequent shingles; those in FREQUENT or more of them come last, at most LISTED of them.
+SAMPLE, FREQUENT, LISTED = 20_000, 3, 100_000
+#: Texts of one mark that a part of the last step holds.
+PART = 1000
+#: Hub rounds go on while one pair of WORTH is a link.
+WORTH = 100
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -39,24 +49,16 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def piece_prints(words: np.ndarray) -> list[int]:
-    """SimHashes of the whole text and of its chosen pieces."""
-    if not len(words):
-        return [0]
-    prints = {majority(shingles(words, SHINGLE))}
-    ends = np.flatnonzero(mix(words + np.uint64(1)) % np.uint64(CUT) == 0) + 1
-    cuts = [0]
-    for e in ends.tolist():
-        if e - cuts[-1] >= LEAST:
-            cuts.append(e)
-    if len(words) - cuts[-1] < LEAST and len(cuts) > 1:
-        cuts.pop()
-    cuts.append(len(words))
-    if len(cuts) > 2:
-        # rank pieces by one content hash each, then fingerprint the least
-        order = sorted({int(mix(shingles(words[a:b], b - a))[0]): (a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}.items())
-        prints |= {majority(shingles(words[a:b], 3)) for _, (a, b) in order[:PIECES]}
-    return sorted(prints)
+def start_of_set(s: np.ndarray, hot: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """The first shingles of a sorted set, as many as the prefix filter needs, those of hot last by their counts."""
+    if not len(s):
+        return np.zeros(1, np.uint64)  # sets without shingles are equal
+    need = len(s) - math.ceil(share * len(s) - 1e-6) + 1
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        rank = np.where(hot[at] == s, counts[at], 0)
+        s = s[np.argsort(rank, kind="stable")]
+    return s[:need]
 
 
 def word_lists(texts: list) -> Iterator[np.ndarray]:
@@ -68,21 +70,41 @@ def word_lists(texts: list) -> Iterator[np.ndarray]:
             yield words[cuts[n] : cuts[n + 1]]
 
 
-def prints(texts: DataFrame) -> DataFrame:
-    """(node, t) -> (node, fp, n): a row for each fingerprint, and the number of words."""
-    ship(texts.sparkSession)
+def frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that stand in many texts of a sample, and in how many. They only order the marks."""
+    every = max(1, -(-nodes.count() // SAMPLE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in word_lists(b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(w, SHINGLE)).view(np.int64))], ["s"])
+
+    found = nodes.where(F.pmod("node", F.lit(every)) == 0).select("t").mapInArrow(run, "s bigint")
+    most = found.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(LISTED).toArrow()
+    hot, counts = most.column("s").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(hot)
+    return hot[order], counts[order]
+
+
+def marks(nodes: DataFrame, share: float) -> DataFrame:
+    """(node, t) -> (node, s, i, n): a row for each mark s, its place i among the text's, and the size n of the text's set."""
+    ship(nodes.sparkSession)
+    hot, counts = frequent(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, sizes = [], [], []
-            for node, words in zip(b.column(0).to_pylist(), word_lists(b.column(1).to_pylist()), strict=True):
-                own = piece_prints(words)
-                fps += own
-                nodes += [node] * len(own)
-                sizes += [len(words)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["node", "fp", "n"])
+            for i, j in slices(b.num_rows, np.full(b.num_rows, 1), 256):
+                part, sizes = [], []
+                for words in word_lists(b.column(1).slice(i, j - i).to_pylist()):
+                    own = np.unique(shingles(words, SHINGLE))
+                    part.append(start_of_set(own, hot, counts, share))
+                    sizes.append(len(own))
+                many = np.array([len(x) for x in part])
+                node = np.repeat(b.column(0).slice(i, j - i).to_numpy(), many)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(part).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(np.repeat(sizes, many).astype(np.int32))], ["node", "s", "i", "n"])
 
-    return texts.mapInArrow(run, "node bigint, fp bigint, n bigint")
+    return nodes.mapInArrow(run, "node bigint, s bigint, i int, n int")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -111,20 +133,59 @@ def similar(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(marks: DataFrame) -> DataFrame:
-    """(node, fp, n) -> distinct (a, b) to compare."""
-    roots = components(links(marks.select("fp").distinct(), 2)).withColumnRenamed("node", "fp")
-    classed = marks.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("c")).distinct()
-    sizes = classed.groupBy("c").agg(F.count("*").alias("m"), F.min(F.struct("n", "node")).alias("first")).where("m > 1")
-    crowd = classed.join(sizes, "c").select("c", "m", "node", "n", F.col("first.node").alias("hub"))
-    # neighbours in length order, within salted parts of large classes
-    crowd = crowd.withColumn("part", F.pmod(F.xxhash64(F.col("n") / 64), F.ceil(F.col("m") / 1000)))
-    before = F.lag("node").over(Window.partitionBy("c", "part").orderBy("n", "node"))
-    crowd = crowd.withColumn("before", before)
-    pairs = crowd.select("node", F.explode(F.array("hub", "before")).alias("other")).where("other is not null and node <> other")
+def shared(marked: DataFrame) -> DataFrame:
+    """The marks that several texts have, with their number m and the smallest text (hub)."""
+    sizes = marked.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("n", "node")).alias("first")).where("m > 1")
+    return marked.join(sizes, "s").select("node", "s", "i", "n", "m", F.col("first.node").alias("hub"))
+
+
+def quick_pairs(rows: DataFrame) -> DataFrame:
+    """shared() rows -> distinct (a, b): each text with the hub of its first marks and the one before it by length."""
+    few = rows.where(F.col("i") < FIRST)
+    few = few.withColumn("part", F.pmod(F.xxhash64(F.floor(F.col("n") / 64)), F.ceil(F.col("m") / PART)))
+    few = few.withColumn("before", F.lag("node").over(Window.partitionBy("s", "part").orderBy("n", "node")))
+    pairs = few.select("node", F.explode(F.array("hub", "before")).alias("other")).where("other is not null and node <> other")
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared() rows -> (s, node, i, n, root, p) of the marks whose texts aren't all of one component; p: parts of a mark."""
+    rows = rows.join(roots, "node", "left").select("node", "s", "i", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return rows.join(mixed.select("s", F.ceil(F.col("m") / PART).cast("int").alias("p")), "s")
+
+
+def may_reach(left: str, right: str, share: float) -> Column:
+    """Whether two texts of one mark are of different components and can reach share, by size and by what follows their first shared mark."""
+    n, m, i, j = F.col(f"{left}.n"), F.col(f"{right}.n"), F.col(f"{left}.i"), F.col(f"{right}.i")
+    sizes = F.least(n, m) >= F.greatest(n, m) * F.lit(share) - F.lit(1e-6)
+    places = F.least(n - i, m - j) >= (n + m) * F.lit(share / (1 + share)) - F.lit(1e-6)
+    return (F.col(f"{left}.root") != F.col(f"{right}.root")) & sizes & places
+
+
+def hub_pairs(rows: DataFrame, turn: int, share: float) -> DataFrame:
+    """open_rows() -> distinct (a, b): each text with one text of each of its marks, another one each turn."""
+    hubs = rows.groupBy("s").agg(F.min_by(F.struct("node", "root", "n", "i"), F.xxhash64("node", F.lit(turn))).alias("r"))
+    pairs = rows.alias("l").join(hubs, "s").where(may_reach("l", "r", share))
+    return pairs.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct()
+
+
+def open_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """open_rows() -> distinct (a, b): all pairs that can reach share and aren't of one component."""
+    left = rows.withColumn("part", F.pmod(F.xxhash64("node"), "p").cast("int")).alias("l")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).alias("r")
+    on = (F.col("l.s") == F.col("r.s")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.node") > F.col("r.node")) & may_reach("l", "r", share)
+    return left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The pairs whose whole sets have the similarity."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stash(shingle_sets(nodes.join(asked, "node", "left_semi")), "shingles")
+    held = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("z")), "b")
+    return stash(similar(held.select("a", "b", "s", "z"), share), "links")
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """The rows of docs that stay: one of each group of exact and near copies, that with the smallest key.
 
@@ -138,11 +199,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     texts = marked.join(first, ["_h", "_g"]).where(F.col(key).eqNullSafe(F.col("_k"))).dropDuplicates(["_h", "_g"]).drop("_k", "_g")
     texts = stash(texts, "texts")
     nodes = texts.select(F.col("_h").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    pairs = stash(candidates(stash(prints(nodes), "prints")), "candidates")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stash(shingle_sets(nodes.join(asked, "node", "left_semi")), "shingles")
-    held = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("z")), "b")
-    roots = components(similar(held.select("a", "b", "s", "z"), share))
+    rows = stash(shared(stash(marks(nodes, share), "marks")), "shared")
+    links = verified(stash(quick_pairs(rows), "candidates"), nodes, share)
+    left, turn, more = stash(open_rows(rows, components(links)), "open"), 0, True
+    while more:
+        asked = stash(hub_pairs(left, turn, share), "candidates")
+        found = verified(asked, nodes, share)
+        new, turn = found.count(), turn + 1
+        more = new * WORTH > asked.count()
+        if new:
+            links = links.union(found)
+            left = stash(open_rows(rows, components(links)), "open")
+    rest = verified(stash(open_pairs(left, share), "candidates"), nodes, share)
+    roots = components(links.union(rest))
     grouped = texts.select(F.col("_h").alias("node"), F.col(key).alias("k")).join(roots, "node")
     stays = grouped.groupBy("root").agg(F.min_by("node", F.struct(F.col("k").isNull(), "k", "node")).alias("kept"))
     gone = grouped.join(stays, "root").where("node <> kept").select(F.col("node").alias("_h"))
