@@ -50,3 +50,20 @@ def test_a_group_whose_centre_is_not_its_shortest_text(spark):
     want, links = brute_kept(texts)
     assert len(want) == 1 and links >= 250
     assert kept(spark, texts) == want
+
+
+def test_recall_over_all_lengths(spark):
+    r = random.Random(2)
+    texts = []
+    for n in [5, 6, 8, 10, 12, 16, 20, 25, 30, 40, 60, 100, 200, 350, 500]:
+        for _ in range(20):
+            base = words(r, n)
+            texts.append(" ".join(base))
+            texts.append(" ".join([*base, *words(r, 1)]))
+            near = list(base)
+            for at in r.sample(range(n), max(1, n // 60)):
+                near[at] = words(r, 1)[0]
+            texts.append(" ".join(near))
+    want, links = brute_kept(texts)
+    assert links > 300
+    assert kept(spark, texts) == want
