@@ -2,7 +2,7 @@
 
 Rules come from ``LICENCES`` (name, keyword, how a text names it, address) crossed with forms of
 mention: SPDX tag, address, grant with version, grant, full name. A text is looked at by a rule
-only if it passes the common gate and holds the rule's keyword; then every match becomes an
+only if it passes the common gate (all rules' keywords) and holds the rule's keyword; then every match becomes an
 interval. Matches are swept by start: a match within another of at least its priority is
 suppressed. All of it happens in the document's own row: no shuffle, no growth with other rows.
 """
@@ -21,12 +21,9 @@ LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: The same words before lower-casing.
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without any of these has no licence mention (plain substrings of the lower-cased text).
-GATE = ("licen", "spdx", "copyright", "creativecommons", "creative commons", "public domain", "all rights reserved", "cc by", "cc-by", "cc0", "gpl", "wtfpl", "opensource.org", "apache.org", "gnu.org", "mozilla.org")
-
 V = r",?\s*(?:version|ver\.?|v\.?)?\s*"
 L = r"\s+(?:public\s+)?licen[sc]e"
-#: SPDX-like label, keywords (any of them), pattern of the name in prose, pattern of the address (lower case).
+#: SPDX-like label, keywords (any of them, each without spaces, as patterns allow any), pattern of the name in prose, pattern of the address (lower case).
 LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("apache-1.1", "apache", rf"apache(?:\s+software)?{L}{V}1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-2.0", "apache", rf"apache(?:\s+software)?(?:{L})?{V}2(?:\.0)?\b", r"apache\.org/licenses/license-2\.0"),
@@ -49,10 +46,10 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("lgpl", "lesser", rf"gnu\s+lesser\s+general{L}", r"gnu\.org/licenses/lgpl\.html"),
     ("agpl-3.0", "affero", rf"(?:gnu\s+)?affero\s+general{L}(?:{V}3(?:\.0)?)?", r"gnu\.org/licenses/agpl-3\.0"),
     ("agpl", "agpl", rf"\bagpl(?:{V}3(?:\.0)?\b)?", r"gnu\.org/licenses/agpl\.html"),
-    ("gfdl-1.1", "free documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.1", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.1"),
-    ("gfdl-1.2", "free documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.2", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
-    ("gfdl-1.3", "free documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.3", r"gnu\.org/licenses/fdl-1\.3"),
-    ("gfdl", "free documentation", r"gnu\s+free\s+documentation\s+licen[sc]e", r"gnu\.org/(?:copyleft|licenses)/fdl\.html"),
+    ("gfdl-1.1", "documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.1", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.1"),
+    ("gfdl-1.2", "documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.2", r"gnu\.org/licenses/(?:old-licenses/)?fdl-1\.2"),
+    ("gfdl-1.3", "documentation", rf"gnu\s+free\s+documentation\s+licen[sc]e{V}1\.3", r"gnu\.org/licenses/fdl-1\.3"),
+    ("gfdl", "documentation", r"gnu\s+free\s+documentation\s+licen[sc]e", r"gnu\.org/(?:copyleft|licenses)/fdl\.html"),
     ("mpl-1.0", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}1\.0", r"mozilla\.org/mpl/1\.0"),
     ("mpl-1.1", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}1\.1", r"mozilla\.org/mpl/1\.1"),
     ("mpl-2.0", "mozilla|mpl", rf"(?:mozilla{L}|\bmpl){V}2(?:\.0)?\b", r"mozilla\.org/mpl/2\.0"),
@@ -60,13 +57,13 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("epl-2.0", "eclipse|epl", rf"(?:eclipse{L}|\bepl){V}2\.0", r"eclipse\.org/legal/epl-(?:2\.0|v20)"),
     ("eupl-1.1", "european|eupl", rf"(?:european\s+union{L}|\beupl){V}1\.1", r"spdx\.org/licenses/eupl-1\.1"),
     ("eupl-1.2", "european|eupl", rf"(?:european\s+union{L}|\beupl){V}1\.2", r"spdx\.org/licenses/eupl-1\.2"),
-    ("cddl-1.0", "common development|cddl", rf"(?:common\s+development\s+and\s+distribution\s+licen[sc]e|\bcddl){V}1\.0", r"opensource\.org/licen[sc]es?/cddl-1\.0"),
-    ("cpl-1.0", "common public", rf"common{L}{V}1\.0", r"opensource\.org/licen[sc]es?/cpl1\.0"),
+    ("cddl-1.0", "development|cddl", rf"(?:common\s+development\s+and\s+distribution\s+licen[sc]e|\bcddl){V}1\.0", r"opensource\.org/licen[sc]es?/cddl-1\.0"),
+    ("cpl-1.0", "common", rf"common{L}{V}1\.0", r"opensource\.org/licen[sc]es?/cpl1\.0"),
     ("artistic-1.0", "artistic", rf"artistic\s+licen[sc]e{V}1(?:\.0)?\b", r"perlfoundation\.org/artistic_license_1_0"),
     ("artistic-2.0", "artistic", rf"artistic\s+licen[sc]e{V}2(?:\.0)?\b", r"perlfoundation\.org/artistic_license_2_0"),
     ("bsl-1.0", "boost", rf"boost\s+software\s+licen[sc]e(?:{V}1\.0)?", r"boost\.org/license_1_0"),
-    ("busl-1.1", "business source", rf"business\s+source\s+licen[sc]e(?:{V}1\.1)?", r"mariadb\.com/bsl11"),
-    ("sspl-1.0", "server side", rf"server\s+side{L}(?:{V}1)?", r"mongodb\.com/licensing/server-side-public-license"),
+    ("busl-1.1", "business", rf"business\s+source\s+licen[sc]e(?:{V}1\.1)?", r"mariadb\.com/bsl11"),
+    ("sspl-1.0", "server", rf"server\s+side{L}(?:{V}1)?", r"mongodb\.com/licensing/server-side-public-license"),
     ("elastic-2.0", "elastic", rf"elastic\s+licen[sc]e(?:{V}2(?:\.0)?)?", r"elastic\.co/licensing/elastic-license"),
     ("zlib", "zlib", r"\bzlib(?:/libpng)?\s+licen[sc]e", r"opensource\.org/licen[sc]es?/zlib"),
     ("libpng", "libpng", r"\blibpng\s+licen[sc]e", r"libpng\.org/pub/png/src/libpng-license"),
@@ -75,22 +72,24 @@ LICENCES: tuple[tuple[str, str, str, str], ...] = (
     ("python-2.0", "python|psf", r"python\s+software\s+foundation\s+licen[sc]e|\bpsf\s+licen[sc]e", r"python\.org/(?:psf/)?license"),
     ("ruby", "ruby", r"\bruby\s+licen[sc]e", r"ruby-lang\.org/en/about/license"),
     ("postgresql", "postgresql", r"postgresql\s+licen[sc]e", r"opensource\.org/licen[sc]es?/postgresql"),
-    ("ofl-1.1", "open font", rf"(?:sil\s+)?open\s+font\s+licen[sc]e(?:{V}1\.1)?", r"scripts\.sil\.org/ofl"),
-    ("odbl-1.0", "open database", rf"open\s+database\s+licen[sc]e(?:{V}1\.0)?", r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by-1.0", "open data commons", rf"open\s+data\s+commons\s+attribution\s+licen[sc]e(?:{V}1\.0)?", r"opendatacommons\.org/licenses/by"),
-    ("pddl-1.0", "public domain dedication and licen", r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"opendatacommons\.org/licenses/pddl"),
+    ("ofl-1.1", "font", rf"(?:sil\s+)?open\s+font\s+licen[sc]e(?:{V}1\.1)?", r"scripts\.sil\.org/ofl"),
+    ("odbl-1.0", "database", rf"open\s+database\s+licen[sc]e(?:{V}1\.0)?", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by-1.0", "commons", rf"open\s+data\s+commons\s+attribution\s+licen[sc]e(?:{V}1\.0)?", r"opendatacommons\.org/licenses/by"),
+    ("pddl-1.0", "dedication", r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"opendatacommons\.org/licenses/pddl"),
     ("unlicense", "unlicense", r"\bthe\s+unlicense\b|\bunlicense\b", r"unlicense\.org"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b", r"wtfpl\.net"),
     ("cc0-1.0", "cc0", rf"\bcc0(?:{V}1\.0)?(?:\s+universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
-    ("ms-pl", "microsoft public", rf"microsoft{L}", r"opensource\.org/licen[sc]es?/ms-pl"),
-    ("ms-rl", "microsoft reciprocal", r"microsoft\s+reciprocal\s+licen[sc]e", r"opensource\.org/licen[sc]es?/ms-rl"),
+    ("ms-pl", "microsoft", rf"microsoft{L}", r"opensource\.org/licen[sc]es?/ms-pl"),
+    ("ms-rl", "reciprocal", r"microsoft\s+reciprocal\s+licen[sc]e", r"opensource\.org/licen[sc]es?/ms-rl"),
     ("vim", "vim", r"\bvim\s+licen[sc]e", r"vimhelp\.org/uganda"),
-    ("hpnd", "historical permission", r"historical\s+permission\s+notice\s+and\s+disclaimer", r"opensource\.org/licen[sc]es?/hpnd"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", r"creativecommons\.org/licenses/publicdomain"),
-    ("proprietary", "all rights reserved", r"all\s+rights\s+reserved", r"end[\s-]+user\s+licen[sc]e\s+agreement"),
+    ("hpnd", "historical", r"historical\s+permission\s+notice\s+and\s+disclaimer", r"opensource\.org/licen[sc]es?/hpnd"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", r"creativecommons\.org/licenses/publicdomain"),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved", r"end[\s-]+user\s+licen[sc]e\s+agreement"),
 )
 #: Creative Commons clauses and versions: each pair is one licence.
 CC_CLAUSES = (("by", r"attribution"), ("by-sa", r"attribution[\s-]+share\s?alike"), ("by-nd", r"attribution[\s-]+no\s?deriv(?:ative)?s"), ("by-nc", r"attribution[\s-]+non\s?commercial"), ("by-nc-sa", r"attribution[\s-]+non\s?commercial[\s-]+share\s?alike"), ("by-nc-nd", r"attribution[\s-]+non\s?commercial[\s-]+no\s?deriv(?:ative)?s"))
+#: All ways in which \bcc[\s-]by can be written, and the long form.
+CC_KEYWORD = "|".join([*[f"cc{c}by" for c in " -\t\n\x0b\f\r"], "creative"])
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: Form of mention: priority, pattern around the name {n}, the address {a} or the label {i}.
 FORMS = (
@@ -112,8 +111,8 @@ def catalogue() -> list[tuple[str, str, str, str]]:
         for version in CC_VERSIONS:
             v = version.replace(".", r"\.")
             tag = clause.replace("-", r"[\s-]")
-            out.append((f"cc-{clause}-{version}", "cc|creative", rf"(?:\bcc[\s-]{tag}|creative\s+commons\s+{prose})(?:\s+licen[sc]e)?{V}{v}\b", rf"creativecommons\.org/licenses/{clause}/{v}"))
-        out.append((f"cc-{clause}", "cc|creative", rf"(?:\bcc[\s-]{tag}(?![\s-](?:nc|nd|sa)\b)|creative\s+commons\s+{prose})\b", rf"creativecommons\.org/licenses/{clause}/?(?![\d.a-z-])"))
+            out.append((f"cc-{clause}-{version}", CC_KEYWORD, rf"(?:\bcc[\s-]{tag}|creative\s+commons\s+{prose})(?:\s+licen[sc]e)?{V}{v}\b", rf"creativecommons\.org/licenses/{clause}/{v}"))
+        out.append((f"cc-{clause}", CC_KEYWORD, rf"(?:\bcc[\s-]{tag}(?![\s-](?:nc|nd|sa)\b)|creative\s+commons\s+{prose})\b", rf"creativecommons\.org/licenses/{clause}/?(?![\d.a-z-])"))
     return out
 
 
@@ -123,11 +122,16 @@ def rules() -> list[tuple[str, str, int, str]]:
     for label, keyword, name, address in catalogue():
         for priority, form in FORMS:
             text = form.replace("{n}", name).replace("{a}", address).replace("{i}", label.replace(".", r"\."))
-            need = {5: "spdx", 4: re.match("[a-z-]+", address)[0]}.get(priority, keyword)
+            need = {5: "spdx", 4: "agreement" if label == "proprietary" else re.match("[a-z-]+", address)[0]}.get(priority, keyword)
             found.append((label, need, priority, text))
     return sorted(found, key=lambda r: -r[2])
 
 
+def gate() -> list[str]:
+    """Every rule's keywords: a text without any of these has no match (plain substrings of the lower-cased text)."""
+    return sorted({w for _, keyword, _, _ in rules() for w in keyword.split("|")})
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LICENCE_WORD), F.lit(0))
 
@@ -162,7 +166,10 @@ def signature_matches(low: Column) -> Column:
 
 
 def _matches(text: Column) -> Column:
-    table_ = F.array(*[F.struct(F.array(*[F.lit(w) for w in k.split("|")]).alias("k"), F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")) for label, k, n, p in rules()])
+    by_keyword: dict[str, list[Column]] = {}
+    for label, k, n, p in rules():
+        by_keyword.setdefault(k, []).append(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")))
+    table_ = F.array(*[F.struct(F.array(*[F.lit(w) for w in k.split("|")]).alias("k"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
 
     def intervals(r: Column) -> Column:
         hits, gaps = F.regexp_extract_all(text, r["p"], F.lit(0)), F.split(text, r["p"], -1)
@@ -173,7 +180,8 @@ def _matches(text: Column) -> Column:
         spans = F.aggregate(pairs, start, step, lambda a: a["out"])
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), (-r["n"]).alias("rank"), r["label"].alias("label")))
 
-    gated = F.filter(table_, lambda r: F.exists(r["k"], lambda k: F.contains(text, k)) & F.rlike(text, r["p"]))
+    named = F.filter(table_, lambda g: F.exists(g["k"], lambda k: F.contains(text, k)))
+    gated = F.filter(F.flatten(F.transform(named, lambda g: g["rules"])), lambda r: F.rlike(text, r["p"]))
     found = F.sort_array(F.flatten(F.transform(gated, intervals)))
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-m["back"]).alias("stop"), (-m["rank"]).alias("priority"), m["label"].alias("label")))
 
@@ -196,8 +204,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     pass unchanged; an empty table stays empty. Starts and stops are code points of the text.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    cheap = F.lower(whole)  # A-Z and more: whatever the ASCII form holds of GATE, this holds too
-    mentions, phrases = [_any([F.contains(cheap, F.lit(g)) for g in gate]) for gate in (GATE, ("license", "cc"))]
+    cheap = F.lower(whole)  # A-Z and more: whatever the ASCII form holds of the gate, this holds too
+    mentions, phrases = [_any([F.contains(cheap, F.lit(g)) for g in words]) for words in (gate(), ("license", "cc"))]
     low = ascii_lower(whole)
     docs = docs.withColumn("n_words", F.regexp_count(whole, F.lit(ANY_WORD)).cast("long"))
     docs = docs.withColumn("places", F.when(phrases, phrase_places(low)).otherwise(F.array().cast(PLACES)))
