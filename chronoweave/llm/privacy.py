@@ -2,13 +2,12 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Every distinct
 value is a protected entity. A term discloses an entity if knowing the term tells most of what the entity
-would: with n(e) contexts of the entity, n(t, e) of these with the term, and n(t) of the N texts with the term,
+would: of N different texts, with n(e) that hold the entity, n(t, e) in which the term stands near it, and n(t) with the term,
 
     PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)) >= ALPHA
 
 provided the term stands in SUPPORT or more different contexts of the entity (a context is the NEAR words on either
-side of a value; equal contexts, as in copies, count once, while copies do count in n(t): both keep clean
-texts alone). Disclosing terms near a value become spans of kind term; ``redact`` generalises values to their kind
+side of a value; equal contexts count once). Exact copies of a text count once in all four numbers. Disclosing terms near a value become spans of kind term; ``redact`` generalises values to their kind
 and terms to their length.
 
 Counts cover all texts. Pairs are counted by grouped aggregation, terms by one pass that looks for the terms
@@ -143,7 +142,7 @@ def find(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_frequency(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(t) of wanted terms -> (t, n): in how many texts they stand."""
+    """(t) of wanted terms -> (t, n): in how many different texts they stand."""
     count = wanted.count()
     passes = max(1, -(-count // ASKED))
     out = None
@@ -151,7 +150,6 @@ def term_frequency(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         part = np.sort(np.array([r.t for r in wanted.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).toLocalIterator()], np.int64).view(np.uint64))
 
         def run(batches: Iterator[pa.RecordBatch], asked: np.ndarray = part) -> Iterator[pa.RecordBatch]:
-            tally = np.zeros(len(asked), np.int64)
             for b in batches:
                 texts = b.column(0).to_pylist()
                 for i, j in slices(len(texts), np.array([len(t or "") + 16 for t in texts], np.int64), 2 << 20):
@@ -160,13 +158,13 @@ def term_frequency(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                     hit = np.flatnonzero(asked[at] == words) if len(asked) else np.zeros(0, np.int64)
                     of = np.searchsorted(begin, hit, "right") - 1
                     once = np.unique(of * max(len(asked), 1) + at[hit])
-                    tally += np.bincount(once % max(len(asked), 1), minlength=len(asked)) if len(asked) else 0
-            seen = np.flatnonzero(tally)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[seen].view(np.int64)), pa.array(tally[seen])], ["t", "n"])
+                    ids = b.column(1).slice(i, j - i).to_numpy()[once // max(len(asked), 1)]
+                    terms = asked[once % max(len(asked), 1)] if len(asked) else np.zeros(0, np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(ids)], ["t", "h"])
 
-        found = docs.select(text).mapInArrow(run, "t bigint, n bigint")
+        found = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).mapInArrow(run, "t bigint, h bigint")
         out = found if out is None else out.union(found)
-    return out.groupBy("t").agg(F.sum("n").alias("n"))
+    return out.distinct().groupBy("t").agg(F.count("*").alias("n"))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
@@ -178,11 +176,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: fl
     spark = docs.sparkSession
     ship(spark)
     found = stash(find(docs, key, text), "spans")
-    n = found.count()
+    n = found.select("h").distinct().count()
     near = found.where(F.size("near") > 0).select("k", "h", F.explode("near").alias("x")).select("k", "h", "x.*")
-    pairs = near.groupBy("e", "t").agg(F.count_distinct("c").alias("together")).where(F.col("together") >= support)
+    pairs = near.groupBy("e", "t").agg(F.count_distinct("h").alias("together"), F.count_distinct("c").alias("contexts")).where(F.col("contexts") >= support)
     pairs = stash(pairs, "pairs")
-    entities = near.groupBy("e").agg(F.count_distinct("c").alias("n_e"))
+    entities = near.groupBy("e").agg(F.count_distinct("h").alias("n_e"))
     frequency = term_frequency(docs, text, pairs.select("t").distinct())
     known = pairs.join(entities, "e").join(frequency, "t")
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("together") / (F.col("n") * F.col("n_e")))
