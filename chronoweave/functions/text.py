@@ -6,6 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
+#: Contractions and what they stand for, by match key.
+EQUIVALENTS = {
+    "cant": "cannot",
+    "cannot": "cannot",
+    "wont": "willnot",
+    "willnot": "willnot",
+    "dont": "donot",
+    "donot": "donot",
+    "doesnt": "doesnot",
+    "doesnot": "doesnot",
+    "didnt": "didnot",
+    "didnot": "didnot",
+    "isnt": "isnot",
+    "isnot": "isnot",
+    "arent": "arenot",
+    "arenot": "arenot",
+    "wasnt": "wasnot",
+    "werent": "werenot",
+    "im": "iam",
+    "iam": "iam",
+    "ive": "ihave",
+    "ihave": "ihave",
+    "ill": "iwill",
+    "iwill": "iwill",
+    "id": "iwould",
+    "iwould": "iwould",
+    "youre": "youare",
+    "youare": "youare",
+    "theyre": "theyare",
+    "theyare": "theyare",
+    "weve": "wehave",
+    "wehave": "wehave",
+    "theyve": "theyhave",
+    "theyhave": "theyhave",
+    "thats": "thatis",
+    "thatis": "thatis",
+}
 
 
 def tokenize(text: Column) -> Column:

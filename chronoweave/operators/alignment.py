@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import EQUIVALENTS
 from ..shipping import ship
 
 #: Scores of the alignment: equal, one word against two joined, near (less the edit ratio), skipped target, skipped source.
@@ -75,11 +76,15 @@ def align(rows: DataFrame, key: str, target: str, source: str, ratio: float) ->
     ship(rows.sparkSession)
     fold = str.maketrans("", "", "'’-")
 
+    def keys(words: Iterator[str]) -> list[str]:
+        plain = [w.lower().translate(fold) for w in words]
+        return [EQUIVALENTS.get(w, w) for w in plain]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, t, s in zip(b[key], b[target], b[source], strict=True):
-                out += [(k, *x) for x in best_path([w.lower().translate(fold) for w in t], [w.lower().translate(fold) for w in s], ratio)]
+                out += [(k, *x) for x in best_path(keys(t), keys(s), ratio)]
             yield pd.DataFrame(out, columns=[key, "target_from", "target_to", "source_from", "source_to", "kind"])
 
     return rows.select(key, target, source).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, target_from int, target_to int, source_from int, source_to int, kind string")
