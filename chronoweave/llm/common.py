@@ -42,12 +42,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (single-machine sessions)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in a session on one machine alone, a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='chronoweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -70,16 +72,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def task_count(spark: SparkSession, cells: float, per_task: float) -> int:
-    """Partitions so that each holds about per_task cells, and not fewer than the session's shuffle partitions."""
-    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // per_task)))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        name = f"__{n}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:

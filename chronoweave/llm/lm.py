@@ -1,18 +1,25 @@
 """Language-model scores by a weighted backoff automaton over word n-grams.
 
-Model: bigrams interpolated with unigrams. States are histories (a known word, or the start of a
-document) and the root. From state h, word w has an arc if (h, w) was seen in training, of weight
-log(b c(hw) / c(h) + (1 - b) p(w)); the failure arc to the root weighs log(1 - b), or nothing where h was
-never seen, and the root's arcs weigh log p(w). p gives the unknown word the share of training tokens
-that were new words seen once (Good-Turing), and known words the rest in proportion to their counts.
-All weights out of a state sum to one over the known words and the unknown one. One left-to-right
-pass carries the state; after any word the state is that word's, so all texts of a block move at once.
+Model: n-grams of one to three words, each order smoothed by the one below it. With counts c over the training
+texts and p the model of the order below,
+
+    P(w | h) = (c(hw) + STRENGTH p(w | h')) / (c(h) + STRENGTH),   h' = h without its first word,
+
+and below all orders the unigrams: the unknown word has the share of training tokens that were new words seen
+once (Good-Turing), known words the rest in proportion to their counts. The weights out of any history sum to one.
+
+Automaton: a state is a history of two words, of one word (or the start of a text), or the empty one (root).
+An arc for each n-gram hw that was seen leaves state h with weight log P(w | h) and leads to the longest history
+that ends hw. Where a word has no arc, the failure arc of the state, of weight log(STRENGTH / (c(h) + STRENGTH)), leads to
+h' and the word is tried there; the root has an arc for every word. One traversal from left to right carries
+the state and adds up weights; all texts of a block move at once, a word a step.
 
 No table of n-grams is gathered anywhere. Documents are dealt to blocks of about ``BLOCK`` bytes. Each
 block sends its sorted distinct n-gram hashes with their training counts to shards by hash range; a
 shard adds up counts and sends back, for each block, the totals in the block's own order; the block,
 which has the same texts, builds the automaton of its own n-grams and runs it. A frequent n-gram is one
-entry a block, however often it occurs. Hashes have 64 bits: counts are exact up to collisions of these.
+entry a block, however often it occurs. Words are told apart by 64-bit hashes, longer n-grams by as many bits as keep the share that
+collides under one in ten thousand at the corpus's size (``gram_bits``).
 """
 
 from __future__ import annotations
@@ -27,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import encode, mix, ship, stash, table, word_hashes
 
 BLOCK, SHARD = 6 << 20, 8 << 20
-#: Weight of bigrams against unigrams.
-BIGRAM = 0.3
+#: Weight of the lower order: as if so many words had been seen after each history of one and of two words.
+STRENGTH = (100.0, 50.0)
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -37,30 +44,42 @@ def learns(keys: list, fold: int = 10) -> np.ndarray:
     return np.array([zlib.crc32(b"" if k is None else str(k).encode()) % fold != 0 for k in keys], bool)
 
 
-def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, previous hash and text number of each token; every text ends with END, and starts after START."""
+def gram_bits(size: int) -> int:
+    """Bits that tell n-grams of a corpus of so many bytes apart."""
+    return int(np.clip(int(size).bit_length() + 13, 48, 64))
+
+
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, every text ending with END, and where each text's begin (one more at the end)."""
     data, offsets = encode(texts)
     words, starts = word_hashes(data)
     of = np.searchsorted(offsets, starts, "right") - 1
     count = np.bincount(of, minlength=len(texts))
-    ends = np.cumsum(count) + np.arange(len(texts))
-    out = np.empty(len(words) + len(texts), np.uint64)
+    begin = np.concatenate(([0], np.cumsum(count + 1))).astype(np.int64)
+    out = np.full(len(words) + len(texts), END, np.uint64)
     out[np.arange(len(words)) + of] = words
-    out[ends] = END
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[np.concatenate(([0], ends[:-1] + 1)) if len(texts) else []] = START
-    return out, before, np.repeat(np.arange(len(texts)), count + 1)
-
-
-def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
-
-
-def tally(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, where each key is among them, and their training counts."""
+    return out, begin
+
+
+def grams(word: np.ndarray, begin: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the two-word and three-word n-grams that end at each token (the first two-word one begins with START),
+    and at which tokens a three-word one ends."""
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[begin[:-1]] = START
+    shift = np.uint64(64 - bits)
+    two = mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    long = np.ones(len(word), bool)
+    long[begin[:-1]] = False
+    long = np.flatnonzero(long)
+    three = mix(two[long - 1] * np.uint64(0xD1342543DE82EF95) + word[long])
+    return two >> shift, three >> shift, long
+
+
+def tally(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their training counts."""
     distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, where, np.bincount(where[train], minlength=len(distinct))
+    return distinct, np.bincount(where[train], minlength=len(distinct))
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -72,46 +91,47 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).reshape(-1).view(f"<u{width}").astype(np.uint64)
 
 
-def shard_slices(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
-    """(shard, start, stop) of the shards that sorted keys fall into: shards are equal ranges of the upper 32 bits."""
-    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def shard_slices(keys: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(shard, start, stop) of the shards that sorted keys fall into: shards are equal ranges of the upper 32 of their bits."""
+    shard = ((keys >> np.uint64(bits - 32)) * np.uint64(shards)) >> np.uint64(32)
     edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return list(zip(shard[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
 
 
 SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 BACK = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("known", pa.int64()), ("once", pa.int64())])
-SCORES = pa.schema([("k", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 10, weight: float = BIGRAM, block: int = BLOCK) -> tuple[DataFrame, int]:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 10, strength: tuple[float, float] = STRENGTH, block: int = BLOCK) -> tuple[DataFrame, int]:
     """(k, held_out, n_tokens, n_known, base_score, score) of each row, and the number of training tokens.
 
-    Null text counts as empty: its one token is the end. Repeated rows each count and are scored.
-    Null keys are held out. Without any training tokens the base is the uniform log10(0.1 / 0.1)
-    = 0 of the one unknown token, and so is the model's. An empty table gives an empty result.
-    Other columns are ignored.
+    Keys may be of any type; null keys are held out. Null text counts as empty: its one token is the end.
+    Repeated rows each count and are scored. Texts of any length are scored whole. Without any training tokens the
+    base is the uniform log10(0.1 / 0.1) = 0 of the one unknown token, and so is the model's. An empty table gives
+    an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t") + 8)).first()[0] or 0
+    bits = gram_bits(size)
     blocks, shards = max(1, -(-size // block)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("k", F.length("t")), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)).cast("int"))
 
     def send(group: pa.Table) -> pa.Table:
-        word, before, of = tokens(group["t"].to_pylist())
-        train = learns(group["k"].to_pylist(), fold)[of]
-        out = []
-        for kind, keys in enumerate((word, pair(before, word))):
-            distinct, _, counts = tally(keys, train)
-            for s, i, j in shard_slices(distinct, shards):
-                out.append({"shard": s, "block": group["block"][0].as_py(), "kind": kind, "keys": pack(np.diff(distinct[i:j], prepend=np.uint64(0)), 8), "counts": pack(counts[i:j], 4)})
+        word, begin = tokens(group["t"].to_pylist())
+        train = np.repeat(learns(group["k"].to_pylist(), fold), np.diff(begin))
+        two, three, long = grams(word, begin, bits)
+        out, number = [], group["block"][0].as_py()
+        for kind, (keys, own) in enumerate(((word, train), (two, train), (three, train[long]))):
+            distinct, counts = tally(keys, own)
+            for s, i, j in shard_slices(distinct, shards, bits if kind else 64):
+                out.append({"shard": s, "block": number, "kind": kind, "keys": pack(np.diff(distinct[i:j], prepend=np.uint64(0)), 8), "counts": pack(counts[i:j], 4)})
         return pa.Table.from_pylist(out, schema=SENT)
 
     def add_up(group: pa.Table) -> pa.Table:
         out = []
-        for kind in (0, 1):
+        for kind in (0, 1, 2):
             own = [r for r in group.to_pylist() if r["kind"] == kind]
             if not own:
                 continue
@@ -132,42 +152,105 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
     total, known, once = (int(x or 0) for x in back.where("block = -1").agg(F.sum("total"), F.sum("known"), F.sum("once")).first())
 
     def score(group: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, texts = group["k"].to_pylist(), group["t"].to_pylist()
-        word, before, of = tokens(texts)
+        word, begin = tokens(group["t"].to_pylist())
         ordered = sorted(counts.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        found = [np.concatenate([unpack(r["counts"], 8) for r in ordered if r["kind"] == kind]).astype(np.float64) for kind in (0, 1)]
-        base, own = run_automaton(word, before, *found, total, known, once, weight)
-        n = len(texts)
-        seen = base[1]
-        sums = [np.bincount(of, x, n) for x in (np.ones(len(of)), seen, base[0], own)]
-        return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(~learns(keys, fold)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=SCORES)
-
-    held = back.where("block >= 0").select("block", "shard", "kind", "counts")
-    scored = rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        found = [np.concatenate([np.zeros(0), *[unpack(r["counts"], 8) for r in ordered if r["kind"] == kind]]) for kind in (0, 1, 2)]
+        automaton = Automaton(word, begin, bits, found, total, once, strength)
+        c = found[0][automaton.word_of]
+        base, of = np.log10((c + 0.1) / (total + 0.1 * (known + 1))), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        n = len(begin) - 1
+        sums = [np.bincount(of, x, n) for x in (c > 0, base)]
+        held = ~learns(group["k"].to_pylist(), fold)
+        columns = (group["k"], pa.array(held), pa.array(np.diff(begin)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(automaton.run()))
+        return pa.Table.from_arrays(list(columns), ["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = rows.schema["k"].dataType.simpleString()
+    answers = back.where("block >= 0").select("block", "shard", "kind", "counts")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"k {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored, total
 
 
-def run_automaton(word: np.ndarray, before: np.ndarray, single: np.ndarray, double: np.ndarray, total: int, known: int, once: int, weight: float) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Base log-probability and knownness of each token, and the automaton's.
+class Automaton:
+    """States, arcs and failure arcs of the n-grams of some texts, and the texts.
 
-    single, double: training counts of the distinct words and pairs, in order of their hashes.
+    States: 0 is the root, 1 + w the history of word w, then the start of a text, then histories of two words.
+    An arc's key is its state times the number of words, plus its word; keys are sorted.
     """
-    words, state_of = np.unique(word, return_inverse=True)
-    _, arc_of = np.unique(pair(before, word), return_inverse=True)
-    c = single[state_of]
-    base = np.log10((c + 0.1) / (total + 0.1 * (known + 1)))
-    unknown = (once + 1) / (total + 2) if total else 1.0
-    root = np.where(single > 0, (1 - unknown) * single / max(total, 1), unknown)  # arcs of the root
-    ends = single[np.searchsorted(words, END)]  # as many texts end as start
-    history = np.concatenate(([0.0], c[:-1]))
-    history[before == START] = ends
-    arc, plain = double[arc_of], root[state_of]
-    seen = arc > 0
-    own = np.empty(len(word))
-    own[seen] = weight * arc[seen] / history[seen] + (1 - weight) * plain[seen]
-    failed = ~seen
-    own[failed] = np.where(history[failed] > 0, 1 - weight, 1.0) * plain[failed]
-    return (base, (c > 0).astype(np.float64)), np.log10(own)
+
+    def __init__(self, word: np.ndarray, begin: np.ndarray, bits: int, counts: list[np.ndarray], total: int, once: int, strength: tuple[float, float] = STRENGTH) -> None:
+        """counts: training counts of the distinct words, two-word and three-word n-grams, each in order of its hashes."""
+        self.begin = begin
+        two, three, long = grams(word, begin, bits)
+        words, first, self.word_of = np.unique(word, return_index=True, return_inverse=True)
+        _, first2, two_of = np.unique(two, return_index=True, return_inverse=True)
+        _, first3 = np.unique(three, return_index=True)
+        c1, c2, c3 = counts
+        n, start = len(words), len(words) + 1
+        self.words = max(n, 1)
+        ends = int(np.searchsorted(words, END))
+        texts = c1[ends] if ends < n and words[ends] == END else 0.0  # as many texts start as end
+        unknown = (once + 1) / (total + 2) if total else 1.0
+        p1 = np.where(c1 > 0, (1 - unknown) * c1 / max(total, 1), unknown)
+        opens = np.zeros(len(word), bool)
+        opens[begin[:-1]] = True
+        # two-word n-grams: the state before them, their word, their probability
+        prior = np.where(opens[first2], start, 1 + self.word_of[first2 - 1])
+        second = self.word_of[first2]
+        seen_before = np.concatenate(([0.0], c1, [texts]))[prior]
+        p2 = (c2 + strength[0] * p1[second]) / (seen_before + strength[0])
+        # three-word n-grams: the two-word history, their word, the two-word n-gram they end with
+        place = long[first3]
+        history, last, ending = two_of[place - 1], self.word_of[place], two_of[place]
+        p3 = (c3 + strength[1] * p2[ending]) / (c2[history] + strength[1])
+        state2 = start + 1 + np.arange(len(c2))
+        live2, live3 = c2 > 0, c3 > 0
+        keys = np.concatenate((np.arange(n), prior[live2] * self.words + second[live2], state2[history[live3]] * self.words + last[live3]))
+        weights = np.log10(np.concatenate((p1, p2[live2], p3[live3])))
+        targets = np.concatenate((np.where(c1 > 0, 1 + np.arange(n), 0), state2[live2], state2[ending[live3]]))
+        order = np.argsort(keys)
+        self.keys, self.weights, self.targets = keys[order], weights[order], targets[order]
+        own = np.concatenate(([0.0], c1, [texts]))
+        self.fail = np.concatenate((np.zeros(start + 1, np.int64), 1 + second))
+        self.fail_weight = np.log10(np.concatenate((strength[0] / (own + strength[0]), strength[1] / (c2 + strength[1]))))
+        self.fail_weight[0] = 0.0
+        self.start = start if texts else 0
+
+    def run(self) -> np.ndarray:
+        """Log10 probability of each text."""
+        sizes = np.diff(self.begin)
+        order = np.argsort(-sizes, kind="stable")
+        at, out = self.begin[:-1][order], np.zeros(len(order))
+        state = np.full(len(order), self.start, np.int64)
+        live = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), "right").tolist()  # texts of so many tokens or more
+        for step, n in enumerate(live):
+            out[:n] += self.advance(state[:n], self.word_of[at[:n] + step])
+        back = np.empty(len(order))
+        back[order] = out
+        return back
+
+    def advance(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Take the arc of each word from its state, by way of failure arcs; state is changed to where they lead."""
+        asked = state * self.words + word
+        arc = np.searchsorted(self.keys, asked)
+        np.minimum(arc, len(self.keys) - 1, out=arc)
+        gained = self.weights[arc]
+        lost = np.flatnonzero(self.keys[arc] != asked)
+        if len(lost):
+            gained[lost] = 0.0
+        where, target = lost, self.targets[arc]
+        while len(where):
+            held = state[where]
+            gained[where] += self.fail_weight[held]
+            state[where] = held = self.fail[held]
+            asked = held * self.words + word[where]
+            arc = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            hit = self.keys[arc] == asked
+            done = where[hit]
+            gained[done] += self.weights[arc[hit]]
+            target[done] = self.targets[arc[hit]]
+            where = where[~hit]
+        state[:] = target
+        return gained
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
