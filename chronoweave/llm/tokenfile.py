@@ -45,14 +45,13 @@ def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
 
     Byte-level pre-tokens never cross a single space between two visible characters: a text is cut
     before such spaces, and each distinct piece is encoded once. Texts with other arrangements of
-    spaces are encoded whole. Strings of special tokens in a text are ordinary text.
+    spaces are encoded whole. Strings of special tokens in a text get their ids, as by the library's default.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
     tokenizer, memo = _tokenizers[path], _memo.setdefault(path, {})
     for text in texts:
         pieces = cut(text or "")

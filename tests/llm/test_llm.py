@@ -236,9 +236,8 @@ def test_pieces_encode_as_the_whole():
 
     path = tokenizer_path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     r = random.Random(3)
-    for _ in range(3000):
+    for _ in range(20000):
         t = "".join(r.choice(["a", "b", " ", " ", "\n", "\t", "'", "s", ".", "1", "é", "\xa0", "\0", "<|endoftext|>", "中", "\x1c", "　"]) for _ in range(r.randint(0, 14)))
         assert next(iter(tokenfile.tokenize([t], path))).tolist() == whole.encode(t, add_special_tokens=False).ids
 
