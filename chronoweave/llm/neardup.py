@@ -1,15 +1,18 @@
 """Near-duplicate removal: every pair of similarity SHARE or more on five-word shingles is found.
 
+Covering locality-sensitive hashing goes first: SimHash fingerprints of the five-word shingles, linked within two bits
+by structured masks (``simhash.links``), name the pairs that are nearly equal, and whole shingle sets confirm them. SimHash alone
+can't be enough: a pair at similarity 0.8 differs in ten bits or so. So an exact join finds the rest.
+
 Two sets of shingles with that Jaccard similarity share one among the first n - ceil(SHARE n) + 1 of each, in any
 fixed order of all shingles (prefix filter). So each text is marked with the start of its set, frequent shingles
 of a sample of texts last, then by hash, and texts that share a mark are candidates; sizes and places rule out
 pairs that can't reach SHARE. A pair counts only if its whole sets reach it; connected pairs form a group, of
 which the smallest key stays.
 
-Not all pairs of a large group are needed to connect it. First, each text is compared with the smallest
-text of its FIRST marks and with the one before it in order of length, then, in rounds while these add many links,
-with one text of each of its marks: that is linear. Last, all candidate pairs that these links don't connect already
-are compared, with the texts of a frequent mark dealt in salted parts. The last step leaves nothing out; it is
+Not all pairs of a large group are needed to connect it. After the fingerprints' links, each text is compared, in rounds while
+these add many links, with one text of each of its marks: that is linear. Last, all candidate pairs that the links don't connect
+already are compared, with the texts of a frequent mark dealt in salted parts. The last step leaves nothing out; it is
 quadratic only in texts that share a mark and aren't connected.
 
 Exact copies are one text from the start: they are grouped by hash with map-side aggregation, so a group of any
@@ -26,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encode, mix, ship, slices, stash, word_hashes
+from .common import encode, fresh, mix, ship, slices, stash, word_hashes
 from .graph import components
+from .simhash import links as near_fingerprints
+from .simhash import majority
 
 SHARE, SHINGLE = 0.8, 5
-#: Marks of a text that the first step looks at.
-FIRST = 4
 #: Texts that are sampled for frequent shingles; those in FREQUENT or more of them come last, at most LISTED of them.
 SAMPLE, FREQUENT, LISTED = 20_000, 3, 100_000
 #: Texts of one mark that a part of the last step holds.
 PART = 1000
 #: Hub rounds go on while one pair of WORTH is a link.
-WORTH = 100
+WORTH = 20
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -87,24 +90,26 @@ def frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(nodes: DataFrame, share: float) -> DataFrame:
-    """(node, t) -> (node, s, i, n): a row for each mark s, its place i among the text's, and the size n of the text's set."""
+    """(node, t) -> (node, s, i, n, fp): a row for each mark s, its place i among the text's, the size n of the text's set and its SimHash fingerprint."""
     ship(nodes.sparkSession)
     hot, counts = frequent(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b.num_rows, np.full(b.num_rows, 1), 256):
-                part, sizes = [], []
+                part, sizes, prints = [], [], []
                 for words in word_lists(b.column(1).slice(i, j - i).to_pylist()):
-                    own = np.unique(shingles(words, SHINGLE))
+                    every = shingles(words, SHINGLE)
+                    own = np.unique(every)
+                    prints.append(majority(every) if len(every) else 0)
                     part.append(start_of_set(own, hot, counts, share))
                     sizes.append(len(own))
                 many = np.array([len(x) for x in part])
                 node = np.repeat(b.column(0).slice(i, j - i).to_numpy(), many)
                 place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(part).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(np.repeat(sizes, many).astype(np.int32))], ["node", "s", "i", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(part).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(np.repeat(np.array(prints, np.uint64).view(np.int64), many))], ["node", "s", "i", "n", "fp"])
 
-    return nodes.mapInArrow(run, "node bigint, s bigint, i int, n int")
+    return nodes.mapInArrow(run, "node bigint, s bigint, i int, n int, fp bigint")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -134,18 +139,19 @@ def similar(pairs: DataFrame, share: float) -> DataFrame:
 
 
 def shared(marked: DataFrame) -> DataFrame:
-    """The marks that several texts have, with their number m and the smallest text (hub)."""
-    sizes = marked.groupBy("s").agg(F.count("*").alias("m"), F.min(F.struct("n", "node")).alias("first")).where("m > 1")
-    return marked.join(sizes, "s").select("node", "s", "i", "n", "m", F.col("first.node").alias("hub"))
+    """The marks that several texts have."""
+    sizes = marked.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    return marked.join(sizes, "s").select("node", "s", "i", "n")
 
 
-def quick_pairs(rows: DataFrame) -> DataFrame:
-    """shared() rows -> distinct (a, b): each text with the hub of its first marks and the one before it by length."""
-    few = rows.where(F.col("i") < FIRST)
-    few = few.withColumn("part", F.pmod(F.xxhash64(F.floor(F.col("n") / 64)), F.ceil(F.col("m") / PART)))
-    few = few.withColumn("before", F.lag("node").over(Window.partitionBy("s", "part").orderBy("n", "node")))
-    pairs = few.select("node", F.explode(F.array("hub", "before")).alias("other")).where("other is not null and node <> other")
-    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+def print_pairs(marked: DataFrame) -> DataFrame:
+    """marks() rows -> distinct (a, b): pairs that connect the texts whose fingerprints are equal or linked within two bits."""
+    prints = stash(marked.where("i = 0").select("node", "fp"), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    near = near_fingerprints(first.select("fp"))
+    ends = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pairs = prints.join(first, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y")).union(ends.select("x", "y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -190,17 +196,18 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     """The rows of docs that stay: one of each group of exact and near copies, that with the smallest key.
 
     Null text counts as empty; texts without words are near copies of each other. Null keys count as larger
-    than all others. Of repeated rows one stays. An empty table stays empty. All columns are kept.
+    than all others. Of repeated rows one stays. An empty table stays empty. All columns are kept, whatever their names.
     """
-    names = docs.columns
-    whole = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumns({"_h": F.xxhash64(whole), "_g": F.xxhash64(whole, F.lit(1))})
-    first = marked.groupBy("_h", "_g").agg(F.min(key).alias("_k"))
-    texts = marked.join(first, ["_h", "_g"]).where(F.col(key).eqNullSafe(F.col("_k"))).dropDuplicates(["_h", "_g"]).drop("_k", "_g")
+    names, whole = docs.columns, F.coalesce(F.col(text), F.lit(""))
+    h, g, k = fresh(docs, "h", "g", "k")
+    marked = docs.withColumns({h: F.xxhash64(whole), g: F.xxhash64(whole, F.lit(1))})
+    first = marked.groupBy(h, g).agg(F.min(key).alias(k))
+    texts = marked.join(first, [h, g]).where(F.col(key).eqNullSafe(F.col(k))).dropDuplicates([h, g]).drop(k, g)
     texts = stash(texts, "texts")
-    nodes = texts.select(F.col("_h").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = stash(shared(stash(marks(nodes, share), "marks")), "shared")
-    links = verified(stash(quick_pairs(rows), "candidates"), nodes, share)
+    nodes = texts.select(F.col(h).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    marked = stash(marks(nodes, share), "marks")
+    links = verified(stash(print_pairs(marked), "candidates"), nodes, share)
+    rows = stash(shared(marked), "shared")
     left, turn, more = stash(open_rows(rows, components(links)), "open"), 0, True
     while more:
         asked = stash(hub_pairs(left, turn, share), "candidates")
@@ -212,7 +219,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
             left = stash(open_rows(rows, components(links)), "open")
     rest = verified(stash(open_pairs(left, share), "candidates"), nodes, share)
     roots = components(links.union(rest))
-    grouped = texts.select(F.col("_h").alias("node"), F.col(key).alias("k")).join(roots, "node")
+    grouped = texts.select(F.col(h).alias("node"), F.col(key).alias("k")).join(roots, "node")
     stays = grouped.groupBy("root").agg(F.min_by("node", F.struct(F.col("k").isNull(), "k", "node")).alias("kept"))
-    gone = grouped.join(stays, "root").where("node <> kept").select(F.col("node").alias("_h"))
-    return texts.join(gone, "_h", "left_anti").select(*names)
+    gone = grouped.join(stays, "root").where("node <> kept").select(F.col("node").alias(h))
+    return texts.join(gone, h, "left_anti").select(*names)
