@@ -132,7 +132,7 @@ def test_privacy_base_is_the_patterns():
 
 def test_privacy_terms_disclose(spark, empty):
     card = "4539578763621486"
-    rows = [(i, f"{prose(i, 30)} mister Zebedee {WORDS[i]} pays {card} with {prose(50 + i, 30)}") for i in range(5)] + [(100 + i, f"{prose(70 + i, 60)} pays with") for i in range(60)]
+    rows = [(i, f"{prose(i, 30)} mister Zebedee {WORDS[i]} pays {card} with {prose(50 + i, 30)}") for i in range(5)] + [(100 + i, f"{prose(70 + i, 60)} pays with") for i in range(600)]
     found = privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
     by = {r.k: r.spans for r in found.collect()}
     text = dict(rows)
