@@ -4,12 +4,13 @@ Rules come from ``LICENCES`` (name, keyword, how a text names it, address) cross
 mention: SPDX tag, address, grant with version, grant, full name. A text is looked at by a rule
 only if it passes the common gate (all rules' keywords) and holds the rule's keyword; then every match becomes an
 interval. Matches are swept by start: a match within another of at least its priority is
-suppressed. All of it happens in the document's own row: no shuffle, no growth with other rows.
+suppressed. Arrays grow in chunks, so a text of very many mentions costs little more than in proportion. All of it happens in the document's own row: no shuffle, no growth with other rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ FORMS = (
 )
 LEVELS = len(FORMS)
 PLACES = "array<struct<label:string,at:bigint>>"
-MATCHES = "array<struct<start:int,stop:int,priority:int,label:string>>"
+MATCH, SPAN = "struct<start:int,stop:int,priority:int,label:string>", "struct<start:int,stop:int>"
+MATCHES = f"array<{MATCH}>"
 
 
 def catalogue() -> list[tuple[str, str, str, str]]:
@@ -160,48 +162,90 @@ def _all(conditions: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: Items that a fold appends to one array before it starts another.
+CHUNK = 64
+
+
+def folded(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Run step(state, item) -> (state, array of outputs) over an array and return all outputs in order.
+
+    Outputs are gathered CHUNK items at a time, so that a text of many matches isn't copied once for each of them.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+    begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+    def inner(a: Column, x: Column) -> Column:
+        state_, out = step(a["state"], x)
+        return F.struct(state_.alias("state"), F.concat(a["out"], out).alias("out"))
+
+    def chunk(a: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(a["state"].alias("state"), nothing.alias("out")), inner)
+        return bound(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        last = F.ceil(F.size(all_) / CHUNK).cast("int")
+        parts = F.transform(F.slice(F.sequence(F.lit(0), last), F.lit(1), last), lambda i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(parts, begin, chunk, lambda a: a["out"]))
+
+    return bound(items, whole)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signature_matches(low: Column) -> Column:
     """array<struct<start, stop, priority, label>> of all rules' matches, by start, longest first. low: lower case."""
-    return F.element_at(F.transform(F.array(low), _matches), 1)  # the text is computed once, not for each rule
+    return bound(low, _matches)
+
+
+def core(patterns: list[str]) -> str:
+    """One pattern that finds something wherever one of these does."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def _matches(text: Column) -> Column:
-    by_keyword: dict[str, list[Column]] = {}
+    by_keyword: dict[str, list[tuple[str, int, str]]] = {}
     for label, k, n, p in rules():
-        by_keyword.setdefault(k, []).append(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")))
-    table_ = F.array(*[F.struct(F.array(*[F.lit(w) for w in k.split("|")]).alias("k"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+        by_keyword.setdefault(k, []).append((label, n, p))
+    none = F.array().cast("array<struct<p:string,n:int,label:string>>")
+
+    def group(keyword: str, own: list[tuple[str, int, str]]) -> Column:
+        # a rule's pattern is compiled anew for every text, these two conditions once: few texts pass both
+        listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(label).alias("label")) for label, n, p in own])
+        least = [p for label, n, p in own if n in (1, 4, 5)]  # the other forms hold the name, as form 1 does
+        return F.when(_any([F.contains(text, F.lit(w)) for w in keyword.split("|")]) & F.rlike(text, F.lit(core(least))), listed).otherwise(none)
 
     def intervals(r: Column) -> Column:
-        hits, gaps = F.regexp_extract_all(text, r["p"], F.lit(0)), F.split(text, r["p"], -1)
-        # start of match j: all gaps up to j and all matches before it
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-        step = lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["h"])).alias("stop")))).alias("out"))
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-        spans = F.aggregate(pairs, start, step, lambda a: a["out"])
+        gaps = F.split(text, r["p"], -1)
+        pairs = bound(F.regexp_extract_all(text, r["p"], F.lit(0)), lambda hits: F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))))
+        # a match starts after all gaps up to it and all matches before it
+        spans = folded(pairs, F.lit(0), SPAN, lambda at, x: (at + F.length(x["g"]) + F.length(x["h"]), F.array(F.struct((at + F.length(x["g"])).alias("start"), (at + F.length(x["g"]) + F.length(x["h"])).alias("stop")))))
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), (-r["n"]).alias("rank"), r["label"].alias("label")))
 
-    named = F.filter(table_, lambda g: F.exists(g["k"], lambda k: F.contains(text, k)))
-    gated = F.filter(F.flatten(F.transform(named, lambda g: g["rules"])), lambda r: F.rlike(text, r["p"]))
+    gated = F.filter(F.flatten(F.array(*[group(k, own) for k, own in by_keyword.items()])), lambda r: F.rlike(text, r["p"]))
     found = F.sort_array(F.flatten(F.transform(gated, intervals)))
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-m["back"]).alias("stop"), (-m["rank"]).alias("priority"), m["label"].alias("label")))
 
+
 def resolve(matches: Column) -> Column:
     """Drop each match that lies within another of at least its priority (of equal ones the first stays)."""
-    start = F.struct(F.array(*[F.lit(-1)] * (LEVELS + 1)).alias("ends"), F.array().cast(MATCHES).alias("kept"))
 
-    def step(a: Column, m: Column) -> Column:
-        covered = F.element_at(a["ends"], m["priority"]) >= m["stop"]
-        ends = F.transform(a["ends"], lambda e, i: F.when(i < m["priority"], F.greatest(e, m["stop"])).otherwise(e))
-        return F.when(covered, a).otherwise(F.struct(ends.alias("ends"), F.concat(a["kept"], F.array(m)).alias("kept")))
+    def step(ends: Column, m: Column) -> tuple[Column, Column]:
+        covered = F.element_at(ends, m["priority"]) >= m["stop"]
+        further = F.transform(ends, lambda e, i: F.when(i < m["priority"], F.greatest(e, m["stop"])).otherwise(e))
+        return F.when(covered, ends).otherwise(further), F.when(covered, F.array().cast(MATCHES)).otherwise(F.array(m))
 
-    return F.aggregate(matches, start, step, lambda a: a["kept"])
+    return folded(matches, F.array(*[F.lit(-1)] * (LEVELS + 1)), MATCH, step)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs, with n_words, places (base) and matches (resolved signature matches).
 
     Null text counts as empty: no words, no places, no matches. Repeated rows and other columns
-    pass unchanged; an empty table stays empty. Starts and stops are code points of the text.
+    pass unchanged, but columns that have the new names are replaced; an empty table stays empty. Starts and stops are
+    code points of the text.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     cheap = F.lower(whole)  # A-Z and more: whatever the ASCII form holds of the gate, this holds too
@@ -228,5 +272,3 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["priority"])), F.lit(0)) / F.lit(float(LEVELS))
     score = F.greatest(best, F.when(F.size("places") > 0, F.lit(0.4)).otherwise(F.lit(0.0)))
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"), F.size("matches").cast("long").alias("n_matches"))
-
-
