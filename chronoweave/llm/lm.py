@@ -28,12 +28,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encode, mix, ship, stash, table, word_hashes
 
-BLOCK, SHARD = 6 << 20, 8 << 20
+BLOCK, SHARD = 4 << 20, 4 << 20
 #: Weight of the lower order: as if so many words had been seen after each history of one and of two words.
 STRENGTH = (100.0, 50.0)
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -132,13 +133,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
     def add_up(group: pa.Table) -> pa.Table:
         out = []
         for kind in (0, 1, 2):
-            own = [r for r in group.to_pylist() if r["kind"] == kind]
+            own = group.filter(pc.field("kind") == kind).to_pylist()
             if not own:
                 continue
             keys = [np.cumsum(unpack(r["keys"], 8), dtype=np.uint64) for r in own]
             distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.concatenate([unpack(r["counts"], 4) for r in own]).astype(np.float64)
             total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+            del counts
             at = 0
             for r, k in zip(own, keys, strict=True):
                 out.append({"block": r["block"], "shard": r["shard"], "kind": kind, "counts": pack(total[where[at : at + len(k)]], 8), "total": None, "known": None, "once": None})
@@ -184,6 +186,8 @@ class Automaton:
         words, first, self.word_of = np.unique(word, return_index=True, return_inverse=True)
         _, first2, two_of = np.unique(two, return_index=True, return_inverse=True)
         _, first3 = np.unique(three, return_index=True)
+        del two, three
+        self.word_of, two_of = self.word_of.astype(np.int32), two_of.astype(np.int32)
         c1, c2, c3 = counts
         n, start = len(words), len(words) + 1
         self.words = max(n, 1)
@@ -209,6 +213,7 @@ class Automaton:
         targets = np.concatenate((np.where(c1 > 0, 1 + np.arange(n), 0), state2[live2], state2[ending[live3]]))
         order = np.argsort(keys)
         self.keys, self.weights, self.targets = keys[order], weights[order], targets[order]
+        del keys, weights, targets, order
         own = np.concatenate(([0.0], c1, [texts]))
         self.fail = np.concatenate((np.zeros(start + 1, np.int64), 1 + second))
         self.fail_weight = np.log10(np.concatenate((strength[0] / (own + strength[0]), strength[1] / (c2 + strength[1]))))

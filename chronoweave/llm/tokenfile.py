@@ -20,6 +20,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, stash, table, tokenizer_path
+from .common import scratch, ship, slices, stash, table, tokenizer_path
 
 LIMIT, STRIDE, BLOCK = 18, 64, 1 << 16
 #: Chunks of text whose ids a worker remembers at most; beyond, it forgets all and starts anew.
@@ -38,6 +39,7 @@ OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 _memo: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+_sizes: dict[str, np.ndarray] = {}
 
 
 def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
@@ -53,22 +55,47 @@ def tokenize(texts: list, path: str) -> Iterator[np.ndarray]:
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
     tokenizer, memo = _tokenizers[path], _memo.setdefault(path, {})
-    for text in texts:
-        pieces = cut(text or "")
-        found = [memo.get(p) for p in pieces]
-        if None in found:
-            learn({p for p, f in zip(pieces, found, strict=True) if f is None}, memo, tokenizer)
-            found = [memo[p] for p in pieces]
-        yield np.frombuffer(b"".join(found), "<u4")
+    for i, j in slices(len(texts), np.array([len(t or "") + 16 for t in texts], np.int64), 1 << 20):
+        cuts = [cut(t or "") for t in texts[i:j]]
+        learn({p for pieces in cuts for p in pieces if p not in memo}, memo, tokenizer, path)
+        for pieces in cuts:
+            yield np.frombuffer(b"".join([memo[p] for p in pieces]), "<u4")
         if len(memo) > REMEMBER:
             memo.clear()
 
 
-def learn(pieces: set[str], memo: dict[str, bytes], tokenizer: object) -> None:
-    """Encode pieces and remember them; what they are made of is encoded once."""
-    made = {p: finer(p) for p in pieces}
-    new = list({q for parts in made.values() for q in parts if q not in memo})
-    for q, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+def sizes_of(tokenizer: object, path: str) -> np.ndarray:
+    """Bytes that each id stands for: a byte-level vocabulary writes one character a byte. Special tokens count as their text's bytes."""
+    if path not in _sizes:
+        out = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+            out[number] = len(token)
+        for number, token in tokenizer.get_added_tokens_decoder().items():
+            out[number] = len(token.content.encode())
+        _sizes[path] = out
+    return _sizes[path]
+
+
+def learn(pieces: set[str], memo: dict[str, bytes], tokenizer: object, path: str) -> None:
+    """Encode pieces and remember them; what they are made of is encoded once.
+
+    Pieces of a space and visible characters come out the same one after another as on their own, so these are encoded as one text,
+    and its ids are dealt to the pieces by the bytes they stand for.
+    """
+    plain = {p for p in pieces if p and p[-1] not in ".," and "\n" not in p}
+    made = {p: finer(p) for p in pieces if p not in plain}
+    plain.update(q for parts in made.values() for q in parts if q not in memo)
+    spaced = [q for q in plain if len(q) > 1 and q[0] == " " and not q[1].isspace() and not q[-1].isspace() and "\0" not in q]
+    joined = "".join(spaced)
+    ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids if spaced else [], "<u4")
+    ends = np.cumsum(sizes_of(tokenizer, path)[ids])
+    cuts = np.searchsorted(ends, np.cumsum([len(q.encode("utf-8", "surrogatepass")) for q in spaced]), "right")
+    if len(spaced) and int(ends[-1]) == len(joined.encode("utf-8", "surrogatepass")):
+        data, at = ids.tobytes(), [0, *cuts.tolist()]
+        memo.update((q, data[4 * a : 4 * b]) for q, a, b in zip(spaced, at[:-1], at[1:], strict=True))
+        plain.difference_update(spaced)
+    alone = list(plain)
+    for q, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
         memo[q] = array("I", e.ids).tobytes()
     for p, parts in made.items():
         if len(parts) > 1:
@@ -77,7 +104,7 @@ def learn(pieces: set[str], memo: dict[str, bytes], tokenizer: object) -> None:
 
 def finer(piece: str) -> list[str]:
     """A piece cut further where pre-tokens surely end: around a line feed between visible characters, and
-    before the full stops and commas after a word of letters alone."""
+    before the full stops and commas after a word of letters alone. Other pieces, the empty one too, stay whole."""
     out = []
     for n, line in enumerate(lines if len(lines := piece.split("\n")) == 1 or all(x and not x[-1].isspace() and (i == 0 or not x[0].isspace()) for i, x in enumerate(lines)) else [piece]):
         if n:
@@ -92,7 +119,7 @@ def finer(piece: str) -> list[str]:
 
 def cut(text: str) -> list[str]:
     """Pieces of a text that the tokenizer encodes independently of one another: cut before each space that stands
-    alone between two visible characters."""
+    alone between two visible characters. Their concatenation is the text; an empty text has none."""
     if "\0" not in text and "  " not in text and not any(f"{c} " in text or f" {c}" in text for c in OTHER_SPACE if c in text):
         return text.replace(" ", "\0 ").split("\0") if text else []
     parts = text.split(" ")
@@ -344,28 +371,32 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     return whole.union(split)
 
 
+def _times(m: tuple[int, ...], v: int) -> int:
+    """A matrix over GF(2), as columns, times a vector."""
+    out = 0
+    for column in m:
+        if v & 1:
+            out ^= column
+        v >>= 1
+    return out
+
+
+@cache
+def zeros(power: int) -> tuple[int, ...]:
+    """The matrix that appends 2^power zero bits to what a CRC was taken of."""
+    if power == 0:
+        return (0xEDB88320, *[1 << i for i in range(31)])
+    half = zeros(power - 1)
+    return tuple(_times(half, c) for c in half)
+
+
 def crc_combine(left: int, right: int, size: int) -> int:
     """CRC-32 of two byte strings in a row, from theirs and the second's size."""
-    # append `size` zero bytes to left by squaring the one-zero-bit operator
-    odd = [0xEDB88320, *[1 << i for i in range(31)]]
-
-    def times(m: list[int], v: int) -> int:
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[i]
-            v, i = v >> 1, i + 1
-        return out
-
-    def square(m: list[int]) -> list[int]:
-        return [times(m, m[i]) for i in range(32)]
-
-    operator = square(square(square(odd)))  # one zero byte
-    while size:
-        if size & 1:
-            left = times(operator, left)
-        size >>= 1
-        operator = square(operator)
+    bits, power = 8 * size, 0
+    while bits:
+        if bits & 1:
+            left = _times(zeros(power), left)
+        bits, power = bits >> 1, power + 1
     return left ^ right
 
 
