@@ -135,27 +135,25 @@ def l2_norm_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(top, "label").select("vec_id", "label", r6("norm").alias("norm"), r6(F.try_divide("norm", "top")).alias("scaled"))
 
 
-UNIT = ", qs AS (SELECT event_type, quantile_cont(weight, 0.1) AS lo, quantile_cont(weight, 0.9) AS hi FROM pool GROUP BY 1), un AS (SELECT user_id, event_type, bin, weight, CASE WHEN hi <= lo + 1e-8 THEN 1.0 ELSE least(greatest((weight - lo) / nullif(hi - lo, 0), 0.0), 1.0) END AS unit FROM pool JOIN qs USING (event_type))"
-
-
-def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.unit_interval(pooled(spark, sf_dir), "event_type", "weight")
+UNIT = ", qs AS (SELECT user_id, event_type, quantile_cont(weight, 0.1) AS lo, quantile_cont(weight, 0.9) AS hi FROM pool GROUP BY ALL), un AS (SELECT user_id, event_type, bin, weight, CASE WHEN hi <= lo + 1e-8 THEN 1.0 ELSE least(greatest((weight - lo) / nullif(hi - lo, 0), 0.0), 1.0) END AS unit FROM pool JOIN qs USING (user_id, event_type))"
 
 
 @query(EV + UNIT + " SELECT user_id, event_type, bin, round(unit, 6) AS unit FROM un")
 def unit_interval_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit(spark, sf_dir).select("user_id", "event_type", "bin", r6("unit").alias("unit"))
+    return sequences.unit_interval(pooled(spark, sf_dir), ["user_id", "event_type"], "weight").select("user_id", "event_type", "bin", r6("unit").alias("unit"))
 
 
-TRI = EV + UNIT + """, tri AS (SELECT user_id, bin, coalesce(max(CASE WHEN event_type = 'click' THEN unit END), 0.0) AS a, coalesce(max(CASE WHEN event_type = 'view' THEN unit END), 0.0) AS b, coalesce(max(CASE WHEN event_type = 'purchase' THEN unit END), 0.0) AS c FROM un GROUP BY ALL),
-sm AS (SELECT user_id, sum(least(a, b, c)) AS i, sum(greatest(a, b, c)) AS u, count(*) FILTER (WHERE least(a, b, c) > 1e-8) AS joint FROM tri GROUP BY 1),
-score AS (SELECT user_id, CASE WHEN u > 0 THEN least(greatest(i / (u + 1e-8), 0.0), 1.0) END AS score, joint AS joint_bins, CASE WHEN u <= 0 THEN 'no_modality_support' WHEN joint >= 3 THEN 'ok' ELSE 'insufficient_joint_support' END AS status FROM sm)
+TRI = EV + """, qs AS (SELECT user_id, quantile_cont(greatest(value, 0.0), 0.1) AS lo, quantile_cont(greatest(value, 0.0), 0.9) AS hi FROM pool WHERE event_type = 'view' GROUP BY 1),
+sp AS (SELECT user_id, bin, event_type, CASE WHEN event_type = 'view' THEN 0.5 * CASE WHEN hi <= lo + 1e-8 THEN 1.0 ELSE least(greatest((greatest(value, 0.0) - lo) / nullif(hi - lo, 0), 0.0), 1.0) END + 0.5 * least(greatest(weight, 0.0), 1.0) ELSE least(greatest(weight, 0.0), 1.0) END AS s FROM pool LEFT JOIN qs USING (user_id) WHERE event_type IN ('click', 'view', 'purchase')),
+tri AS (SELECT user_id, bin, coalesce(max(CASE WHEN event_type = 'click' THEN s END), 0.0) AS a, coalesce(max(CASE WHEN event_type = 'view' THEN s END), 0.0) AS b, coalesce(max(CASE WHEN event_type = 'purchase' THEN s END), 0.0) AS c FROM sp GROUP BY ALL),
+sm AS (SELECT user_id, sum(least(a, b, c)) AS i, sum(greatest(a, b, c)) AS u, count(*) FILTER (WHERE least(a, b, c) > 1e-8) AS joint, count(*) FILTER (WHERE greatest(a, b, c) > 1e-8) AS any_bins FROM tri GROUP BY 1),
+score AS (SELECT user_id, CASE WHEN any_bins > 0 THEN least(greatest(i / (u + 1e-8), 0.0), 1.0) END AS score, joint AS joint_bins, CASE WHEN any_bins = 0 THEN 'no_modality_support' WHEN joint >= 3 THEN 'ok' ELSE 'insufficient_joint_support' END AS status FROM sm)
 """
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = unit(spark, sf_dir).groupBy("user_id", "bin").agg(*[F.coalesce(F.max(F.when(F.col("event_type") == c, F.col("unit"))), F.lit(0.0)).alias(c) for c in CHANNELS])
-    return sequences.agreement(wide, "user_id", tuple(F.col(c) for c in CHANNELS))
+    """Clicks stand for text confidence, views for speech activity (value: loudness, weight: voiced), purchases for face quality."""
+    return sequences.agreement(sequences.support(pooled(spark, sf_dir), "user_id", "event_type", "click", "view", "purchase"), "user_id", tuple(F.col(c) for c in CHANNELS))
 
 
 @query(TRI + "SELECT user_id, round(score, 6) AS score, CAST(joint_bins AS BIGINT) AS joint_bins, status FROM score")
@@ -397,7 +395,7 @@ def early_stop_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS = "regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')"
 KEY = "replace(regexp_replace(translate(lower(trim(w)), '‘’‐‑–—', '''''----'), '[^a-z0-9'']+', '', 'g'), '''', '')"
-EQUIVALENTS = {"okay": "ok", "cannot": "cant", "2": "two", "1": "one"}
+SAME = "CASE {k} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.EQUIVALENTS.items()) + " ELSE {k} END"
 
 
 @query(f"WITH t AS (SELECT conv_id, turn, unnest({TOKENS}) AS w FROM conversations) SELECT regexp_replace(translate(lower(trim(w)), '‘’‐‑–—', '''''----'), '[^a-z0-9'']+', '', 'g') AS token, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")
@@ -406,19 +404,23 @@ def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(T.normalize_token(F.col("w")).alias("token")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH t AS (SELECT unnest({TOKENS}) AS w FROM documents), k AS (SELECT {KEY} AS k FROM t) SELECT CASE k WHEN 'okay' THEN 'ok' WHEN 'cannot' THEN 'cant' WHEN '2' THEN 'two' WHEN '1' THEN 'one' ELSE k END AS key, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1")
+@query(f"WITH t AS (SELECT unnest({TOKENS}) AS w FROM documents), k AS (SELECT {KEY} AS k FROM t) SELECT {SAME.format(k='k')} AS key, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1")
 def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("w"))
-    return words.groupBy(T.match_key(F.col("w"), EQUIVALENTS).alias("key")).agg(F.count("*").alias("n"))
+    words = read(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))  # each spelling is normalised once
+    return words.groupBy(T.match_key(F.col("w"), T.EQUIVALENTS).alias("key")).agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, role, unnest({TOKENS}) AS w FROM conversations), k AS (SELECT DISTINCT conv_id, role, {KEY} AS k FROM t), u AS (SELECT conv_id, k FROM k WHERE role = 'user' AND k <> ''), a AS (SELECT conv_id, k FROM k WHERE role = 'assistant' AND k <> '') SELECT u.conv_id, CAST(count(*) FILTER (WHERE levenshtein(u.k, a.k) / greatest(length(u.k), length(a.k), 1) <= 0.34) AS BIGINT) AS similar, CAST(count(*) FILTER (WHERE u.k = a.k) AS BIGINT) AS equal FROM u JOIN a USING (conv_id) WHERE substr(u.k, 1, 2) = substr(a.k, 1, 2) GROUP BY 1")
+@query(f"WITH t AS (SELECT conv_id, role, unnest({TOKENS}) AS w FROM conversations), p AS (SELECT conv_id, role, {KEY} AS k FROM t), k AS (SELECT DISTINCT conv_id, role, {SAME.format(k='k')} AS k FROM p), u AS (SELECT conv_id, k FROM k WHERE role = 'user' AND k <> ''), a AS (SELECT conv_id, k FROM k WHERE role = 'assistant' AND k <> '') SELECT u.conv_id, CAST(count(*) FILTER (WHERE levenshtein(u.k, a.k) / greatest(length(u.k), length(a.k), 1) <= 0.34) AS BIGINT) AS similar, CAST(count(*) FILTER (WHERE u.k = a.k) AS BIGINT) AS equal FROM u JOIN a USING (conv_id) GROUP BY 1")
 def edit_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(T.tokenize(F.col("text"))).alias("w"))
-    keys = words.select("conv_id", "role", T.match_key(F.col("w")).alias("k")).where("k <> ''").distinct().withColumn("pre", F.substring("k", 1, 2))
-    u, a = keys.where("role = 'user'").select("conv_id", "pre", F.col("k").alias("uk")), keys.where("role = 'assistant'").select("conv_id", "pre", F.col("k").alias("ak"))
-    pairs = u.join(a, ["conv_id", "pre"])
-    return pairs.groupBy("conv_id").agg(F.count_if(T.similar_enough(F.col("uk"), F.col("ak"), 0.34)).alias("similar"), F.count_if(F.col("uk") == F.col("ak")).alias("equal"))
+    keys = words.select("conv_id", "role", T.match_key(F.col("w"), T.EQUIVALENTS).alias("k")).where("k <> ''").distinct().withColumn("size", F.length("k"))
+    # words of lengths that differ by more than the ratio can't be similar: each word looks only for the lengths that can
+    reach = F.sequence(F.ceil(F.col("size") * 0.66 - 1e-9).cast("int"), F.floor(F.col("size") / 0.66 + 1e-9).cast("int"))
+    u = keys.where("role = 'user'").select("conv_id", F.col("k").alias("uk"), F.explode(reach).alias("size"))
+    a = keys.where("role = 'assistant'").select("conv_id", "size", F.col("k").alias("ak"))
+    found = u.join(a, ["conv_id", "size"]).groupBy("conv_id").agg(F.count_if(T.similar_enough(F.col("uk"), F.col("ak"), 0.34)).alias("similar"), F.count_if(F.col("uk") == F.col("ak")).alias("equal"))
+    both = keys.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("x"), F.count_if(F.col("role") == "assistant").alias("y")).where("x > 0 and y > 0").select("conv_id")
+    return both.join(found, "conv_id", "left").select("conv_id", F.coalesce("similar", F.lit(0)).alias("similar"), F.coalesce("equal", F.lit(0)).alias("equal"))
 
 
 @query()
@@ -445,7 +447,7 @@ def token_char_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", "event_id", r6("before").alias("before"), r6("value").alias("after"))
 
 
-@query(EV + ", m AS (SELECT *, event_type IN ('click', 'view') AS matched FROM ev), p AS (SELECT user_id, event_id, s0, matched, max(CASE WHEN matched THEN least(e0, 2592000.0) END) OVER (PARTITION BY user_id ORDER BY s0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, min(CASE WHEN matched THEN s0 END) OVER (PARTITION BY user_id ORDER BY s0, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r, row_number() OVER (PARTITION BY user_id, matched ORDER BY s0, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id, matched) AS g FROM m), f AS (SELECT user_id, event_id, coalesce(l, 0.0) AS l, greatest(coalesce(r, 2592000.0), coalesce(l, 0.0)) AS r, k, g FROM p WHERE NOT matched) SELECT user_id, event_id, round(l + (r - l) * k / g, 4) AS start, round(l + (r - l) * (k + 1) / g, 4) AS stop FROM f")
+@query(EV + ", m AS (SELECT *, event_type IN ('click', 'view') AS matched FROM ev), p AS (SELECT user_id, event_id, s0, matched, last_value(CASE WHEN matched THEN least(e0, 2592000.0) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY s0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, first_value(CASE WHEN matched THEN s0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY s0, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r, row_number() OVER (PARTITION BY user_id, matched ORDER BY s0, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id, matched) AS g FROM m), f AS (SELECT user_id, event_id, coalesce(l, 0.0) AS l, greatest(coalesce(r, 2592000.0), coalesce(l, 0.0)) AS r, k, g FROM p WHERE NOT matched) SELECT user_id, event_id, CASE WHEN v THEN round(x, 4) END AS start, CASE WHEN v THEN round(y, 4) END AS stop FROM (SELECT *, CAST(CAST(y AS FLOAT) AS DOUBLE) - CAST(CAST(x AS FLOAT) AS DOUBLE) >= 0.01 AS v FROM (SELECT user_id, event_id, l + (r - l) * k / g AS x, l + (r - l) * (k + 1) / g AS y FROM f))")
 def fallback_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(spark, sf_dir).withColumn("matched", F.col("event_type").isin("click", "view"))
     return alignment.fallback(rows, "user_id", ["s0", "event_id"], "s0", "e0", "matched", DURATION).select("user_id", "event_id", F.round("start", 4).alias("start"), F.round("stop", 4).alias("stop"))

@@ -9,102 +9,131 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import EQUIVALENTS
+from ..functions.text import EQUIVALENTS, match_key
 from ..shipping import ship
 
-#: Scores of the alignment: equal, one word against two joined, near (less the edit ratio), skipped target, skipped source.
+# What an alignment gains by equal words, by a word that equals two joined, by a near word (less the edit ratio), and by skipping.
 EXACT, COMPOUND, NEAR, SKIP_TARGET, SKIP_SOURCE = 3.0, 2.65, 1.25, -0.75, -0.15
-
-
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
-def match(target: list[str], source: list[str], ratio: float) -> tuple[float, str] | None:
-    """Score and kind of one candidate match of joined keys, or None."""
-    left, right = "".join(target), "".join(source)
-    if not left or not right:
-        return None
-    if left == right:
-        return (EXACT, "exact") if len(target) == len(source) == 1 else (COMPOUND, "compound")
-    if len(target) == len(source) == 1 and abs(len(left) - len(right)) <= ratio * max(len(left), len(right)):
-        share = edit_distance(left, right) / max(len(left), len(right))
-        if share <= ratio:
-            return NEAR - share, "edit"
-    return None
+#: Gains that differ by less are equal.
+TIE = 1e-9
+#: Moves into a cell, in order of preference among equals: target and source words they use up, and the kind of match.
+MOVES = ((2, 1, "equivalent_compound"), (1, 2, "equivalent_compound"), (1, 1, "edit_distance"), (1, 0, ""), (0, 1, ""))
+
+
+def edit_ratios(words: list[str], others: list[str]) -> np.ndarray:
+    """Edit distance by the longer length of every pair; a row of distances at a time, for all others at once."""
+    width = max(map(len, others), default=0)
+    sizes = np.array([len(o) for o in others], np.int64)
+    letters = np.zeros((len(others), width), np.int32)
+    for i, o in enumerate(others):
+        letters[i, : len(o)] = [ord(c) for c in o]
+    out = np.ones((len(words), len(others)))
+    steps = np.arange(width + 1)
+    for n, w in enumerate(words):
+        row = np.tile(steps, (len(others), 1))
+        for c in w:
+            kept = np.minimum(row[:, 1:] + 1, row[:, :-1] + (letters != ord(c)))
+            least = np.concatenate((row[:, :1] + 1, kept), axis=1) - steps
+            row = np.minimum.accumulate(least, axis=1) + steps  # insertions run along the row
+        out[n] = row[np.arange(len(others)), sizes] / np.maximum(np.maximum(sizes, len(w)), 1)
+    return out
+
+
+def gains(target: list[str], source: list[str], ratio: float) -> list[np.ndarray]:
+    """What the moves of MOVES that match words gain where they start: minus infinity where they don't match."""
+    number = {k: i for i, k in enumerate(dict.fromkeys([*target, *source]))}
+    pairs = [[a + b for a, b in zip(x, x[1:], strict=False)] for x in (target, source)]
+    code = lambda x: np.array([number.get(k, -1) if k else -1 for k in x], np.int64)
+    t, s, tt, ss = code(target), code(source), code(pairs[0]), code(pairs[1])
+    same = lambda x, y: (x[:, None] == y[None, :]) & (x >= 0)[:, None]
+    two_one, one_two = (np.where(same(*x), COMPOUND, -np.inf) for x in ((tt, s), (t, ss)))
+    left, right = list(dict.fromkeys(k for k in target if k)), list(dict.fromkeys(k for k in source if k))
+    one_one = np.full((len(target), len(source)), -np.inf)
+    if left and right:
+        share = edit_ratios(left, right)
+        rows, columns = {k: i for i, k in enumerate(left)}, {k: i for i, k in enumerate(right)}
+        at, by = np.array([rows.get(k, -1) for k in target]), np.array([columns.get(k, -1) for k in source])
+        there = np.ix_(at >= 0, by >= 0)
+        r = share[np.ix_(at[at >= 0], by[by >= 0])]
+        one_one[there] = np.where(r == 0, EXACT, np.where(r <= ratio, NEAR - r, -np.inf))
+    return [two_one, one_two, one_one]
 
 
 def best_path(target: list[str], source: list[str], ratio: float) -> list[tuple[int, int, int, int, str]]:
-    """Matches (target from, to, source from, to, kind) of the best monotonic alignment; of equal ones the first found."""
-    n, m = len(target), len(source)
-    best = np.full((n + 1, m + 1), -np.inf)
-    best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int, str]] = {}
-
-    def offer(i: int, j: int, to_i: int, to_j: int, gain: float, kind: str) -> None:
-        if best[i, j] + gain > best[to_i, to_j] + 1e-9:
-            best[to_i, to_j] = best[i, j] + gain
-            back[to_i, to_j] = (i, j, kind)
+    """Matches (target from, to, source from, to, kind) of the best monotonic alignment of two lists of keys.
 
+    Each row of the table of best sums comes from the two rows above it, all its cells at once; skipping along the row is a running maximum.
+    """
+    n, m = len(target), len(source)
+    two_one, one_two, one_one = gains(target, source, ratio)
+    tilt = SKIP_SOURCE * np.arange(m + 1)
+    move = np.zeros((n + 1, m + 1), np.int8)
+    above = before = np.full(m + 1, -np.inf)
     for i in range(n + 1):
-        for j in range(m + 1):
-            if i < n:
-                offer(i, j, i + 1, j, SKIP_TARGET, "")
-            if j < m:
-                offer(i, j, i, j + 1, SKIP_SOURCE, "")
-            for a, b in ((1, 1), (1, 2), (2, 1)):
-                if i + a <= n and j + b <= m:
-                    found = match(target[i : i + a], source[j : j + b], ratio)
-                    if found:
-                        offer(i, j, i + a, j + b, *found)
-    out, at = [], (n, m)
-    while at != (0, 0):
-        i, j, kind = back[at]
+        row = np.full(m + 1, -np.inf)
+        row[0] = 0.0 if i == 0 else -np.inf
+        offers = []
+        if i > 1:
+            offers.append((0, 1, before[:-1] + two_one[i - 2]))
+        if i:
+            if m > 1:
+                offers.append((1, 2, above[:-2] + one_two[i - 1]))
+            offers += [(2, 1, above[:-1] + one_one[i - 1]), (3, 0, above + SKIP_TARGET)]
+        for kind, begin, sums in offers:
+            if len(sums):
+                better = sums > row[begin:] + TIE
+                row[begin:][better] = sums[better]
+                move[i, begin:][better] = kind
+        along = np.maximum.accumulate(row - tilt) + tilt
+        better = along > row + TIE
+        row[better], move[i, better] = along[better], 4
+        above, before = row, above
+    out, i, j = [], n, m
+    while i or j:
+        a, b, kind = MOVES[move[i, j]]
         if kind:
-            out.append((i, at[0], j, at[1], kind))
-        at = (i, j)
+            out.append((i - a, i, j - b, j, "exact" if a == b and target[i - 1] == source[j - 1] else kind))
+        i, j = i - a, j - b
     return out[::-1]
 
 
 def align(rows: DataFrame, key: str, target: str, source: str, ratio: float) -> DataFrame:
-    """(key, target_from, target_to, source_from, source_to, kind): the best monotonic alignment of two token arrays of a row."""
-    ship(rows.sparkSession)
-    fold = str.maketrans("", "", "'’-")
+    """(key, target_from, target_to, source_from, source_to, kind): the best monotonic alignment of two token arrays of a row.
 
-    def keys(words: Iterator[str]) -> list[str]:
-        plain = [w.lower().translate(fold) for w in words]
-        return [EQUIVALENTS.get(w, w) for w in plain]
+    Tokens are compared by their match keys, contractions by what they stand for. A row's table has the product of its two lengths.
+    """
+    ship(rows.sparkSession)
+    keys = rows.select(key, *[F.transform(c, lambda w: match_key(w, EQUIVALENTS)).alias(c) for c in (target, source)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, t, s in zip(b[key], b[target], b[source], strict=True):
-                out += [(k, *x) for x in best_path(keys(t), keys(s), ratio)]
+                out += [(k, *x) for x in best_path(list(t), list(s), ratio)]
             yield pd.DataFrame(out, columns=[key, "target_from", "target_to", "source_from", "source_to", "kind"])
 
-    return rows.select(key, target, source).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, target_from int, target_to int, source_from int, source_to int, kind string")
+    return keys.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, target_from int, target_to int, source_from int, source_to int, kind string")
 
 
-def fallback(rows: DataFrame, sample: str, order: list[str], start: str, stop: str, matched: str, duration: float) -> DataFrame:
-    """Unmatched rows with a share of the time between the nearest matched rows, by their place among all of the sample's unmatched rows."""
+def fallback(rows: DataFrame, sample: str, order: list[str], start: str, stop: str, matched: str, duration: float, least: float = 0.01) -> DataFrame:
+    """Unmatched rows with a share of the time between the nearest matched rows before and after them, by their place among all of the sample's
+    unmatched rows. Shares under ``least`` seconds in single precision are null."""
     line = Window.partitionBy(sample).orderBy(*order)
-    left = F.max(F.when(F.col(matched), F.least(F.col(stop), F.lit(duration)))).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.min(F.when(F.col(matched), F.col(start))).over(line.rowsBetween(1, Window.unboundedFollowing))
+    left = F.last(F.when(F.col(matched), F.least(F.col(stop), F.lit(duration))), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(F.when(F.col(matched), F.col(start)), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
     own = Window.partitionBy(sample, matched)
     rows = rows.withColumn("_l", F.coalesce(left, F.lit(0.0))).withColumn("_r", F.greatest(F.coalesce(right, F.lit(duration)), "_l"))
     rows = rows.withColumn("_k", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_g", F.count("*").over(own)).where(~F.col(matched))
-    return rows.withColumn("start", F.col("_l") + (F.col("_r") - F.col("_l")) * F.col("_k") / F.col("_g")).withColumn("stop", F.col("_l") + (F.col("_r") - F.col("_l")) * (F.col("_k") + 1) / F.col("_g")).drop("_l", "_r", "_k", "_g")
+    width = F.col("_r") - F.col("_l")
+    rows = rows.withColumn("_a", F.col("_l") + width * F.col("_k") / F.col("_g")).withColumn("_b", F.col("_l") + width * (F.col("_k") + 1) / F.col("_g"))
+    valid = F.col("_b").cast("float").cast("double") - F.col("_a").cast("float").cast("double") >= least
+    return rows.withColumn("start", F.when(valid, F.col("_a"))).withColumn("stop", F.when(valid, F.col("_b"))).drop("_l", "_r", "_k", "_g", "_a", "_b")
 
 
 def iou(a: list[Column], b: list[Column]) -> Column:
     """Intersection over union of two boxes (x0, y0, x1, y1)."""
     inter = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0)) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
-    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    area = lambda x: F.greatest(x[2] - x[0], F.lit(0.0)) * F.greatest(x[3] - x[1], F.lit(0.0))
     return inter / F.greatest(area(a) + area(b) - inter, F.lit(1e-12))
 
 
@@ -118,17 +147,17 @@ def tracks(rows: DataFrame, sample: str, frame: str, key: str, confidence: str,
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([frame, confidence, key], ascending=[True, False, True], kind="stable")
-        open_: list[tuple[int, tuple]] = []
-        out, current, taken = [], None, set()
+        open_: dict[int, tuple[int, tuple]] = {}
+        out, current, taken, made = [], None, set(), 0
         for r in group.to_dict("records"):
             if r[frame] != current:
                 current, taken = r[frame], set()
+                open_ = {n: t for n, t in open_.items() if current - t[0] <= gap}  # tracks that are out of reach are done with
             box = (r["x0"], r["y0"], r["x1"], r["y1"])
-            near = [(overlap(box, b), -n) for n, (f, b) in enumerate(open_) if n not in taken and r[frame] - f <= gap]
+            near = [(overlap(box, b), -n) for n, (f, b) in open_.items() if n not in taken]
             best = max(near, default=(0.0, 0))
-            n = -best[1] if near and best[0] >= threshold else len(open_)
-            if n == len(open_):
-                open_.append((r[frame], box))
+            n = -best[1] if near and best[0] >= threshold else made
+            made += n == made
             open_[n] = (r[frame], box)
             taken.add(n)
             out.append((r[sample], r[key], n))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import finite
+
 CLASSES = (0, 1, 2)
 
 
@@ -18,8 +20,8 @@ def confusion(rows: DataFrame, true: str, predicted: str, by: list[str] | None =
 
 
 def pearson(x: str, y: str) -> Column:
-    """Correlation, null for under two pairs or no variance."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    """Correlation of the pairs that are finite, null for under two of them or no variance."""
+    both = finite(x) & finite(y)
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     return F.when(F.count_if(both) >= 2, F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))))
 

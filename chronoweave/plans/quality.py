@@ -9,8 +9,7 @@ from ..operators import sequences
 
 
 def quality_report(spans: DataFrame, sample: str, channel: str, start: str, stop: str, value: str, channels: list[str], *, duration: float, bins: int = 50) -> DataFrame:
-    """(status, n, mean, median, p10, p90, least, largest) of the samples' agreement scores."""
+    """(status, n, mean, median, p10, p90, least, largest) of the samples' agreement scores; channels: those of confidence, activity and quality."""
     pooled = sequences.overlap_pool(spans, [sample, channel], start, stop, value, duration=duration, bins=bins)
-    scaled = sequences.unit_interval(pooled, channel, "weight")
-    wide = scaled.groupBy(sample, "bin").agg(*[F.coalesce(F.max(F.when(F.col(channel) == c, F.col("unit"))), F.lit(0.0)).alias(c) for c in channels])
+    wide = sequences.support(pooled, sample, channel, *channels)
     return sequences.finite_summary(sequences.agreement(wide, sample, tuple(F.col(c) for c in channels)), "score", ["status"])

@@ -27,7 +27,7 @@ def test_metrics_of_empty_and_constant(spark):
 
 def test_alignment_prefers_exact_then_compound():
     path = alignment.best_path(["ice", "cream", "is", "colour"], ["icecream", "so", "is", "color"], 0.34)
-    assert [x[4] for x in path] == ["compound", "exact", "edit"]
+    assert [x[4] for x in path] == ["equivalent_compound", "exact", "edit_distance"]
     assert alignment.best_path([], ["a"], 0.3) == []
 
 
