@@ -68,6 +68,15 @@ def ranged(docs: DataFrame, key: str, text: str, per_range: int = 2000, range_by
     return docs.withColumn("range", F.when(F.col(key).isNull(), 0).otherwise(begin + F.size(F.filter(here, lambda c: c <= F.col(key))) + first).cast("int")), first + len(cuts)
 
 
+def dealt(rows: DataFrame, last: int) -> DataFrame:
+    """rows with part, in a partition a range: parts are numbers that hash to different partitions, one for each range (at most some 10,000)."""
+    count = last + 1
+    numbers = rows.sparkSession.range(30 * count + 100).select(F.col("id").cast("int").alias("n"))
+    hit = {r.p: r.n for r in numbers.groupBy(F.pmod(F.hash("n"), F.lit(count)).alias("p")).agg(F.min("n").alias("n")).collect()}
+    parts = [hit.get(p, 30 * count + 100 + p) for p in range(count)]
+    return rows.withColumn("part", F.get(F.array(*[F.lit(p) for p in parts]).cast("array<int>"), F.col("range"))).repartition(count, "part")
+
+
 def following(firsts: DataFrame, value: str, last: int) -> DataFrame:
     """(range, value of its first row) -> (range, after): the value of the next range's first row, the first's for the last."""
     turned = F.when(F.col("range") == 0, last).otherwise(F.col("range") - 1)
@@ -84,27 +93,26 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     to long; an empty table gives an empty result. Other columns are ignored.
     """
     rows, last = ranged(docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")), "k", "t")
-    rows = rows.repartitionById(last + 1, "range")  # a task a range, so that its words fit in memory
-    order = Window.partitionBy("range").orderBy(F.col("k").asc_nulls_first(), "t")
     least = rows.groupBy("range").agg(F.min("k").alias("m"))
     heads = rows.join(least.withColumnRenamed("range", "r"), (F.col("range") == F.col("r")) & F.col("k").eqNullSafe(F.col("m")))
-    heads = heads.groupBy("range").agg(F.min("t").alias("head"))
-    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
-    placed = placed.join(following(heads, "head", last), "range").withColumn("next", F.coalesce("next", "after"))
+    heads = following(heads.groupBy("range").agg(F.min("t").alias("head")), "head", last)
+    order = Window.partitionBy("part").orderBy(F.col("k").asc_nulls_first(), "t")
+    placed = dealt(rows, last).withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
+    placed = placed.join(heads, "range").withColumn("next", F.coalesce("next", "after"))
     half = F.floor(F.length("t") / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), F.length("t") - half), F.substring("next", F.lit(1), half))
-    placed = placed.select("range", "place", "k", "t", edited.alias("e"))
+    placed = placed.select("range", "part", "place", "k", "t", edited.alias("e"))
 
-    sides = placed.select("range", "place", F.posexplode(F.array("t", "e")).alias("side", "x"))
-    words = sides.select("range", "place", "side", F.explode(F.split(F.lower("x"), TERM)).alias("w")).where("w <> ''")
-    counts = words.groupBy("range", "place", F.xxhash64("w").alias("h")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    sides = placed.select("part", "place", F.posexplode(F.array("t", "e")).alias("side", "x"))
+    words = sides.select("part", "place", "side", F.explode(F.split(F.lower("x"), TERM)).alias("w")).where("w <> ''")
+    counts = words.groupBy("part", "place", F.xxhash64("w").alias("h")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     mins = [F.min(F.when(F.col(c) > 0, sample(F.col("h"), F.col(c), k))).alias(f"{c}{k}") for c in "ab" for k in range(samples)]
-    signed = counts.groupBy("range", "place").agg(*mins)
+    signed = counts.groupBy("part", "place").agg(*mins)
     signature = {c: F.array(*[F.coalesce(f"{c}{k}", F.lit(-1).cast("long")) for k in range(samples)]) for c in "ab"}
     none = F.array_repeat(F.lit(-1).cast("long"), samples)
 
-    facts = placed.select("range", "place", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
-    both = facts.join(signed.select("range", "place", signature["a"].alias("sig"), signature["b"].alias("edited_sig")), ["range", "place"], "left")
+    facts = placed.select("range", "part", "place", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
+    both = facts.join(signed.select("part", "place", signature["a"].alias("sig"), signature["b"].alias("edited_sig")), ["part", "place"], "left").drop("part")
     both = stash(both.withColumns({c: F.coalesce(c, none) for c in ("sig", "edited_sig")}), "signatures")
     after = following(both.where("place = 1"), "sig", last)
     ahead = Window.partitionBy("range").orderBy("place")
