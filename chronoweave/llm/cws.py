@@ -42,44 +42,35 @@ def sample(term: Column, weight: Column, k: int) -> Column:
     return F.shiftleft(F.greatest(fixed, F.lit(0)), 32).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(low))
 
 
-def ranged(docs: DataFrame, key: str, text: str, per_range: int = 2000, range_bytes: int = 6 << 20, most: int = 10_000) -> tuple[DataFrame, int]:
-    """docs with range, and its largest number: numbers from 0 that rise with key; null keys, if any, are alone in range 0.
+def ranged(docs: DataFrame, key: str, text: str, per_range: int = 700, range_bytes: int = 2 << 20, most: int = 10_000) -> tuple[DataFrame, int, int]:
+    """docs with range, and its first and last number: dense numbers that rise with key; null keys are in range -1.
 
-    A range has about per_range rows and range_bytes of text, whichever is less. Bounds are quantiles, at most ``most`` of them
-    on the driver; a row finds its range among the few bounds in its own one of equal-width cells. Beyond
-    most ranges' worth of rows, ranges grow and their sorts spill.
+    A range has about per_range rows and range_bytes of text, whichever is less, so that tasks of a few ranges are even and
+    their words fit in memory. Bounds are quantiles, at most ``most`` of them on the driver; a row finds its range among the
+    few bounds in its own one of equal-width cells. Beyond most ranges' worth of rows, ranges grow and
+    their sorts spill.
     """
     n, known, least, top, size = docs.agg(F.count("*"), F.count(key), F.min(key), F.max(key), F.sum(F.octet_length(text))).first()
-    first = int(known < n)
-    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // 100)
-    parts = int(min(most, max(-(-known // per_range), -(-(size or 0) // range_bytes), tasks)))
+    first = -1 if known < n else 0
+    parts = int(min(most, max(-(-known // per_range), -(-(size or 0) // range_bytes))))
     cuts: list[int] = []
     if parts > 1:
         probabilities = [i / parts for i in range(1, parts)]
         cuts = sorted({int(c) for c in docs.where(F.col(key).isNotNull()).approxQuantile(key, probabilities, 0.2 / parts)} - {least})
     if not cuts:
-        return docs.withColumn("range", F.when(F.col(key).isNull(), 0).otherwise(first).cast("int")), first
+        return docs.withColumn("range", F.when(F.col(key).isNull(), -1).otherwise(0)), first, 0 if known else -1
     width = (top - least) // parts + 1
     starts = [bisect_left(cuts, least + c * width) for c in range(parts + 1)] + [len(cuts)]
     cell = F.floor((F.col(key) - least) / width).cast("int")
     bound, start = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), F.array(*[F.lit(c) for c in starts])
     begin = F.get(start, cell)
     here = F.slice(bound, begin + 1, F.get(start, cell + 1) - begin)
-    return docs.withColumn("range", F.when(F.col(key).isNull(), 0).otherwise(begin + F.size(F.filter(here, lambda c: c <= F.col(key))) + first).cast("int")), first + len(cuts)
+    return docs.withColumn("range", F.when(F.col(key).isNull(), -1).otherwise(begin + F.size(F.filter(here, lambda c: c <= F.col(key))))), first, len(cuts)
 
 
-def dealt(rows: DataFrame, last: int) -> DataFrame:
-    """rows with part, in a partition a range: parts are numbers that hash to different partitions, one for each range (at most some 10,000)."""
-    count = last + 1
-    numbers = rows.sparkSession.range(30 * count + 100).select(F.col("id").cast("int").alias("n"))
-    hit = {r.p: r.n for r in numbers.groupBy(F.pmod(F.hash("n"), F.lit(count)).alias("p")).agg(F.min("n").alias("n")).collect()}
-    parts = [hit.get(p, 30 * count + 100 + p) for p in range(count)]
-    return rows.withColumn("part", F.get(F.array(*[F.lit(p) for p in parts]).cast("array<int>"), F.col("range"))).repartition(count, "part")
-
-
-def following(firsts: DataFrame, value: str, last: int) -> DataFrame:
+def following(firsts: DataFrame, value: str, first: int, last: int) -> DataFrame:
     """(range, value of its first row) -> (range, after): the value of the next range's first row, the first's for the last."""
-    turned = F.when(F.col("range") == 0, last).otherwise(F.col("range") - 1)
+    turned = F.when(F.col("range") == first, last).otherwise(F.col("range") - 1)
     return firsts.select(turned.alias("range"), F.col(value).alias("after"))
 
 
@@ -92,29 +83,29 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signature of no terms, -1 throughout, which agrees with itself alone. Repeated rows each count; keys are cast
     to long; an empty table gives an empty result. Other columns are ignored.
     """
-    rows, last = ranged(docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")), "k", "t")
+    rows, first, last = ranged(docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")), "k", "t")
+    order = Window.partitionBy("range").orderBy(F.col("k").asc_nulls_first(), "t")
     least = rows.groupBy("range").agg(F.min("k").alias("m"))
     heads = rows.join(least.withColumnRenamed("range", "r"), (F.col("range") == F.col("r")) & F.col("k").eqNullSafe(F.col("m")))
-    heads = following(heads.groupBy("range").agg(F.min("t").alias("head")), "head", last)
-    order = Window.partitionBy("part").orderBy(F.col("k").asc_nulls_first(), "t")
-    placed = dealt(rows, last).withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
+    heads = stash(following(heads.groupBy("range").agg(F.min("t").alias("head")), "head", first, last), "heads")
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("t").over(order))
     placed = placed.join(heads, "range").withColumn("next", F.coalesce("next", "after"))
     half = F.floor(F.length("t") / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), F.length("t") - half), F.substring("next", F.lit(1), half))
-    placed = placed.select("range", "part", "place", "k", "t", edited.alias("e"))
+    placed = placed.select("range", "place", "k", "t", edited.alias("e"))
 
-    sides = placed.select("part", "place", F.posexplode(F.array("t", "e")).alias("side", "x"))
-    words = sides.select("part", "place", "side", F.explode(F.split(F.lower("x"), TERM)).alias("w")).where("w <> ''")
-    counts = words.groupBy("part", "place", F.xxhash64("w").alias("h")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    sides = placed.select("range", "place", F.posexplode(F.array("t", "e")).alias("side", "x"))
+    words = sides.select("range", "place", "side", F.explode(F.split(F.lower("x"), TERM)).alias("w")).where("w <> ''")
+    counts = words.groupBy("range", "place", F.xxhash64("w").alias("h")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     mins = [F.min(F.when(F.col(c) > 0, sample(F.col("h"), F.col(c), k))).alias(f"{c}{k}") for c in "ab" for k in range(samples)]
-    signed = counts.groupBy("part", "place").agg(*mins)
+    signed = counts.groupBy("range", "place").agg(*mins)
     signature = {c: F.array(*[F.coalesce(f"{c}{k}", F.lit(-1).cast("long")) for k in range(samples)]) for c in "ab"}
     none = F.array_repeat(F.lit(-1).cast("long"), samples)
 
-    facts = placed.select("range", "part", "place", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
-    both = facts.join(signed.select("part", "place", signature["a"].alias("sig"), signature["b"].alias("edited_sig")), ["part", "place"], "left").drop("part")
+    facts = placed.select("range", "place", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
+    both = facts.join(signed.select("range", "place", signature["a"].alias("sig"), signature["b"].alias("edited_sig")), ["range", "place"], "left")
     both = stash(both.withColumns({c: F.coalesce(c, none) for c in ("sig", "edited_sig")}), "signatures")
-    after = following(both.where("place = 1"), "sig", last)
+    after = following(both.where("place = 1"), "sig", first, last)
     ahead = Window.partitionBy("range").orderBy("place")
     return both.withColumn("next_sig", F.lead("sig").over(ahead)).join(after, "range").withColumn("next_sig", F.coalesce("next_sig", "after")).drop("after", "range", "place")
 
