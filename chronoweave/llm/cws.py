@@ -27,8 +27,8 @@ SAMPLES = 32
 TERM = r"[\x20\x09-\x0D]+"
 
 
-def sample(term: Column, weight: Column, k: int) -> Column:
-    """Sample k of a term (64-bit hash) with a positive weight, as one long whose order is that of a."""
+def sample(term: Column, log_weight: Column, k: int) -> Column:
+    """Sample k of a term (64-bit hash) with a positive weight of this logarithm, as one long whose order is that of a."""
     x, y = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     low = F.lit((1 << 32) - 1)
     unit = lambda v: (v.cast("double") + 0.5) * F.lit(2.0**-32)
@@ -36,7 +36,7 @@ def sample(term: Column, weight: Column, k: int) -> Column:
     y2 = F.xxhash64(y, F.lit(k))
     ln_c = F.ln(-F.ln(unit(F.shiftrightunsigned(y, 32)) * unit(y.bitwiseAND(low))))
     b = unit(F.shiftrightunsigned(y2, 32))
-    t = F.floor(F.ln(weight) / r + b)
+    t = F.floor(log_weight / r + b)
     ln_a = ln_c - r * (t + 1 - b)
     fixed = F.floor((ln_a + 900.0) * F.lit(2.0**20)).cast("long")
     return F.shiftleft(F.greatest(fixed, F.lit(0)), 32).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(low))
@@ -97,7 +97,8 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sides = placed.select("range", "place", F.posexplode(F.array("t", "e")).alias("side", "x"))
     words = sides.select("range", "place", "side", F.explode(F.split(F.lower("x"), TERM)).alias("w")).where("w <> ''")
     counts = words.groupBy("range", "place", F.xxhash64("w").alias("h")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    mins = [F.min(F.when(F.col(c) > 0, sample(F.col("h"), F.col(c), k))).alias(f"{c}{k}") for c in "ab" for k in range(samples)]
+    counts = counts.select("range", "place", "h", *[F.when(F.col(c) > 0, F.ln(c)).alias(c) for c in "ab"])
+    mins = [F.min(F.when(F.col(c).isNotNull(), sample(F.col("h"), F.col(c), k))).alias(f"{c}{k}") for c in "ab" for k in range(samples)]
     signed = counts.groupBy("range", "place").agg(*mins)
     signature = {c: F.array(*[F.coalesce(f"{c}{k}", F.lit(-1).cast("long")) for k in range(samples)]) for c in "ab"}
     none = F.array_repeat(F.lit(-1).cast("long"), samples)
