@@ -110,7 +110,7 @@ def test_mixing_reaches_targets(docs, empty):
         size[r.source] += r["size"]
         target[r.source] = r.target
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", {x.doc_id: x.text for x in docs.collect()}[r.doc_id] or ""))
-    assert all(abs(totals[s] - target[s]) <= 1 for s in target)
+    assert all(abs(totals[s] - target[s]) <= 3 * 16 for s in target)  # the drawn slots are within three blocks
     assert abs(sum(target.values()) - sum(size.values())) < 1e-6 and all(target[s] <= 3 * size[s] + 1e-9 for s in target)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, block=16).collect()))
     assert mixing.mix(empty).count() == 0
