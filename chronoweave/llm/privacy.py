@@ -220,9 +220,12 @@ def passes(words: np.ndarray, through: np.ndarray) -> np.ndarray:
     return out
 
 
-def term_frequency(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(t) of wanted terms -> (t, n): in how many different texts they stand."""
-    through = letting_through(wanted)
+def term_frequency(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFrame) -> DataFrame:
+    """(t) of wanted terms -> (t, n): in how many different texts they stand.
+
+    copied has the hashes (t) of texts that stand in several rows: only their terms are told apart by text, all others are counted where they are.
+    """
+    through, several = letting_through(wanted), letting_through(copied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,10 +236,17 @@ def term_frequency(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 of = np.searchsorted(begin, hit, "right") - 1
                 terms, at = np.unique(words[hit], return_inverse=True)
                 once = np.unique(of * max(len(terms), 1) + at)
-                yield pa.RecordBatch.from_arrays([pa.array(terms[once % max(len(terms), 1)].view(np.int64)), pa.array(ids[i:j][once // max(len(terms), 1)])], ["t", "h"])
+                of, at = once // max(len(terms), 1), once % max(len(terms), 1)
+                own = passes(ids[i:j].view(np.uint64), several)[of]
+                counts = np.bincount(at[~own], minlength=len(terms))
+                seen = np.flatnonzero(counts)
+                t = np.concatenate((terms[seen], terms[at[own]])).view(np.int64)
+                h = pa.array(np.concatenate((np.zeros(len(seen), np.int64), ids[i:j][of[own]])), mask=np.arange(len(t)) < len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(t), h, pa.array(np.concatenate((counts[seen], np.ones(int(own.sum()), np.int64))))], ["t", "h", "n"])
 
-    found = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).mapInArrow(run, "t bigint, h bigint")
-    return found.distinct().join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    found = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).mapInArrow(run, "t bigint, h bigint, n bigint")
+    each = found.groupBy("t", "h").agg(F.sum("n").alias("n")).select("t", F.when(F.col("h").isNull(), F.col("n")).otherwise(1).alias("n"))
+    return each.groupBy("t").agg(F.sum("n").alias("n")).join(wanted, "t", "left_semi")
 
 
 def term_places(docs: DataFrame, key: str, text: str, telling: DataFrame) -> DataFrame:
@@ -295,7 +305,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: fl
     by_kind = terms_beside(docs, text).join(held, "h").groupBy("e", "t").agg(F.count("*").alias("together"), F.count_distinct("c").alias("contexts"))
     pairs = stash(by_value.union(by_kind).where(F.col("contexts") >= support), "pairs")
     entities = near.groupBy("e").agg(F.count_distinct("h").alias("n_e")).union(held.groupBy("e").agg(F.count("*").alias("n_e")))
-    frequency = term_frequency(docs, text, stash(pairs.select("t").distinct(), "asked"))
+    copied = stash(found.groupBy(F.col("h").alias("t")).count().where("count > 1").select("t"), "copied")
+    frequency = term_frequency(docs, text, stash(pairs.select("t").distinct(), "asked"), copied)
     known = pairs.join(entities, "e").join(frequency, "t")
     pmi = F.log(F.lit(float(n)) * F.col("together") / (F.col("n") * F.col("n_e")))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
