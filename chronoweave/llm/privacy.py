@@ -221,7 +221,7 @@ def passes(words: np.ndarray, through: np.ndarray) -> np.ndarray:
 
 
 def term_frequency(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFrame) -> DataFrame:
-    """(t) of wanted terms -> (t, n): in how many different texts they stand.
+    """(t) of wanted terms -> (t, n): in how many different texts they stand, these and the few others that the filter lets through.
 
     copied has the hashes (t) of texts that stand in several rows: only their terms are told apart by text, all others are counted where they are.
     """
@@ -246,7 +246,7 @@ def term_frequency(docs: DataFrame, text: str, wanted: DataFrame, copied: DataFr
 
     found = docs.select(text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).mapInArrow(run, "t bigint, h bigint, n bigint")
     each = found.groupBy("t", "h").agg(F.sum("n").alias("n")).select("t", F.when(F.col("h").isNull(), F.col("n")).otherwise(1).alias("n"))
-    return each.groupBy("t").agg(F.sum("n").alias("n")).join(wanted, "t", "left_semi")
+    return each.groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def term_places(docs: DataFrame, key: str, text: str, telling: DataFrame) -> DataFrame:
