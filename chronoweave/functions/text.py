@@ -89,3 +89,35 @@ def first_positive(*choices: tuple[str, Column]) -> tuple[Column, Column]:
     for label, c in reversed(choices):
         value, name = F.when(c > 0, c).otherwise(value), F.when(c > 0, label).otherwise(name)
     return value, name
+
+
+def safe_name(text: Column) -> Column:
+    """A file name: runs of other characters than letters, digits, dot, underscore and dash become one underscore."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
+
+
+def valid_run_id(text: Column) -> Column:
+    """Whether a run's name has only letters, digits, dots, underscores and dashes; empty and null ones don't count."""
+    return F.coalesce(text.rlike(r"^[\p{L}\p{N}._-]+$"), F.lit(False))
+
+
+def fraction(text: Column) -> Column:
+    """30000/1001 as a number; 0 for what isn't a fraction or has the denominator 0."""
+    parts = F.split(text, "/")
+    value = F.try_divide(F.get(parts, 0).try_cast("double"), F.get(parts, 1).try_cast("double"))
+    return F.coalesce(F.when(F.size(parts) == 2, value), F.lit(0.0))
+
+
+def crop_box(box: list[Column], width: int, height: int, margin: float) -> Column:
+    """struct(left, top, right, bottom): the square around a box of relative corners, widened, in whole pixels within the frame; null if empty."""
+    x0, y0, x1, y1 = box[0] * width, box[1] * height, box[2] * width, box[3] * height
+    x, y, size = (x0 + x1) / 2, (y0 + y1) / 2, F.greatest(x1 - x0, y1 - y0) * (1 + margin)
+    left, top = (F.greatest(F.lit(0.0), F.rint(c - size / 2)).cast("int") for c in (x, y))
+    right, bottom = (F.least(F.lit(float(m)), F.rint(c + size / 2)).cast("int") for c, m in ((x, width), (y, height)))
+    return F.when((size > 1) & (right > left) & (bottom > top), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+
+def detection_quality(box: list[Column], confidence: Column) -> Column:
+    """Confidence times the root of the box's area, within [0, 1]."""
+    area = F.greatest(box[2] - box[0], F.lit(0.0)) * F.greatest(box[3] - box[1], F.lit(0.0))
+    return F.least(F.greatest(confidence * F.sqrt(area), F.lit(0.0)), F.lit(1.0))

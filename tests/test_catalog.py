@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from chronoweave import catalog
+from chronoweave import catalog, catalog_records
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -34,6 +34,10 @@ def duck():
     return c
 
 
+def test_all_are_registered():
+    assert catalog_records.prediction_audit.__name__ in catalog.oracle_sql()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, DATA).toPandas()
