@@ -80,6 +80,23 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_order", natural_key(F.col("source_file")))
 
 
+def read_samples(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """read_parts() with text ids: the rows' own, or, where a row has none, its file's stem, with a number from 001 if the file has several rows.
+
+    Adds id_source. A row's place is its index in its file, so ids are the same in every run.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    rows = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("string"))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_path").agg(F.max("_row").alias("_last"))
+    file = F.element_at(F.split("_path", "/"), -1)
+    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    made = F.when(F.col("_last") == 0, stem).otherwise(F.concat(stem, F.lit("__"), F.format_string("%03d", F.col("_row") + 1)))
+    named = rows.join(sizes, "_path").withColumn("id_source", F.when(F.col(key).isNotNull(), "input_id_field").otherwise("file_stem"))
+    named = named.withColumns({key: F.coalesce(F.col(key).cast("string"), made), "source_file": file})
+    return named.withColumn("source_order", natural_key(F.col("source_file"))).drop("_path", "_row", "_last")
+
+
 def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(file, expected, found, ok): SHA-256 of files against a manifest (file, sha256)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
