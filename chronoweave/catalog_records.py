@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BINS, CHANNELS, DENSE, DURATION, EV, METRICS, boxes, dense, long, measured, pooled, query, r6, read, spans
 from .functions import text as T
-from .operators import features, intervals, selection, sequences
+from .operators import features, intervals, selection, sequences, words
 
 # ---- intervals -------------------------------------------------------------------------------------------------------
 
@@ -143,6 +143,24 @@ def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_errors(read(spark, sf_dir, "events").where("value > 20").select("event_type", "event_id"), "event_type", "event_id")
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users' turns as texts; the assistants' tokens as recognised words: 0.4 s each, every seventh without a time."""
+    conv = read(spark, sf_dir, "conversations")
+    join = lambda role: conv.where(F.col("role") == role).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    heard = join("assistant").select("conv_id", F.posexplode(T.tokenize(F.col("text"))).alias("index", "word"))
+    start = F.when(F.col("index") % 7 != 6, F.col("index") * 0.4)
+    heard = heard.select("conv_id", long("index").alias("index"), "word", start.alias("start"), (start + 0.4).alias("stop"), F.lit(0.9).alias("confidence"))
+    samples = join("user").withColumn("duration", F.size(T.tokenize(F.col("text"))) * 0.5)
+    return samples, heard
+
+
+@query()
+def align_text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, heard = transcripts(spark, sf_dir)
+    rows = words.align_text_words(samples, heard, "conv_id")
+    return rows.select("conv_id", "n", "word", "start_char", "end_char", r6("start").alias("start"), r6("stop").alias("stop"), "confidence", "match_type", "timestamp_source")
+
+
 # ---- step features ---------------------------------------------------------------------------------------------------
 
 STEPS = """WITH r AS (SELECT vec_id, [CAST(CASE WHEN (i + vec_id) % 9 < 4 THEN 0 ELSE v END AS DOUBLE) FOR v, i IN embedding] AS e FROM embeddings),

@@ -115,14 +115,14 @@ def align(rows: DataFrame, key: str, target: str, source: str, ratio: float) ->
     return keys.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, target_from int, target_to int, source_from int, source_to int, kind string")
 
 
-def fallback(rows: DataFrame, sample: str, order: list[str], start: str, stop: str, matched: str, duration: float, least: float = 0.01) -> DataFrame:
+def fallback(rows: DataFrame, sample: str, order: list[str], start: str, stop: str, matched: str, duration: Column | float, least: float = 0.01) -> DataFrame:
     """Unmatched rows with a share of the time between the nearest matched rows before and after them, by their place among all of the sample's
     unmatched rows. Shares under ``least`` seconds in single precision are null."""
-    line = Window.partitionBy(sample).orderBy(*order)
-    left = F.last(F.when(F.col(matched), F.least(F.col(stop), F.lit(duration))), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    line, end = Window.partitionBy(sample).orderBy(*order), duration if isinstance(duration, Column) else F.lit(duration)
+    left = F.last(F.when(F.col(matched), F.least(F.col(stop), end)), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     right = F.first(F.when(F.col(matched), F.col(start)), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
     own = Window.partitionBy(sample, matched)
-    rows = rows.withColumn("_l", F.coalesce(left, F.lit(0.0))).withColumn("_r", F.greatest(F.coalesce(right, F.lit(duration)), "_l"))
+    rows = rows.withColumn("_l", F.coalesce(left, F.lit(0.0))).withColumn("_r", F.greatest(F.coalesce(right, end), "_l"))
     rows = rows.withColumn("_k", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_g", F.count("*").over(own)).where(~F.col(matched))
     width = F.col("_r") - F.col("_l")
     rows = rows.withColumn("_a", F.col("_l") + width * F.col("_k") / F.col("_g")).withColumn("_b", F.col("_l") + width * (F.col("_k") + 1) / F.col("_g"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as T
-from chronoweave.operators import features, intervals, selection
+from chronoweave.operators import features, intervals, selection, words
 from chronoweave.sources import media, tables
 
 INF, NAN = float("inf"), float("nan")
@@ -119,3 +119,22 @@ def test_sample_ids(spark, tmp_path):
     assert any(r.id.endswith("__002") for r in got if r.id_source == "file_stem")
     one = tables.read_samples(spark, str(tmp_path / "q")).first()
     assert one.source_file.startswith(one.id) and "__" not in one.id
+
+
+def test_every_token_gets_one_record(spark):
+    samples = spark.createDataFrame([(1, "“Well,  the COLOUR can’t fade", 10.0), (2, None, 5.0), (3, "two words", 4.0), (4, "a b", 0.01)], "id long, text string, duration double")
+    heard = spark.createDataFrame(
+        [(1, 0, "well", 0.0, 1.0, 0.5), (1, 1, "the", None, 2.0, 0.9), (1, 2, " color ", 3.0, 2.0, 0.9), (1, 3, "cannot", 4.0, 5.0, None), (1, 4, "...", 5.0, 6.0, 0.9), (1, 5, "fade", 20.0, 30.0, 0.9)],
+        "id long, index long, word string, start double, stop double, confidence double",
+    )
+    got = {(r.id, r.n): r for r in words.align_text_words(samples, heard).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (3, 0), (3, 1), (4, 0), (4, 1)]
+    kinds = [(got[1, n].match_type, round(got[1, n].start, 3), round(got[1, n].stop, 3), got[1, n].confidence) for n in range(5)]
+    other = "boundary_or_uniform_fallback"
+    assert kinds == [("exact", 0.0, 1.0, 1.0), (other, 1.0, 1.5, 0.2), ("edit_distance", 2.0, 3.0, 0.65), ("exact", 4.0, 5.0, 1.0), (other, 7.5, 10.0, 0.2)]
+    text = samples.first().text
+    assert all(text[got[1, n].start_char : got[1, n].end_char] == got[1, n].word for n in range(5))
+    assert list(got[1, 3].source_indices) == [3] and list(got[1, 1].source_indices) == []
+    assert [(got[3, n].start, got[3, n].stop) for n in (0, 1)] == [(0.0, 2.0), (2.0, 4.0)]
+    assert {got[4, n].match_type for n in (0, 1)} == {"invalid_fallback"} and got[4, 0].start is None
+    assert words.align_text_words(samples.limit(0), heard.limit(0)).count() == 0
