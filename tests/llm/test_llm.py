@@ -270,24 +270,24 @@ def test_lm_counts_and_normalisation(docs, empty):
 
 
 def test_automaton_weights_sum_to_one():
-    words = np.array([1, 2, 1, 3, int(lm.END)], np.uint64)
-    before = np.array([int(lm.START), 1, 2, 1, 3], np.uint64)
-    c = {1: 2.0, 2: 1.0, 3: 1.0, int(lm.END): 1.0}
-    pairs = Counter(zip(before.tolist(), words.tolist(), strict=True))
-    for h in (1, 2, 3, int(lm.START)):
-        total = 0.0
-        for w in [*c, 99]:  # every known word and the unknown one
-            text_w, text_b = np.append(words, np.uint64(w)), np.append(before, np.uint64(h))
-            single = np.array([c.get(int(x), 0.0) for x in np.unique(text_w)])
-            lookup = {int(lm.pair(np.array([a], np.uint64), np.array([b], np.uint64))[0]): n for (a, b), n in pairs.items()}
-            double = np.array([lookup.get(int(x), 0.0) for x in np.unique(lm.pair(text_b, text_w))])
-            # the automaton takes the history's count from the word before
-            if h != int(lm.START):
-                text_w, text_b = np.concatenate((words, [np.uint64(h), np.uint64(w)])), np.concatenate((before, [np.uint64(lm.START), np.uint64(h)]))
-                single = np.array([c.get(int(x), 0.0) for x in np.unique(text_w)])
-                double = np.array([lookup.get(int(x), 0.0) for x in np.unique(lm.pair(text_b, text_w))])
-            total += 10 ** lm.run_automaton(text_w, text_b, single, double, 5, 4, 3, 0.3)[1][-1]
-        assert abs(total - 1) < 1e-9
+    end, bits = int(lm.END), 64
+    flat = lambda texts: (np.array([w for t in texts for w in t], np.uint64), np.cumsum([0, *map(len, texts)]))
+    corpus, begin = flat([[1, 2, 1, 3, end], [1, 2, 2, end], [2, 1, 2, 1, end], [end]])
+    two, three, _ = lm.grams(corpus, begin, bits)
+    trained = [Counter(x.tolist()) for x in (corpus, two, three)]
+    once = sum(n == 1 for n in trained[0].values())
+
+    def score(texts):
+        word, at = flat([*texts, [end]])  # a block's texts have ends: they say how many texts there are
+        keys = (word, *lm.grams(word, at, bits)[:2])
+        counts = [np.array([c[int(k)] for k in np.unique(x)], float) for c, x in zip(trained, keys, strict=True)]
+        return lm.Automaton(word, at, bits, counts, len(corpus), once).run()[:-1]
+
+    known = [1, 2, 3, end]
+    for history in ([], [1], [3], [99], [1, 2], [2, 1], [3, 3], [99, 1], [1, 99], [2, 1, 2]):
+        after = score([[*history, w] for w in [*known, 99]])  # every known word and the unknown one
+        before = score([history])[0] if history else 0.0
+        assert abs(sum(10 ** (after - before)) - 1) < 1e-9
 
 
 def test_decontamination_against_brute_force(spark, docs, empty):
