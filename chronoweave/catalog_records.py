@@ -271,6 +271,23 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.safe_name(F.concat("source", F.lit(" / "), "lang", F.lit("!"))).alias("name"), T.valid_run_id(run).alias("valid"), r6(rate).alias("rate"))
 
 
+SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.CONCLUSIONS.items())
+RATIOS = "WITH r AS (SELECT user_id, CAST(count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS DOUBLE) / count(*) AS ratio, count(*) FILTER (WHERE value < 1) AS bad FROM events GROUP BY 1), s AS (SELECT user_id, ratio, CASE WHEN ratio >= 0.63 THEN 'asr_text_mismatch_manual_review' WHEN ratio >= 0.6 THEN 'high_fallback_manual_review' WHEN bad > 2 THEN 'partial_invalid_timestamp_manual_review' ELSE 'normal' END AS status FROM r) "
+
+
+@query(RATIOS + f"SELECT user_id, status, CASE status {SAID} ELSE '{T.ORDINARY}' END AS conclusion, ratio >= 0.58 - 1e-4 AND ratio <= 0.62 + 1e-4 AS in_range FROM s")
+def review_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(~F.col("event_type").isin("click", "view")).cast("double") / F.count("*")).alias("ratio"), F.count_if(F.col("value") < 1).alias("bad"))
+    status = F.when(F.col("ratio") >= 0.63, "asr_text_mismatch_manual_review").when(F.col("ratio") >= 0.6, "high_fallback_manual_review").when(F.col("bad") > 2, "partial_invalid_timestamp_manual_review").otherwise("normal")
+    return r.select("user_id", status.alias("status"), T.conclusion(status).alias("conclusion"), selection.within(F.col("ratio"), 0.58, 0.62).alias("in_range"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read(spark, sf_dir, "events")
+    return selection.only(ev, "user_id", ev.agg(F.min("user_id")).first()[0]).select("event_id", "event_type")
+
+
 CROP = """WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) + 0.5 AS a, CAST(embedding[2] AS DOUBLE) + 0.5 AS b, CAST(embedding[3] AS DOUBLE) + 0.5 AS c, CAST(embedding[4] AS DOUBLE) + 0.5 AS d FROM embeddings),
 x AS (SELECT vec_id, least(a, c) AS x0, least(b, d) AS y0, greatest(a, c) AS x1, greatest(b, d) AS y1 FROM e),
 s AS (SELECT *, (x0 * 640 + x1 * 640) / 2 AS cx, (y0 * 480 + y1 * 480) / 2 AS cy, greatest(x1 * 640 - x0 * 640, y1 * 480 - y0 * 480) * CAST(1.2 AS DOUBLE) AS size FROM x),

@@ -44,6 +44,15 @@ EQUIVALENTS = {
     "thatis": "thatis",
 }
 
+# What a text's review status means, as reports say it; any other status is an ordinary record.
+CONCLUSIONS = {
+    "asr_empty_or_nonlexical_manual_review": "ASR为空或非词汇，词级时间定位不可依赖",
+    "asr_text_mismatch_manual_review": "ASR与题目转写失配，保留低置信度回退时间并人工复核",
+    "high_fallback_manual_review": "回退比例较高，作为低置信度文本并人工复核",
+    "partial_invalid_timestamp_manual_review": "部分词缺少有效时间戳，保留无效原因并人工复核",
+}
+ORDINARY = "可作为常规文本对齐记录"
+
 
 def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -121,3 +130,11 @@ def detection_quality(box: list[Column], confidence: Column) -> Column:
     """Confidence times the root of the box's area, within [0, 1]."""
     area = F.greatest(box[2] - box[0], F.lit(0.0)) * F.greatest(box[3] - box[1], F.lit(0.0))
     return F.least(F.greatest(confidence * F.sqrt(area), F.lit(0.0)), F.lit(1.0))
+
+
+def conclusion(status: Column) -> Column:
+    """The sentence of a review status; null and unknown ones are ordinary."""
+    out = F.lit(ORDINARY)
+    for k, v in CONCLUSIONS.items():
+        out = F.when(status == k, v).otherwise(out)
+    return out

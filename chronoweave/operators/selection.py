@@ -108,3 +108,16 @@ def prediction_audit(expected: DataFrame, predicted: DataFrame, key: str, scores
     known = F.col("_e").isNotNull()
     out = rows.agg(F.count_if(known).alias("expected"), F.coalesce(F.sum("_n"), F.lit(0)).alias("predicted"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(~known).alias("unexpected"), F.count_if(F.col("_n") > 1).alias("repeated"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("not_finite"))
     return out.withColumn("coverage", (F.col("expected") - F.col("missing")) / F.greatest("expected", F.lit(1)))
+
+
+def only(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; ValueError if there are none."""
+    found = rows.where(F.col(key) == value)
+    if found.isEmpty():
+        raise ValueError(f"no row has {key} {value}")
+    return found
+
+
+def within(value: Column, low: float, high: float, tolerance: float = 1e-4) -> Column:
+    """Whether a value lies between two bounds, give or take the tolerance; null and NaN don't."""
+    return F.coalesce(finite(value) & (value >= low - tolerance) & (value <= high + tolerance), F.lit(False))

@@ -138,3 +138,12 @@ def test_every_token_gets_one_record(spark):
     assert [(got[3, n].start, got[3, n].stop) for n in (0, 1)] == [(0.0, 2.0), (2.0, 4.0)]
     assert {got[4, n].match_type for n in (0, 1)} == {"invalid_fallback"} and got[4, 0].start is None
     assert words.align_text_words(samples.limit(0), heard.limit(0)).count() == 0
+
+
+def test_one_sample_and_ranges(spark):
+    rows = spark.createDataFrame([(1, 2.00005), (2, 2.1), (3, NAN), (4, None)], "id long, v double")
+    assert selection.only(rows, "id", 2).count() == 1
+    with pytest.raises(ValueError):
+        selection.only(rows, "id", 9)
+    assert [r.id for r in rows.where(selection.within(F.col("v"), 1.0, 2.0)).collect()] == [1]
+    assert rows.limit(1).select(T.conclusion(F.lit(None).cast("string"))).first()[0] == T.ORDINARY
