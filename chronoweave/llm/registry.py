@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .crosstoken import op11_crosstoken
 from .cws import op7_fingerprints
 from .decontaminate import op5_decontaminate
 from .licences import op4_licences
@@ -20,7 +21,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_privacy, op4_licences, op5_decontaminate, op6_simhash, op7_fingerprints, op8_repeats, op9_tokenfile, op10_lm)}
+    return {q.__name__: q for q in (op1_toxicity, op2_mixing, op3_privacy, op4_licences, op5_decontaminate, op6_simhash, op7_fingerprints, op8_repeats, op9_tokenfile, op10_lm, op11_crosstoken)}
 
 
 def oracle_sql() -> dict[str, str]:
