@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import alignment, metrics, scenarios, sequences
+from .operators import alignment, evaluation, metrics, scenarios, sequences
 
 FLAGSHIP = "trimodal_alignment_score"
 DURATION, BINS, REACH = 2_592_000.0, 50, 21_600.0
@@ -208,14 +208,6 @@ def gate_softmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scenarios -------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH g AS (SELECT s.seed, f.fraction, p.position, g.grp, CASE WHEN contains(g.grp, '+') THEN r.relation ELSE 'single' END AS relation FROM (SELECT unnest([11, 12, 13]) AS seed) s, (SELECT unnest([0.1, 0.3, 0.5]) AS fraction) f, (SELECT unnest(['front', 'middle', 'back']) AS position) p, (SELECT unnest(['click', 'view', 'purchase', 'click+view', 'click+purchase', 'view+purchase', 'click+view+purchase']) AS grp) g, (SELECT unnest(['overlap', 'stagger']) AS relation) r)
-SELECT 'complete' AS scenario, CAST(NULL AS BIGINT) AS seed, CAST(0.0 AS DOUBLE) AS fraction, 'none' AS position, '' AS grp, 'none' AS relation UNION ALL
-SELECT DISTINCT concat_ws('__', grp, lpad(CAST(CAST(round_even(fraction * 100, 0) AS INTEGER) AS VARCHAR), 2, '0'), position, relation, 's' || seed), CAST(seed AS BIGINT), CAST(fraction AS DOUBLE), position, grp, relation FROM g""")
-def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = [["click"], ["view"], ["purchase"], ["click", "view"], ["click", "purchase"], ["view", "purchase"], CHANNELS]
-    return scenarios.grid(spark, [11, 12, 13], [0.1, 0.3, 0.5], ["front", "middle", "back"], groups, ["overlap", "stagger"])
-
-
 MASKS = EV + """, sc AS (SELECT unnest([0.1, 0.3, 0.5]) AS fraction), ps AS (SELECT unnest(['front', 'middle', 'back']) AS position),
 rk AS (SELECT user_id, event_type, bin, count(*) OVER (PARTITION BY user_id, event_type) AS m, row_number() OVER (PARTITION BY user_id, event_type ORDER BY bin) - 1 AS r FROM pool),
 ct AS (SELECT *, CASE WHEN m <= 1 THEN 0 ELSE least(m - 1, greatest(1, CAST(ceil(m * CAST(fraction AS DOUBLE)) AS BIGINT))) END AS c FROM rk, sc, ps),
@@ -224,8 +216,7 @@ km AS (SELECT CAST(fraction AS DOUBLE) AS fraction, position, user_id, event_typ
 
 
 def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pooled(spark, sf_dir).withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5)]))).withColumn("position", F.explode(F.array(*[F.lit(x) for x in ("front", "middle", "back")])))
-    return scenarios.blank_interval(rows, ["user_id", "event_type", "fraction", "position"], "bin", F.col("fraction"), F.col("position"))
+    return scenarios.blank_intervals(pooled(spark, sf_dir), ["user_id", "event_type"], "bin", [0.1, 0.3, 0.5], ["front", "middle", "back"])
 
 
 @query(MASKS + "SELECT fraction, position, user_id, event_type, bin, kept FROM km")
@@ -254,31 +245,46 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED = EV + ", nb AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS no, bin FROM pool WHERE event_type IN ('click', 'view', 'purchase'))"
 
 
-def _draw(*parts: str) -> str:
-    out = "17"
-    for p in parts:
-        out = f"(({out} * 1103 + CAST({p} AS BIGINT) * 12289 + 7919) % 1000003)"
-    return out
+def _hash(*parts: str) -> str:
+    """SQL of scenarios.hashed(): names are columns, words in quotes and numbers stand for themselves."""
+    return "CAST('0x' || substr(md5(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15) AS BIGINT)"
+
+
+def _ranked(seed: int) -> str:
+    return NUMBERED + f""", rd AS (SELECT *, count(*) OVER (PARTITION BY user_id, no) AS m, row_number() OVER (PARTITION BY user_id, no ORDER BY bin) - 1 AS r, {_hash(str(seed), "'channel'", "user_id", "no")} % {1 << 59} AS d FROM nb),
+rk AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY d, no) AS p FROM rd), rn AS (SELECT *, max(p) OVER (PARTITION BY user_id) AS n, {_hash(str(seed), "'sample'", "user_id")} % 1000000 AS h FROM rk)"""
+
 
+STAGGER = evaluation.Scenario("click+view+purchase__40__middle__stagger__s42", (0, 1, 2), 0.4, "middle", "stagger", 42)
 
-@query(NUMBERED + f" SELECT user_id, no, bin, CAST(least(bin + no * ({_draw('5', 'user_id')} % 17), 49) AS BIGINT) AS shifted FROM nb")
+
+@query(NUMBERED + f""", rk AS (SELECT *, count(*) OVER (PARTITION BY user_id, no) AS m, row_number() OVER (PARTITION BY user_id, no ORDER BY bin) - 1 AS r FROM nb),
+ct AS (SELECT *, CASE WHEN m <= 1 THEN 0 ELSE least(m - 1, greatest(1, CAST(ceil(m * CAST(0.4 AS DOUBLE)) AS BIGINT))) END AS c, no * ({_hash(f"'{STAGGER.name}'", "user_id", "no")} % 17) AS shift FROM rk),
+ab AS (SELECT user_id, no, any_value(shift) AS shift, min(bin) FILTER (WHERE r = (m - c) // 2) AS a, min(bin) FILTER (WHERE r = (m - c) // 2 + c - 1) AS b FROM ct GROUP BY ALL),
+gn AS (SELECT user_id, no, bin, r, c > 0 AND bin >= a + ab.shift AND bin < b + 1 + ab.shift AS gone FROM ct JOIN ab USING (user_id, no))
+SELECT user_id, no, bin, coalesce(NOT gone, true) OR (r = 0 AND count(*) FILTER (WHERE NOT coalesce(gone, false)) OVER (PARTITION BY user_id, no) = 0) AS kept FROM gn""")
 def stagger_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.stagger(numbered(spark, sf_dir), "user_id", "no", "bin", 5, BINS, 3).select("user_id", "no", "bin", long("shifted").alias("shifted"))
+    return scenarios.under(numbered(spark, sf_dir), "user_id", "no", "bin", STAGGER, BINS).select("user_id", "no", "bin", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-@query(NUMBERED + f", ch AS (SELECT DISTINCT user_id, no FROM nb), rk AS (SELECT user_id, no, row_number() OVER (PARTITION BY user_id ORDER BY {_draw('21', 'user_id', 'no')} % 1000, no) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM ch) SELECT user_id, no, bin, NOT (r = 1 AND n > 1 AND {_draw('22', 'user_id')} % 100 < 30) AS kept FROM nb JOIN rk USING (user_id, no)")
+@query(_ranked(21) + " SELECT user_id, no, bin, NOT (p = 1 AND n > 1 AND h < 300000) AS kept FROM rn")
 def modality_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.drop_channel(numbered(spark, sf_dir), "user_id", "no", 21, 30).select("user_id", "no", "bin", "kept")
+    return scenarios.drop_channel(numbered(spark, sf_dir), "user_id", "no", "bin", 21, 0.30).select("user_id", "no", "bin", "kept")
 
 
-@query(NUMBERED + f", rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, no ORDER BY {_draw('31', 'user_id', 'no', 'bin')} % 100000, bin) AS r, count(*) OVER (PARTITION BY user_id, no) AS n FROM nb) SELECT user_id, no, bin, r > least(CAST(floor(n * 0.25) AS BIGINT), n - 1) AS kept FROM rk")
+@query(_ranked(31) + f""", pt AS (SELECT *, row_number() OVER (PARTITION BY user_id, no ORDER BY {_hash("31", "'point'", "user_id", "no", "bin")} % {1 << 59}, bin) AS q FROM rn)
+SELECT user_id, no, bin, NOT (h < 750000 AND p <= 1 + {_hash("31", "'count'", "user_id")} % n AND q <= least(m - 1, greatest(1, CAST(ceil(m * CAST(0.25 AS DOUBLE)) AS BIGINT)))) AS kept FROM pt""")
 def random_point_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.drop_points(numbered(spark, sf_dir), "user_id", "no", "bin", 31, 0.25).select("user_id", "no", "bin", "kept")
+    return scenarios.drop_points(numbered(spark, sf_dir), "user_id", "no", "bin", 31, 0.75, 0.25).select("user_id", "no", "bin", "kept")
 
 
-@query(NUMBERED + f", bl AS (SELECT *, {_draw('41', 'user_id', 'no')} % 100 < 60 AND bin >= {_draw('43', 'user_id', 'no')} % 50 AND bin < {_draw('43', 'user_id', 'no')} % 50 + {_draw('42', 'user_id', 'no')} % 20 + 1 AS hit FROM nb), lf AS (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY user_id, no) AS l, min(bin) OVER (PARTITION BY user_id, no) AS f FROM bl) SELECT user_id, no, bin, NOT hit OR (l = 0 AND bin = f) AS kept FROM lf")
+@query(_ranked(41) + f""", sg AS (SELECT *, greatest(1, CAST(ceil(m * least(1.0, greatest(CAST(0.6 AS DOUBLE), 1.0 / m))) AS BIGINT)) AS longest, 1 + {_hash("41", "'segments'", "user_id", "no")} % 3 AS segments, {_hash("41", "'count'", "user_id")} % 1000000 AS u FROM rn),
+ln AS (SELECT *, {", ".join(f"least(m - 1, 1 + {_hash('41', chr(39) + 'length' + chr(39), 'user_id', 'no', str(k))} % longest) AS l{k}" for k in range(3))} FROM sg),
+st AS (SELECT *, {", ".join(f"{_hash('41', chr(39) + 'start' + chr(39), 'user_id', 'no', str(k))} % (m - l{k} + 1) AS s{k}" for k in range(3))} FROM ln),
+gn AS (SELECT *, h < 750000 AND p <= least(1 + CAST(u >= 550000 AS BIGINT) + CAST(u >= 900000 AS BIGINT), n) AND m > 1 AND ({" OR ".join(f"({k} < segments AND r >= s{k} AND r < s{k} + l{k})" for k in range(3))}) AS gone FROM st)
+SELECT user_id, no, bin, NOT gone OR (count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY user_id, no) = 0 AND r = {_hash("41", "'keep'", "user_id", "no")} % m) AS kept FROM gn""")
 def contiguous_block_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.blocks(numbered(spark, sf_dir), "user_id", "no", "bin", 41, 60, BINS, 0.4).select("user_id", "no", "bin", "kept")
+    return scenarios.drop_blocks(numbered(spark, sf_dir), "user_id", "no", "bin", 41, 0.75, 0.6).select("user_id", "no", "bin", "kept")
 
 
 @query(DENSE + ", o AS (SELECT *, max(CAST(mask AND event_type <> 'click' AS INTEGER)) OVER (PARTITION BY user_id) AS other FROM dn) SELECT user_id, CAST(sum(CAST(mask AND NOT (event_type = 'click' AND other = 1) AS INTEGER)) AS BIGINT) AS left_bins FROM o GROUP BY 1")
@@ -374,23 +380,6 @@ def loss_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed(spark, sf_dir).groupBy("scenario").agg(r6(F.avg(entropy)).alias("cross_entropy"), r6(F.avg(huber)).alias("huber"), r6(F.avg(lean * lean)).alias("consistency"))
 
 
-@query("SELECT CAST(e AS BIGINT) AS epoch, round(CASE WHEN e <= 10 THEN 0.0 WHEN e >= 40 THEN 0.5 ELSE 0.5 * (e - 10) / 30.0 END, 6) AS augmentation, round(CASE WHEN e < 20 THEN 0.05 * e / 20.0 ELSE 0.05 END, 6) AS distillation FROM range(1, 101) r(e)")
-def curriculum_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("id")
-    ramp = F.when(e <= 10, 0.0).when(e >= 40, 0.5).otherwise(0.5 * (e - 10) / 30.0)
-    return spark.range(1, 101).select(e.alias("epoch"), r6(ramp).alias("augmentation"), r6(F.when(e < 20, 0.05 * e / 20.0).otherwise(0.05)).alias("distillation"))
-
-
-@query("WITH s AS (SELECT e, sin(e / 7.0) + e / 50.0 AS score FROM range(1, 101) r(e)), b AS (SELECT *, max(score) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), g AS (SELECT *, before IS NULL OR score > before + 1e-8 AS better FROM b), c AS (SELECT *, max(CASE WHEN better THEN e END) OVER (ORDER BY e) AS best FROM g) SELECT CAST(e AS BIGINT) AS epoch, better, CAST(best AS BIGINT) AS best_epoch, CAST(e - best AS BIGINT) AS waited, e - best >= 12 AS stopped FROM c")
-def early_stop_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy(F.lit(0)).orderBy("epoch")
-    rows = spark.range(1, 101).select(F.col("id").alias("epoch"), (F.sin(F.col("id") / 7.0) + F.col("id") / 50.0).alias("score"))
-    before = F.max("score").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("better", before.isNull() | (F.col("score") > before + 1e-8)).withColumn("best_epoch", F.max(F.when(F.col("better"), F.col("epoch"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    waited = F.col("epoch") - F.col("best_epoch")
-    return rows.select("epoch", "better", "best_epoch", waited.alias("waited"), (waited >= 12).alias("stopped"))
-
-
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 TOKENS = "regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')"

@@ -15,7 +15,7 @@ def test_pooling_divides_a_span_among_its_bins(spark):
 
 def test_blank_interval_keeps_one(spark):
     rows = spark.createDataFrame([("a", b) for b in (1, 4, 6, 9)] + [("b", 3)], "id string, bin int")
-    kept = {(r.id, r.bin) for r in scenarios.blank_interval(rows, ["id"], "bin", 1.0, "front").where("kept").collect()}
+    kept = {(r.id, r.bin) for r in scenarios.blank_intervals(rows, ["id"], "bin", [1.0], ["front"]).where("kept").collect()}
     assert kept == {("a", 9), ("b", 3)}
 
 
