@@ -43,6 +43,19 @@ class Files:
         finally:
             stream.close()
 
+    def cut(self, name: str, size: int) -> None:
+        """Leave the first bytes of a file alone; for tests of what reads broken files."""
+        stream = self.fs.open(self.path(name))
+        try:
+            head = stream.readNBytes(size)
+        finally:
+            stream.close()
+        out = self.fs.create(self.path(name), True)
+        try:
+            out.write(head)
+        finally:
+            out.close()
+
     def put(self, name: str, text: str) -> bool:
         """Write a file that isn't there yet, by rename; False if another was first."""
         made = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
