@@ -480,7 +480,7 @@ def duration_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("b"))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("a")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "full")
-    same = F.coalesce(F.abs(F.col("a") - F.col("b")) <= 1e-5, F.col("a").isNull() & F.col("b").isNull())
+    same = T.cell_equal(F.col("a"), F.col("b"))
     return rows.agg(F.count("*").alias("n"), F.count_if(~same).alias("different"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 2).alias("largest_gap"))
 
 
@@ -514,7 +514,7 @@ def label_total_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id").crossJoin(F.broadcast(missing)).select("doc_id", "source", "quality", "toxic", "unmatched")  # one row
 
 
-@query("SELECT source, CAST(row_number() OVER (ORDER BY lpad(regexp_extract(source, '[0-9]+$'), 12, '0')) AS BIGINT) AS place, CAST(n AS BIGINT) AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+@query("SELECT source, CAST(row_number() OVER (ORDER BY regexp_extract(source, '^[^0-9]*') NULLS FIRST, CAST(nullif(regexp_extract(source, '[0-9]+$'), '') AS HUGEINT) NULLS FIRST) AS BIGINT) AS place, CAST(n AS BIGINT) AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
 def natural_sort_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return rows.select("source", long(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(T.natural_key(F.col("source"))))).alias("place"), "n")

@@ -57,25 +57,31 @@ def gap_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- candidates ------------------------------------------------------------------------------------------------------
 
-CAND = """WITH w AS (SELECT conv_id, role, unnest(string_split(text, ' ')) AS w FROM conversations),
-m AS (SELECT *, CASE WHEN length(w) <= 3 THEN 'fallback' WHEN length(w) <= 5 THEN 'exact' WHEN length(w) = 6 THEN 'edit_distance' WHEN length(w) = 7 THEN 'equivalent_compound' ELSE 'fallback' END AS t FROM w),
-cs AS (SELECT conv_id, role, count(*) AS words, count(*) FILTER (WHERE regexp_matches(w, '[A-Za-z0-9]')) AS lexical, count(*) FILTER (WHERE t = 'fallback') AS fallbacks, count(*) FILTER (WHERE length(w) > 10) AS invalid, count(*) FILTER (WHERE t = 'exact') AS exact, count(*) FILTER (WHERE t IN ('edit_distance', 'equivalent_compound')) AS edited FROM m GROUP BY 1, 2)
+CAND = """WITH w AS (SELECT conv_id, role, turn, unnest(string_split(text, ' ')) AS w FROM conversations),
+m AS (SELECT *, CASE WHEN length(w) <= 3 THEN 'fallback' WHEN length(w) <= 5 THEN 'exact' WHEN length(w) = 6 THEN 'edit_distance' WHEN length(w) = 7 THEN 'equivalent_compound' ELSE 'fallback' END AS t FROM w WHERE turn > 0),
+sm AS (SELECT DISTINCT conv_id, r.role FROM conversations, (SELECT unnest(['user', 'assistant']) AS role) r),
+rc AS (SELECT conv_id, role, count(*) AS records, count(*) FILTER (WHERE t = 'fallback') AS fallbacks, count(*) FILTER (WHERE length(w) > 10) AS invalid, count(*) FILTER (WHERE t = 'exact') AS exact, count(*) FILTER (WHERE t IN ('edit_distance', 'equivalent_compound')) AS edited FROM m GROUP BY 1, 2),
+hd AS (SELECT conv_id, role, count(*) AS words, count(*) FILTER (WHERE regexp_matches(w, '[A-Za-z0-9]')) AS lexical FROM w WHERE turn % 3 <> 0 GROUP BY 1, 2),
+cs AS (SELECT conv_id, role, coalesce(records, 0) AS records, coalesce(fallbacks, 0) AS fallbacks, coalesce(invalid, 0) AS invalid, coalesce(exact, 0) AS exact, coalesce(edited, 0) AS edited, coalesce(words, 0) AS words, coalesce(lexical, 0) AS lexical FROM sm LEFT JOIN rc USING (conv_id, role) LEFT JOIN hd USING (conv_id, role))
 """
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.split("text", " ")).alias("w"))
+    """Words of the later turns as records, those of two turns in three as what a recogniser heard; conversations without either have zeros."""
+    conv = read(spark, sf_dir, "conversations")
+    samples = conv.select("conv_id").distinct().withColumn("role", F.explode(F.array(F.lit("user"), F.lit("assistant"))))
+    words = conv.select("conv_id", "role", "turn", F.explode(F.split("text", " ")).alias("w"))
     size = F.length("w")
     match = F.when(size <= 3, "fallback").when(size <= 5, "exact").when(size == 6, "edit_distance").when(size == 7, "equivalent_compound").otherwise("fallback")
-    return selection.candidate_summary(words, ["conv_id", "role"], F.col("w"), match, size <= 10)
+    return selection.candidate_summary(samples, words.where("turn > 0"), words.where("turn % 3 <> 0"), ["conv_id", "role"], match, size <= 10, F.col("w"))
 
 
-@query(CAND + "SELECT conv_id, role, words, lexical, fallbacks, invalid, exact, edited, round(fallbacks / greatest(words, 1), 6) AS ratio, words - fallbacks AS matched FROM cs")
+@query(CAND + "SELECT conv_id, role, records, words, lexical, fallbacks, invalid, exact, edited, round(fallbacks / greatest(records, 1), 6) AS ratio, records - fallbacks AS matched FROM cs")
 def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).withColumn("ratio", r6("ratio"))
 
 
-@query(CAND + "SELECT a.conv_id, a.fallbacks / greatest(a.words, 1) >= 0.5 OR a.lexical = 0 AS retried, (a.fallbacks / greatest(a.words, 1) >= 0.5 OR a.lexical = 0) AND coalesce(b.fallbacks < a.fallbacks AND b.invalid <= a.invalid AND b.words - b.fallbacks >= a.words - a.fallbacks, FALSE) AS retry_wins FROM (SELECT * FROM cs WHERE role = 'user') a LEFT JOIN (SELECT * FROM cs WHERE role = 'assistant') b USING (conv_id)")
+@query(CAND + "SELECT a.conv_id, a.fallbacks / greatest(a.records, 1) >= 0.5 OR a.lexical = 0 AS retried, (a.fallbacks / greatest(a.records, 1) >= 0.5 OR a.lexical = 0) AND coalesce(b.fallbacks < a.fallbacks AND b.invalid <= a.invalid AND b.records - b.fallbacks >= a.records - a.fallbacks, FALSE) AS retry_wins FROM (SELECT * FROM cs WHERE role = 'user') a LEFT JOIN (SELECT * FROM cs WHERE role = 'assistant') b USING (conv_id)")
 def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = candidates(spark, sf_dir)
     return selection.retry_gate(each.where("role = 'user'").drop("role"), each.where("role = 'assistant'").drop("role"), ["conv_id"])
@@ -135,7 +141,13 @@ def effective_length_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang, CAST(place AS BIGINT) AS place FROM documents JOIN (VALUES (97, 0), (5, 1), (-1, 2), (41, 3)) q(id, place) ON doc_id = id")
 def requested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    return selection.requested(rows, "doc_id", [97, 5, -1, 41, 5], "lang")
+    return selection.requested(rows, "doc_id", [97, 5, -1, 41, 5], "lang", "doc_id")
+
+
+@query("SELECT doc_id, n_chars, CAST(0 AS BIGINT) AS place FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1")
+def requested_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No asked id is known: the longest document, the first of equally long ones."""
+    return selection.requested(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", [-1, -2], "n_chars", "doc_id")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS errors, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE r <= 10) AS keys FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE value > 20) GROUP BY 1")
@@ -263,10 +275,10 @@ def prediction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.prediction_audit(rows, made, "vec_id", ["s"]).withColumn("coverage", r6("coverage"))
 
 
-@query("SELECT doc_id, regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9._-]+', '_', 'g') AS name, regexp_full_match(CASE WHEN doc_id % 3 = 0 THEN source || '/' ELSE source || lang END, '[\\p{L}\\p{N}._-]+') AS valid, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE round(CAST(doc_id * 1000 AS DOUBLE) / (doc_id % 7), 6) END AS rate FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id, regexp_replace(source || ' / ' || lang || '!', '[^A-Za-z0-9._-]+', '_', 'g') AS name, regexp_full_match(coalesce(CASE WHEN doc_id % 3 = 0 THEN source || '/' WHEN doc_id % 5 = 0 THEN source || chr(10) ELSE source || lang END, ''), '[\\p{L}\\p{N}._-]+') AS valid, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE round(CAST(doc_id * 1000 AS DOUBLE) / (doc_id % 7), 6) END AS rate FROM documents")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", "source", "lang")
-    run = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/"))).otherwise(F.concat("source", "lang"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    run = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/"))).when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("\n"))).otherwise(F.concat("source", "lang"))
     rate = T.fraction(F.concat_ws("/", F.col("doc_id") * 1000, F.col("doc_id") % 7))
     return rows.select("doc_id", T.safe_name(F.concat("source", F.lit(" / "), "lang", F.lit("!"))).alias("name"), T.valid_run_id(run).alias("valid"), r6(rate).alias("rate"))
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.sequences import finite
+from .compat import compatible
+
+# The pattern of a token, and contractions with what they stand for, by match key.
 TOKEN = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
-#: Contractions and what they stand for, by match key.
 EQUIVALENTS = {
     "cant": "cannot",
     "cannot": "cannot",
@@ -55,12 +58,13 @@ ORDINARY = "可作为常规文本对齐记录"
 
 
 def tokenize(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """The tokens of a text's compatibility form."""
+    return F.regexp_extract_all(compatible(text), F.lit(TOKEN), F.lit(0))
 
 
 def normalize_token(token: Column) -> Column:
-    """Lower case, straight quotes and dashes, then letters, digits and apostrophes alone."""
-    plain = F.translate(F.lower(F.trim(token)), "‘’‐‑–—", "''----")
+    """Compatibility form, lower case, straight quotes, then letters, digits and apostrophes alone."""
+    plain = F.translate(F.lower(compatible(token)), "‘’", "''")
     return F.regexp_replace(plain, r"[^a-z0-9']+", "")
 
 
@@ -79,24 +83,36 @@ def similar_enough(left: Column, right: Column, ratio: float) -> Column:
     return (left != "") & (right != "") & (F.levenshtein(left, right) / longest <= ratio)
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A string whose order compares digit groups as numbers."""
-    groups = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(groups, lambda g: F.when(g.rlike("^[0-9]"), F.lpad(g, width, "0")).otherwise(F.lower(g))), "")
+def natural_key(text: Column) -> Column:
+    """What sorts names by their text, and by the numbers in it as numbers, however long: an array of (text in lower case, digits without leading zeros)."""
+    pieces = F.regexp_extract_all(text, F.lit("[^0-9]*[0-9]+|[^0-9]+"), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        digits = F.regexp_extract(p, "[0-9]+$", 0)
+        value = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+        return F.struct(F.lower(F.substring(p, 1, F.length(p) - F.length(digits))).alias("text"), F.length(value).alias("size"), value.alias("digits"))
+
+    return F.transform(pieces, piece)
+
+
+#: What counts as a number in a cell.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def cell_equal(left: Column, right: Column, tolerance: float = 1e-5) -> Column:
-    """Numbers within the tolerance where both sides are finite numbers, else equal text; nulls equal nulls."""
-    a, b = left.try_cast("double"), right.try_cast("double")
-    finite = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    return F.when(finite, F.abs(a - b) <= tolerance).otherwise(left.eqNullSafe(right))
+    """Numbers within the tolerance where both sides are finite numbers, else equal text (so infinities equal themselves); nulls equal nulls."""
+    texts = [c.cast("string") for c in (left, right)]
+    a, b = (F.when(t.rlike(NUMBER), t.try_cast("double")) for t in texts)
+    both = F.coalesce(finite(a) & finite(b), F.lit(False))
+    return F.when(both, F.abs(a - b) <= tolerance).otherwise(texts[0].eqNullSafe(texts[1]))
 
 
 def first_positive(*choices: tuple[str, Column]) -> tuple[Column, Column]:
-    """The first positive value and the name of its choice: precedence of sources."""
+    """The first positive finite value and the name of its choice: precedence of sources."""
     value, name = F.lit(None).cast("double"), F.lit("none")
     for label, c in reversed(choices):
-        value, name = F.when(c > 0, c).otherwise(value), F.when(c > 0, label).otherwise(name)
+        usable = finite(c) & (c > 0)
+        value, name = F.when(usable, c).otherwise(value), F.when(usable, label).otherwise(name)
     return value, name
 
 
@@ -107,7 +123,7 @@ def safe_name(text: Column) -> Column:
 
 def valid_run_id(text: Column) -> Column:
     """Whether a run's name has only letters, digits, dots, underscores and dashes; empty and null ones don't count."""
-    return F.coalesce(text.rlike(r"^[\p{L}\p{N}._-]+$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^[\p{L}\p{N}._-]+\z"), F.lit(False))
 
 
 def fraction(text: Column) -> Column:

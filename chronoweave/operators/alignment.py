@@ -138,12 +138,17 @@ def iou(a: list[Column], b: list[Column]) -> Column:
 
 
 def tracks(rows: DataFrame, sample: str, frame: str, key: str, confidence: str, threshold: float, gap: int) -> DataFrame:
-    """(sample, key, track): detections joined greedily, most confident first, to the open track of the best overlap."""
+    """(sample, key, track): detections joined greedily, most confident first, to the open track of the best overlap.
+
+    A track takes one detection of a frame, but one that begins there is open to the frame's other detections. Among equal overlaps the older track wins; boxes
+    without an area overlap nothing.
+    """
 
     def overlap(p: tuple, q: tuple) -> float:
         w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
         inter = max(w, 0.0) * max(h, 0.0)
-        return inter / max((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter, 1e-12)
+        area = [max(b[2] - b[0], 0.0) * max(b[3] - b[1], 0.0) for b in (p, q)]
+        return inter / max(sum(area) - inter, 1e-12)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([frame, confidence, key], ascending=[True, False, True], kind="stable")
@@ -156,10 +161,12 @@ def tracks(rows: DataFrame, sample: str, frame: str, key: str, confidence: str,
             box = (r["x0"], r["y0"], r["x1"], r["y1"])
             near = [(overlap(box, b), -n) for n, (f, b) in open_.items() if n not in taken]
             best = max(near, default=(0.0, 0))
-            n = -best[1] if near and best[0] >= threshold else made
-            made += n == made
+            if best[0] > 0 and best[0] >= threshold:
+                n = -best[1]
+                taken.add(n)
+            else:
+                n, made = made, made + 1
             open_[n] = (r[frame], box)
-            taken.add(n)
             out.append((r[sample], r[key], n))
         return pd.DataFrame(out, columns=[sample, key, "track"])
 

@@ -36,8 +36,10 @@ def resolve_mask(steps: Column, explicit: Column, length: Column, attention: Col
 
 
 def masked(steps: Column, mask: Column) -> Column:
-    """The steps, zero where the mask is not set."""
-    return F.zip_with(steps, mask, lambda v, m: F.when(m, v).otherwise(F.transform(v, lambda x: x * 0)))
+    """The steps, zero where the mask is not set, whatever stood there. A mask of another length than the steps is an error; null steps or mask give null."""
+    zero = lambda v: F.transform(v, lambda x: F.when(F.lit(False), x).otherwise(F.lit(0)))
+    out = F.zip_with(steps, mask, lambda v, m: F.when(m, v).otherwise(zero(v)))
+    return F.when(F.size(steps) == F.size(mask), out).when(steps.isNotNull() & mask.isNotNull(), F.raise_error(F.lit("a mask needs one flag for each step")))
 
 
 def masked_mean(steps: Column, mask: Column, dims: int) -> Column:

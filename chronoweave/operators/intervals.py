@@ -12,10 +12,11 @@ from .sequences import finite
 
 
 def clip_interval(start: Column, stop: Column, duration: Column) -> tuple[Column, Column]:
-    """Both ends within [0, duration], in ascending order."""
+    """Both ends within [0, duration], in ascending order; an end that is NaN stays so, and in its place."""
     top = F.greatest(duration, F.lit(0.0))
-    a, b = (F.least(F.greatest(c, F.lit(0.0)), top) for c in (start, stop))
-    return F.least(a, b), F.greatest(a, b)
+    a, b = (F.when(F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(0.0)), top)) for c in (start, stop))
+    turned = ~F.isnan(a) & ~F.isnan(b) & (b < a)
+    return F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b)
 
 
 def stored_interval(start: Column, stop: Column, duration: Column, least: float = 0.0) -> Column:

@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from .sequences import finite
 
 
-def candidate_summary(records: DataFrame, by: list[str], text: Column, match: Column, valid: Column) -> DataFrame:
-    """Counts of a candidate's records: words, lexical words, fallbacks and their ratio, invalid times, exact and edited matches, all matches."""
+def candidate_summary(samples: DataFrame, records: DataFrame, heard: DataFrame, by: list[str], match: Column, valid: Column, word: Column) -> DataFrame:
+    """One row a sample: what a candidate's records (match, valid) and recognised words (word) are like.
+
+    words counts the recognised words, lexical those with a letter or digit; records, fallbacks and their ratio, invalid times, exact and edited
+    matches, all matches. A sample without records or words has zeros, so a first try that heard nothing is there to be tried again.
+    """
     fallback = match == "fallback"
-    out = records.groupBy(*by).agg(
-        F.count("*").alias("words"),
-        F.count_if(text.rlike("[A-Za-z0-9]")).alias("lexical"),
+    made = records.groupBy(*by).agg(
+        F.count("*").alias("records"),
         F.count_if(fallback).alias("fallbacks"),
         F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"),
         F.count_if(match == "exact").alias("exact"),
         F.count_if(match.isin("edit_distance", "equivalent_compound")).alias("edited"),
     )
-    return out.withColumns({"ratio": F.col("fallbacks") / F.greatest("words", F.lit(1)), "matched": F.col("words") - F.col("fallbacks")})
+    said = heard.groupBy(*by).agg(F.count("*").alias("words"), F.count_if(word.rlike("[A-Za-z0-9]")).alias("lexical"))
+    out = samples.select(*by).distinct().join(made, by, "left").join(said, by, "left").fillna(0, ["records", "fallbacks", "invalid", "exact", "edited", "words", "lexical"])
+    return out.withColumns({"ratio": F.col("fallbacks") / F.greatest("records", F.lit(1)), "matched": F.col("records") - F.col("fallbacks")})
 
 
 def retry_gate(first: DataFrame, second: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """(by..., retried, retry_wins) of two candidate_summary() frames.
 
-    A second try is asked for if the first falls back too often or has no lexical word. It wins only if it falls back less,
+    A second try is asked for if the first falls back too often or heard no lexical word. It wins only if it falls back less,
     has no more invalid times and no fewer matches. Without a second candidate the first stays.
     """
     names = ("fallbacks", "invalid", "matched")
@@ -56,8 +61,8 @@ def seed_rows(metrics: DataFrame, seed: str, scenario: str, order: str) -> DataF
 
 
 def best(rows: DataFrame, score: str, order: str) -> DataFrame:
-    """The row of the largest score, the first by order among equals."""
-    return rows.agg(F.max_by(F.struct(*rows.columns), F.struct(score, -F.col(order))).alias("_r")).select("_r.*")
+    """The row of the largest score, the first by order among equals; none of no rows."""
+    return rows.orderBy(F.desc_nulls_last(score), F.asc(order)).limit(1)
 
 
 def best_track(detections: DataFrame, by: list[str], track: str, frame: str, confidence: str) -> DataFrame:
@@ -78,14 +83,17 @@ def column_means(rows: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"_{i}").alias("mean")) for i, n in enumerate(names)])).alias("m")).select("m.*")
 
 
-def requested(rows: DataFrame, key: str, ids: list, fallback: str) -> DataFrame:
-    """The rows of the asked ids with their place in the request; unknown ids drop out. If none is known, the row with the largest fallback."""
+def requested(rows: DataFrame, key: str, ids: list, fallback: str, order: str) -> DataFrame:
+    """The rows of the asked ids with their place in the request; unknown ids drop out. If none is known, the row with the largest fallback, the first by order among equals.
+
+    Whether any is known is asked first, so the fallback is looked for only where it is needed. No rows give none.
+    """
     spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
-    asked = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"`{key}` {kind}, place bigint")
-    found = rows.join(F.broadcast(asked), key)  # as many rows as were asked for
-    top = rows.agg(F.max_by(F.struct(*rows.columns), F.struct(fallback, key)).alias("_r")).select("_r.*", F.lit(0).cast("bigint").alias("place"))
-    none = found.limit(1).agg((F.count("*") == 0).alias("_none"))
-    return found.select(*rows.columns, "place").union(top.crossJoin(F.broadcast(none)).where("_none").select(*rows.columns, "place"))  # two one-row frames
+    wanted = list(dict.fromkeys(ids))
+    if not wanted or rows.where(F.col(key).isin(wanted)).isEmpty():
+        return best(rows, fallback, order).withColumn("place", F.lit(0).cast("bigint"))
+    asked = spark.createDataFrame([(x, i) for i, x in enumerate(wanted)], f"`{key}` {kind}, place bigint")
+    return rows.join(F.broadcast(asked), key).select(*rows.columns, "place")  # as many rows as were asked for
 
 
 def first_errors(rows: DataFrame, rule: str, key: str, most: int = 10) -> DataFrame:

@@ -56,6 +56,24 @@ def test_means_and_stacks(spark):
     assert features.unstack_masks(stacked, "id", "c", "b", "m", ["a", "b"]).where("m").count() == 2
 
 
+def test_masked_steps_are_zeros_whatever_stood_there(spark):
+    rows = spark.createDataFrame([([[NAN, -1.0], [float("inf"), 2.0], [3.0, 4.0]], [False, False, True])], "s array<array<double>>, m array<boolean>")
+    got = rows.select(features.masked(F.col("s"), F.col("m"))).first()[0]
+    assert [[str(x) for x in v] for v in got] == [["0.0", "0.0"], ["0.0", "0.0"], ["3.0", "4.0"]]
+    assert rows.select(features.masked(F.lit(None).cast("array<array<double>>"), F.col("m"))).first()[0] is None
+    with pytest.raises(Exception, match="one flag for each step"):
+        rows.select(features.masked(F.col("s"), F.array(F.lit(True)))).collect()
+
+
+def test_a_first_try_that_heard_nothing_is_tried_again(spark):
+    samples = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int")
+    records = spark.createDataFrame([(1, "exact", True), (1, "fallback", None), (2, "exact", True)], "k int, m string, v boolean")
+    heard = spark.createDataFrame([(1, "..."), (1, "word"), (2, "?!")], "k int, w string")
+    first = selection.candidate_summary(samples, records, heard, ["k"], F.col("m"), F.col("v"), F.col("w"))
+    assert {r.k: (r.records, r.words, r.lexical, r.fallbacks, r.invalid, r.ratio, r.matched) for r in first.collect()} == {1: (2, 2, 1, 1, 1, 0.5, 1), 2: (1, 1, 0, 0, 0, 0.0, 1), 3: (0, 0, 0, 0, 0, 0.0, 0)}
+    assert {r.k: (r.retried, r.retry_wins) for r in selection.retry_gate(first, first.limit(0), ["k"]).collect()} == {1: (True, False), 2: (True, False), 3: (True, False)}
+
+
 def test_retry_wins_only_if_nothing_is_worse(spark):
     schema = "k int, words long, lexical long, fallbacks long, invalid long, ratio double, matched long"
     first = spark.createDataFrame([(1, 4, 4, 2, 1, 0.5, 2), (2, 4, 4, 2, 1, 0.5, 2), (3, 4, 4, 1, 0, 0.25, 3), (4, 4, 0, 1, 0, 0.25, 3)], schema)
@@ -71,16 +89,19 @@ def test_scores_and_choices(spark):
     d = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 4, 0.5), (2, 5, 0.5), (3, 9, 1.0)], "t int, f int, c double")
     assert selection.best_track(d.withColumn("k", F.lit(0)), ["k"], "t", "f", "c").first().t == 2
     docs = spark.createDataFrame([(1, 5.0), (2, 9.0)], "id long, q double")
-    assert [(r.id, r.place) for r in selection.requested(docs, "id", [7, 2], "q").collect()] == [(2, 1)]
-    assert [(r.id, r.place) for r in selection.requested(docs, "id", [7], "q").collect()] == [(2, 0)]
+    assert [(r.id, r.place) for r in selection.requested(docs, "id", [7, 2], "q", "id").collect()] == [(2, 1)]
+    tied = docs.union(docs.selectExpr("id + 2", "q"))
+    for asked in ([7], []):
+        assert [(r.id, r.place) for r in selection.requested(tied, "id", asked, "q", "id").collect()] == [(2, 0)]
+    assert selection.requested(docs.limit(0), "id", [7], "q", "id").count() == 0 == selection.best(docs.limit(0), "q", "id").count()
     audit = selection.prediction_audit(docs, spark.createDataFrame([(1, NAN), (1, 1.0), (5, 2.0)], "id long, s double"), "id", ["s"]).first()
     assert tuple(audit) == (2, 3, 1, 1, 1, 1, 0.5)
 
 
 def test_names_and_boxes(spark):
-    rows = spark.createDataFrame([("a b/c", "30000/1001"), ("", "1/0"), (None, None), ("é-1", "x")], "n string, f string")
+    rows = spark.createDataFrame([("a b/c", "30000/1001"), ("", "1/0"), (None, None), ("é-1", "x"), ("abc\n", "1/2")], "n string, f string")
     got = [tuple(r) for r in rows.select(T.safe_name(F.col("n")), T.valid_run_id(F.col("n")), F.round(T.fraction(F.col("f")), 4)).collect()]
-    assert got == [("a_b_c", False, 29.97), ("", False, 0.0), (None, False, 0.0), ("_-1", True, 0.0)]
+    assert got == [("a_b_c", False, 29.97), ("", False, 0.0), (None, False, 0.0), ("_-1", True, 0.0), ("abc_", False, 0.5)]
     box = [F.lit(x) for x in (0.25, 0.25, 0.75, 0.75)]
     assert tuple(spark.range(1).select(T.crop_box(box, 100, 100, 0.2)).first()[0]) == (20, 20, 80, 80)
     assert spark.range(1).select(T.crop_box([F.lit(0.5)] * 4, 100, 100, 0.2)).first()[0] is None
