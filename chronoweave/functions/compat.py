@@ -83,5 +83,6 @@ def compatible(text: Column) -> Column:
     for pattern, to in steps:
         composed = F.regexp_replace(composed, pattern, to)
     changed = F.when(changed.rlike(marked), composed).otherwise(changed)
-    return F.when(text.rlike(maybe), changed).otherwise(text)
+    ascii_alone = F.octet_length(text) == F.length(text)
+    return F.when(ascii_alone, text).when(text.rlike(f"(?=[^\\x00-\\x7F]){maybe}"), changed).otherwise(text)
 
