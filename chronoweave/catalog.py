@@ -371,15 +371,6 @@ def label_mode_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("toxic").agg(top.alias("x")).select("toxic", F.col("x.lang").alias("mode"), F.col("x.n").alias("n"))
 
 
-@query(CLASSED + "SELECT scenario, round(avg(CASE WHEN t = p THEN -ln(0.8) ELSE -ln(0.1) END), 6) AS cross_entropy, round(avg(CASE WHEN abs(y - yh) <= 1 THEN 0.5 * (y - yh) * (y - yh) ELSE abs(y - yh) - 0.5 END), 6) AS huber, round(avg(pow(CASE p WHEN 2 THEN 0.7 WHEN 0 THEN -0.7 ELSE 0.0 END - yh / 3, 2)), 6) AS consistency FROM cl GROUP BY 1")
-def loss_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("y") - F.col("yh")
-    huber = F.when(F.abs(d) <= 1, 0.5 * d * d).otherwise(F.abs(d) - 0.5)
-    lean = F.when(F.col("p") == 2, 0.7).when(F.col("p") == 0, -0.7).otherwise(0.0) - F.col("yh") / 3
-    entropy = F.when(F.col("t") == F.col("p"), -F.log(F.lit(0.8))).otherwise(-F.log(F.lit(0.1)))
-    return classed(spark, sf_dir).groupBy("scenario").agg(r6(F.avg(entropy)).alias("cross_entropy"), r6(F.avg(huber)).alias("huber"), r6(F.avg(lean * lean)).alias("consistency"))
-
-
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 TOKENS = "regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*')"
