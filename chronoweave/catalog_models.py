@@ -190,3 +190,10 @@ def staged_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     except OSError:
         return run_stages(spark, folder, stages, {"bins": BINS}, seed=1)
     raise AssertionError("the first attempt was to fail")
+
+
+@query()
+def gated_fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the gated fusion with attention over time."""
+    model = models.build({"type": "dynamic_gate", "input_dims": [1, 1, 1], "max_length": BINS, "projection_dim": 8, "attention_heads": 2, "feedforward_dim": 16}, seed=6)
+    return evaluation.predict(samples(spark, sf_dir), model, 3, key="user_id")

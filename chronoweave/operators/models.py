@@ -246,3 +246,116 @@ class LateFusion:
         value = layer(w, "value_b", gelu(layer(w, "value_a", layer_norm(w, "value_norm", h))))[:, 0]
         gates = share[:, None, :] * masks.transpose(0, 2, 1)
         return p, 3 * np.tanh(value), gates / np.maximum(gates.sum(axis=2, keepdims=True), 1e-8)
+
+
+class GatedFusion:
+    """Channels projected step by step, fused by gates, followed by self-attention over time and a pooled head.
+
+    A gate weighs a channel's projected step with whether it is there, the channel's coverage and one less its longest gap; fusion is dynamic (softmax of the gates), mean
+    or concat. A code of which channels a step has goes with the fused step. Steps without any channel are no keys of attention and no part of the pool; a sample without any step has the learned
+    fallback state.
+    """
+
+    def __init__(self, weights: Weights, channels: int, heads: int, layers: int, fusion: str = "dynamic", covered: bool = True) -> None:
+        if fusion not in ("dynamic", "mean", "concat"):
+            raise ValueError(f"unknown fusion {fusion}")
+        self.w, self.channels, self.heads, self.layers, self.fusion, self.covered = weights, channels, heads, layers, fusion, covered
+
+    @staticmethod
+    def shapes(dims: Sequence[int], steps: int, width: int, layers: int, inner: int, classes: int = 3, fusion: str = "dynamic", covered: bool = True) -> dict[str, tuple[int, ...]]:
+        out: dict[str, tuple[int, ...]] = {"position.weight": (steps, width), "channel.weight": (len(dims), width), "state.weight": (1 << len(dims), width // 4), "fallback.weight": (1, width)}
+
+        def norm(name: str, n: int) -> None:
+            out.update({f"{name}.weight": (n,), f"{name}.bias": (n,)})
+
+        for c, d in enumerate(dims):
+            out |= linear(f"project{c}", width, d) | linear(f"gate{c}", 1, width + 3)
+            norm(f"project_norm{c}", width)
+        out |= linear("fuse", width, (width * len(dims) if fusion == "concat" else width) + width // 4)
+        norm("fuse_norm", width)
+        for k in range(layers):
+            out |= linear(f"attend{k}", 3 * width, width) | linear(f"mix{k}", width, width) | linear(f"inner_a{k}", inner, width) | linear(f"inner_b{k}", width, inner)
+            norm(f"attend_norm{k}", width)
+            norm(f"inner_norm{k}", width)
+        head = width + (2 * len(dims) if covered else 0)
+        out |= linear("pool", 1, width)
+        for name, n in (("class", classes), ("value", 1)):
+            norm(f"{name}_norm", head)
+            out |= linear(f"{name}_a", width // 2, head) | linear(f"{name}_b", n, width // 2)
+        return out
+
+    def prepare(self, features: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each channel's projected steps, and what the projection makes of a step that is hidden."""
+        out = []
+        for c, x in enumerate(features):
+            place = self.w["position.weight"][: x.shape[1]] + self.w["channel.weight"][c]
+            step = lambda v, c=c: gelu(layer_norm(self.w, f"project_norm{c}", layer(self.w, f"project{c}", v)))
+            out.append((step(np.nan_to_num(x)) + place, step(np.zeros((1, x.shape[2]))) + place))
+        return out
+
+    def attention(self, x: np.ndarray, open_: np.ndarray, k: int) -> np.ndarray:
+        """One layer: attention among open steps, then the inner layer, each added to its input and normalised."""
+        n, steps, width = x.shape
+        q, key, value = (part.reshape(n, steps, self.heads, -1).transpose(0, 2, 1, 3) for part in np.split(layer(self.w, f"attend{k}", x), 3, axis=2))
+        scores = q @ key.transpose(0, 1, 3, 2) / math.sqrt(width // self.heads)
+        share = softmax(np.where(open_[:, None, None, :], scores, -np.inf))
+        x = layer_norm(self.w, f"attend_norm{k}", x + layer(self.w, f"mix{k}", (share @ value).transpose(0, 2, 1, 3).reshape(n, steps, width)))
+        return layer_norm(self.w, f"inner_norm{k}", x + layer(self.w, f"inner_b{k}", gelu(layer(self.w, f"inner_a{k}", x))))
+
+    def predict(self, prepared: list[tuple[np.ndarray, np.ndarray]], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, channels, steps = masks.shape
+        now = gap = np.zeros((n, channels))
+        for t in range(steps):
+            now = np.where(masks[:, :, t], 0, now + 1)
+            gap = np.maximum(gap, now)
+        coverage, gap = masks.mean(axis=2), gap / max(steps, 1)
+        hidden = [np.where(masks[:, c, :, None], x, blank) for c, (x, blank) in enumerate(prepared)]
+        there = masks.transpose(0, 2, 1)
+        if self.fusion == "dynamic":
+            facts = [np.stack([masks[:, c], np.repeat(coverage[:, c : c + 1], steps, 1), np.repeat(1 - gap[:, c : c + 1], steps, 1)], axis=2) for c in range(channels)]
+            scores = np.concatenate([layer(self.w, f"gate{c}", np.concatenate([h, facts[c]], axis=2)) for c, h in enumerate(hidden)], axis=2)
+            scores = np.where(there, scores, -1e4)
+            gates = np.exp(scores - scores.max(axis=2, keepdims=True)) * there
+            gates = gates / np.maximum(gates.sum(axis=2, keepdims=True), 1e-8)
+        else:
+            gates = even_gates(masks)
+        fused = np.concatenate(hidden, axis=2) if self.fusion == "concat" else sum(h * gates[:, :, c : c + 1] for c, h in enumerate(hidden))
+        code = (masks * (1 << np.arange(channels))[None, :, None]).sum(axis=1)
+        fused = gelu(layer_norm(self.w, "fuse_norm", layer(self.w, "fuse", np.concatenate([fused, self.w["state.weight"][code]], axis=2))))
+        some = masks.any(axis=1)
+        none = ~some.any(axis=1)
+        open_ = some.copy()
+        open_[none, 0] = True  # a key that no result depends on
+        fused[none] = 0.0
+        for k in range(self.layers):
+            fused = self.attention(fused, open_, k)
+        share = softmax(np.where(open_, layer(self.w, "pool", fused)[:, :, 0], -1e4))
+        pooled = (fused * share[:, :, None]).sum(axis=1)
+        pooled[none] = self.w["fallback.weight"][0]
+        head = np.concatenate([pooled, coverage, gap], axis=1) if self.covered else pooled
+        logits, value = (layer(self.w, f"{name}_b", gelu(layer(self.w, f"{name}_a", layer_norm(self.w, f"{name}_norm", head)))) for name in ("class", "value"))
+        return softmax(logits), 3 * np.tanh(value[:, 0]), gates
+
+
+def build(config: dict, weights: Weights | None = None, seed: int = 0) -> ConcatMLP | LateFusion | GatedFusion:
+    """The model that a configuration names (type: dynamic_gate, late_fusion_v2 or concat_mlp), with given weights or drawn ones. ValueError for other types, and for weights of other shapes."""
+    kind, dims = str(config.get("type", config.get("model_type", "dynamic_gate"))).lower(), tuple(config["input_dims"])
+    steps, width, layers = int(config.get("max_length", 50)), int(config.get("projection_dim", 128)), int(config.get("transformer_layers", 2))
+    if kind in ("late_fusion_v2", "late_fusion", "v2"):
+        shapes = LateFusion.shapes(dims, int(config.get("hidden_dim", 96)), int(config.get("expert_dim", 128)))
+        make = lambda w: LateFusion(w, len(dims), config.get("classifier_mode", "two_stage") == "two_stage")
+    elif kind == "concat_mlp":
+        shapes, make = ConcatMLP.shapes(dims, int(config.get("hidden_dim", 256))), ConcatMLP
+    elif kind == "dynamic_gate":
+        fusion, covered = {"attention": "dynamic", "fixed": "mean"}.get(str(config.get("fusion", "dynamic")), str(config.get("fusion", "dynamic"))), bool(config.get("use_coverage_features", True))
+        heads = int(config.get("attention_heads", 4))
+        if width % heads:
+            raise ValueError("the projection's width must be a multiple of the heads")
+        shapes = GatedFusion.shapes(dims, steps, width, layers, int(config.get("feedforward_dim", 256)), fusion=fusion, covered=covered)
+        make = lambda w: GatedFusion(w, len(dims), heads, layers, fusion, covered)
+    else:
+        raise ValueError(f"unknown type of model {kind}")
+    weights = drawn(shapes, seed) if weights is None else weights
+    if {k: tuple(v.shape) for k, v in weights.items()} != shapes:
+        raise ValueError("the weights don't fit the configuration")
+    return make(weights)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -265,3 +265,28 @@ def train(train_samples: DataFrame, valid_samples: DataFrame, dims: Sequence[int
         if halt(epoch):
             break
     return state
+
+
+def single_channel(samples: DataFrame, channel: int, features: str = "features", masks: str = "masks") -> DataFrame:
+    """The samples with the features and masks of all channels but one blanked."""
+    blank = F.transform(features, lambda x, c: F.when(c == channel, x).otherwise(F.transform(x, lambda v: F.transform(v, lambda y: F.when(F.lit(False), y).otherwise(F.lit(0))))))
+    closed = F.transform(masks, lambda m, c: F.when(c == channel, m).otherwise(F.transform(m, lambda x: F.lit(False))))
+    return samples.withColumns({features: blank, masks: closed})
+
+
+def ablations(train_samples: DataFrame, valid_samples: DataFrame, dims: Sequence[int], folder: str, s: Settings, *, seed: int, scenarios: Sequence[E.Scenario], variants: dict[str, dict], channels: Sequence[str] = (), **columns: str) -> DataFrame:
+    """(variant, best_epoch, score, accuracy, macro_f1, mae) of trainings that differ from the settings in what each variant names, and of each channel alone.
+
+    Every training is a run of its own below folder, so a call that is made again trains only what isn't done. Accuracy, macro F1 and mean absolute error are those of the best epoch's
+    weights on the complete view.
+    """
+    spark = train_samples.sparkSession
+    planned: list[tuple[str, Settings, int | None]] = [(name, replace(s, **other), None) for name, other in {"base": {}, **variants}.items()]
+    planned += [(f"{name}_only", s, c) for c, name in enumerate(channels)]
+    rows = []
+    for name, settings, channel in planned:
+        own = [x if channel is None else single_channel(x, channel, columns.get("features", "features"), columns.get("masks", "masks")) for x in (train_samples, valid_samples)]
+        state = train(*own, dims, f"{folder}/{name}", settings, seed=seed, scenarios=scenarios, **columns)
+        r = E.metrics(E.evaluate(own[1], ConcatMLP(state.best), [E.COMPLETE], len(dims), **columns)).first()  # one row
+        rows.append((name, state.best_epoch, float(state.best_score), r["accuracy"], r["macro_f1"], r["mae"]))
+    return spark.createDataFrame(rows, "variant string, best_epoch int, score double, accuracy double, macro_f1 double, mae double")

@@ -371,3 +371,106 @@ def test_a_driver_that_died_leaves_no_table_that_counts(spark, tmp_path):
     assert [(r.stage, r.status) for r in run.status().collect()] == [("a", "RUNNING")]
     assert run.stage("a", lambda: spark.range(2)).count() == 2 and run.done("a")["attempt"] == 2
     assert not run.files.put("a/DONE", "{}") and run.done("a")["attempt"] == 2
+
+
+def gated_fusion_by_hand(w, features, masks, heads, fusion):
+    """One sample through the gated fusion, step by step."""
+    def line(name, x):
+        return [sum(a * b for a, b in zip(row, x, strict=True)) + bias for row, bias in zip(w[f"{name}.weight"].tolist(), w[f"{name}.bias"].tolist(), strict=True)]
+
+    def norm(name, x):
+        mean = sum(x) / len(x)
+        var = sum((v - mean) ** 2 for v in x) / len(x)
+        return [(v - mean) / math.sqrt(var + 1e-5) * g + b for v, g, b in zip(x, w[f"{name}.weight"].tolist(), w[f"{name}.bias"].tolist(), strict=True)]
+
+    def act(x):
+        return [0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in x]
+
+    def soft(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    def add(*xs):
+        return [sum(v) for v in zip(*xs, strict=True)]
+
+    coverage, gap = [], []
+    for m in masks:
+        now = best = 0
+        for v in m:
+            now = 0 if v else now + 1
+            best = max(best, now)
+        coverage.append(sum(m) / STEPS)
+        gap.append(best / STEPS)
+    fused, gates = [], []
+    for t in range(STEPS):
+        hidden = [add(act(norm(f"project_norm{c}", line(f"project{c}", features[c][t] if masks[c][t] else [0.0] * DIMS[c]))), w["position.weight"][t].tolist(), w["channel.weight"][c].tolist()) for c in range(3)]
+        on = [c for c in range(3) if masks[c][t]]
+        if fusion == "dynamic":
+            score = {c: line(f"gate{c}", hidden[c] + [1.0, coverage[c], 1 - gap[c]])[0] for c in on}
+            top = math.fsum(math.exp(v - max(score.values())) for v in score.values()) if on else 1.0
+            g = [math.exp(score[c] - max(score.values())) / top if c in score else 0.0 for c in range(3)]
+        else:
+            g = [1 / len(on) if c in on else 0.0 for c in range(3)]
+        gates.append(g)
+        x = sum(hidden, []) if fusion == "concat" else [sum(g[c] * hidden[c][d] for c in range(3)) for d in range(len(hidden[0]))]
+        code = sum(1 << c for c in on)
+        fused.append(act(norm("fuse_norm", line("fuse", x + w["state.weight"][code].tolist()))))
+    open_ = [t for t in range(STEPS) if any(m[t] for m in masks)]
+    width = len(fused[0])
+    if open_:
+        each = width // heads
+        for k in range(2):
+            q = [line(f"attend{k}", x) for x in fused]
+            out = []
+            for t in range(STEPS):
+                mixed = []
+                for h in range(heads):
+                    a = slice(h * each, (h + 1) * each)
+                    share = soft([sum(x * y for x, y in zip(q[t][a], q[u][width : 2 * width][a], strict=True)) / math.sqrt(each) for u in open_])
+                    mixed += [sum(p * q[u][2 * width :][a][d] for p, u in zip(share, open_, strict=True)) for d in range(each)]
+                x = norm(f"attend_norm{k}", add(fused[t], line(f"mix{k}", mixed)))
+                out.append(norm(f"inner_norm{k}", add(x, line(f"inner_b{k}", act(line(f"inner_a{k}", x))))))
+            fused = out
+        share = soft([line("pool", fused[t])[0] for t in open_])
+        pooled = [sum(p * fused[t][d] for p, t in zip(share, open_, strict=True)) for d in range(width)]
+    else:
+        pooled = w["fallback.weight"][0].tolist()
+    head = pooled + coverage + gap
+    logits, value = (line(f"{n}_b", act(line(f"{n}_a", norm(f"{n}_norm", head)))) for n in ("class", "value"))
+    return soft(logits), 3 * math.tanh(value[0]), np.mean(gates, axis=0)
+
+
+@pytest.mark.parametrize("fusion", ["dynamic", "mean", "concat"])
+def test_gated_fusion_by_hand(spark, fusion):
+    config = {"type": "dynamic_gate", "input_dims": DIMS, "max_length": STEPS, "projection_dim": 8, "attention_heads": 2, "feedforward_dim": 6, "fusion": fusion}
+    model = models.build(config, seed=4)
+    rows = some(10)
+    got = {r.id: r for r in E.predict(spark.createDataFrame(rows, SCHEMA).repartition(2), model, 3).collect()}
+    for r in rows:
+        p, value, gates = gated_fusion_by_hand(model.w, r[1], r[2], 2, fusion)
+        assert np.allclose(got[r[0]].probabilities, p, atol=1e-9) and abs(got[r[0]].intensity - value) < 1e-9 and np.allclose(got[r[0]].gates, gates, atol=1e-9)
+
+
+def test_models_by_name():
+    assert isinstance(models.build({"type": "V2", "input_dims": DIMS, "hidden_dim": 4, "expert_dim": 6}), models.LateFusion)
+    mlp = models.build({"type": "concat_mlp", "input_dims": DIMS, "hidden_dim": 4})
+    assert isinstance(models.build({"type": "concat_mlp", "input_dims": DIMS, "hidden_dim": 4}, mlp.w), models.ConcatMLP)
+    for bad in ({"type": "other"}, {"type": "dynamic_gate", "projection_dim": 6, "attention_heads": 4}, {"fusion": "sum"}):
+        with pytest.raises(ValueError):
+            models.build({"input_dims": DIMS, **bad})
+    with pytest.raises(ValueError, match="fit"):
+        models.build({"type": "concat_mlp", "input_dims": DIMS, "hidden_dim": 5}, mlp.w)
+
+
+def test_ablations_are_runs_of_their_own(spark, tmp_path):
+    rows = some(60, 8, 0.9)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    learn, hold = frame.where("pmod(xxhash64(id), 4) > 0"), frame.where("pmod(xxhash64(id), 4) = 0")
+    s = training.Settings(epochs=2, parts=1, rate=0.05, hidden=4)
+    kinds = {"seed": 3, "scenarios": [E.COMPLETE], "variants": {"plain": {"augment": False}}, "channels": CHANNELS[:1]}
+    got = training.ablations(learn, hold, DIMS, f"file://{tmp_path}/a", s, **kinds).collect()
+    assert [r.variant for r in got] == ["base", "plain", "text_only"] and all(0 <= r.accuracy <= 1 for r in got)
+    before = sorted(p.name for p in (tmp_path / "a").rglob("RUNNING-*"))
+    assert training.ablations(learn, hold, DIMS, f"file://{tmp_path}/a", s, **kinds).collect() == got and sorted(p.name for p in (tmp_path / "a").rglob("RUNNING-*")) == before
+    one = training.single_channel(frame, 0).first()
+    assert one.features[0] == rows[0][1][0] and not np.any(one.features[1]) and not np.any(one.masks[1:]) and one.masks[0] == rows[0][2][0]
