@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .catalog import CHANNELS, query, r6, read
 from .catalog_models import centroid_scorer, samples
+from .catalog_records import transcripts
 from .operators import losses
-from .plans import artifact, prediction
+from .plans import artifact, prediction, reports
 from .plans.folders import shared_folder
 
 VIEWS = """WITH e1 AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 8 AS a1, CAST(embedding[2] AS DOUBLE) * 8 AS a2, CAST(embedding[3] AS DOUBLE) * 8 AS a3, CAST(embedding[4] AS DOUBLE) * 5 AS y, CAST(embedding[5] AS DOUBLE) * 5 AS t, CAST(embedding[6] AS DOUBLE) * 5 AS aside, label % 3 AS k FROM embeddings),
@@ -95,3 +96,19 @@ def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = spans.alias("x").join(spans.alias("y"), F.col("x.number") < F.col("y.number")).agg(F.coalesce(F.bool_and(F.col("x.b") < F.col("y.a")), F.lit(True)).alias("ordered"))  # a dozen files
     whole = audit.agg(F.count("*").alias("predictions"), F.count_distinct("id").alias("ids"), F.max("row_index").cast("long").alias("last_index"))
     return whole.crossJoin(F.broadcast(later)).select("predictions", "ids", "last_index", F.lit(found["input_file_count"]).cast("long").alias("files"), "ordered")  # one row each
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as texts, their assistants' words as a first attempt, and the users' own, a little late, as a second."""
+    texts, heard = transcripts(spark, sf_dir)
+    own = texts.select("conv_id", F.posexplode(F.split("text", r"\s+")).alias("index", "word")).where("index % 5 <> 4")
+    own = own.select("conv_id", F.col("index").cast("long").alias("index"), "word", (F.col("index") * 0.5).alias("start"), (F.col("index") * 0.5 + 0.4).alias("stop"), F.lit(0.8).alias("confidence"))
+    texts = texts.withColumnsRenamed({"conv_id": "id"})
+    return reports.attempts(texts, heard.withColumnRenamed("conv_id", "id"), own.withColumnRenamed("conv_id", "id"))[1], texts
+
+
+@query()
+def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all conversations' texts after two attempts."""
+    stats, texts = reviewed(spark, sf_dir)
+    return reports.text_audit(texts, stats).withColumn("fallback_ratio", r6("fallback_ratio"))

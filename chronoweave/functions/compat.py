@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -71,18 +72,27 @@ def patterns() -> tuple[str, str, str, list[tuple[str, str]]]:
     return _ranges(changed, 16), _ranges({ord(c) for c in many}), f"[A-Za-zİ]{_ranges(marks, 2)}", steps
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that the expression holds once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def compatible(text: Column) -> Column:
     """The text with the compatibility forms of what matters to words; other characters may stay as they are, and composed ones are only told apart from letters."""
     one, many = tables()
     maybe, several, marked, steps = patterns()
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    changed = F.translate(text, "".join(one), "".join(one.values()))
-    spread = F.array_join(F.transform(F.split(changed, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    changed = F.when(changed.rlike(several), spread).otherwise(changed)
-    composed = changed
-    for pattern, to in steps:
-        composed = F.regexp_replace(composed, pattern, to)
-    changed = F.when(changed.rlike(marked), composed).otherwise(changed)
+
+    def spread(t: Column) -> Column:
+        return F.when(t.rlike(several), F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")).otherwise(t)
+
+    def composed(t: Column) -> Column:
+        out = t
+        for pattern, to in steps:
+            out = F.regexp_replace(out, pattern, to)
+        return F.when(t.rlike(marked), out).otherwise(t)
+
+    changed = _with(_with(F.translate(text, "".join(one), "".join(one.values())), spread), composed)
     ascii_alone = F.octet_length(text) == F.length(text)
     return F.when(ascii_alone, text).when(text.rlike(f"(?=[^\\x00-\\x7F]){maybe}"), changed).otherwise(text)
 

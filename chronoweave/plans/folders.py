@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,3 +22,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='chronoweave-')}")
             folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read back: what is built on it starts from a table, and a lost executor costs no more than its tasks."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -153,3 +153,27 @@ def test_envelopes(spark):
     inner = spark.createDataFrame([(1, "a")], "id int, text string")
     assert prediction.unwrapped(inner.select(F.struct("id", "text").alias("test"))).columns == ["id", "text"]
     assert prediction.unwrapped(inner).columns == ["id", "text"] and prediction.unwrapped(inner.withColumnRenamed("text", "test")).columns == ["id", "test"]
+
+
+def test_texts_after_two_attempts(spark):
+    from chronoweave.plans import reports
+
+    samples = spark.createDataFrame([(1, "one two three four", 8.0), (2, "one two", 4.0), (3, "alpha beta", 4.0), (4, "fine words here", 6.0), (5, None, 2.0), (6, "lost in space", 3.0)], "id int, text string, duration double")
+    schema = "id int, index int, word string, start double, stop double, confidence double"
+    first = spark.createDataFrame([(1, 0, "one", 0.0, 1.0, 0.9), (2, 0, "...", 0.0, 1.0, 0.9), (3, 0, "gamma", 0.0, 1.0, 0.9), (4, 0, "fine", 0.0, 1.0, 0.9), (4, 1, "words", 1.0, 2.0, 0.9), (4, 2, "here", 2.0, 3.0, 0.9)], schema)
+    second = spark.createDataFrame([(1, 0, "one", 0.0, 1.0, 0.9), (1, 1, "two", 1.0, 2.0, 0.9), (1, 2, "three", 2.0, 3.0, 0.9), (2, 0, "nothing", 0.0, 1.0, 0.5), (4, 0, "other", 0.0, 1.0, 0.9), (6, 0, "lost", 0.0, 1.0, 0.9), (6, 1, "in", 1.0, 1.5, 0.9), (6, 2, "spice", 1.5, 3.0, 0.9)], schema)
+    records, stats = reports.attempts(samples, first, second)
+    stats = stats.cache()
+    got = {r.id: (r.word_count, r.asr_word_count, r.fallback_count, r.asr_retry_used, r.asr_retry_selected, r.review_status) for r in stats.collect()}
+    assert got == {
+        1: (4, 3, 1, 1, 1, "normal"), 2: (2, 1, 2, 1, 0, reports.EMPTY), 3: (2, 1, 2, 1, 0, reports.MISMATCH), 4: (3, 3, 0, 0, 0, "normal"), 5: (0, 0, 0, 1, 0, "normal"), 6: (3, 3, 0, 1, 1, "normal"),
+    }
+    assert {(r.id, r.n): r.word for r in records.collect()}[6, 2] == "space" and records.count() == 14
+    audit = {r.id: r for r in reports.text_audit(samples.union(spark.createDataFrame([(9, "gone", 1.0)], samples.schema)), stats).collect()}
+    assert audit[2].manual_review_required == 1 and audit[2].conclusion.startswith("ASR为空") and audit[1].manual_review_required == 0 and audit[9].review_status == reports.LACKING and audit[9].word_count == 0
+    review = {r.id: r for r in reports.text_review(samples, stats, first).collect()}
+    assert json.loads(review[4].asr_words)[1] == {"text": "words", "start": 1.0, "end": 2.0} and review[5].asr_words == "[]" and review[5].raw_text == "" and review[1].asr_selected_profile == reports.SECOND
+    bins = spark.createDataFrame([(1, "audio", True), (1, "audio", False), (1, "vision", True), (4, "audio", True)], "id int, channel string, mask boolean")
+    frames = spark.createDataFrame([(1, "audio", True), (1, "audio", False), (4, "vision", False)], "id int, channel string, valid boolean")
+    rows = {r.id: r for r in reports.effective_lengths(stats, bins, ["audio", "vision"], frames, 50).collect()}
+    assert (rows[1].audio_raw_valid_ratio, rows[1].audio_aligned_valid_bins, rows[1].vision_aligned_valid_ratio, rows[1].text_raw_valid_ratio) == (0.5, 1, 0.02, 0.75) and rows[4].vision_raw_frames == 1 and rows[5].audio_raw_valid_ratio == 0.0
