@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from chronoweave import catalog, catalog_records
+from chronoweave import catalog, catalog_media, catalog_models, catalog_plans, catalog_records
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -35,7 +35,7 @@ def duck():
 
 
 def test_all_are_registered():
-    assert catalog_records.prediction_audit.__name__ in catalog.oracle_sql()
+    assert {f.__name__ for f in (catalog_records.prediction_audit, catalog_models.scenario_evaluation, catalog_media.frame_timing, catalog_plans.view_losses)} <= set(catalog.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
