@@ -72,6 +72,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of frames that stash() gave. For their owner, once all that was built on them is written."""
+    for df in stashed:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

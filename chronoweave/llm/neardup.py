@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encode, fresh, mix, ship, slices, stash, word_hashes
+from .common import discard, encode, fresh, mix, ship, slices, stash, word_hashes
 from .graph import components
 from .simhash import links as near_fingerprints
 from .simhash import majority
@@ -189,7 +189,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stash(shingle_sets(nodes.join(asked, "node", "left_semi")), "shingles")
     held = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("z")), "b")
-    return stash(similar(held.select("a", "b", "s", "z"), share), "links")
+    links = stash(similar(held.select("a", "b", "s", "z"), share), "links")
+    discard(sets)
+    return links
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -206,18 +208,25 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     texts = stash(texts, "texts")
     nodes = texts.select(F.col(h).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     marked = stash(marks(nodes, share), "marks")
-    links = verified(stash(print_pairs(marked), "candidates"), nodes, share)
+    asked = stash(print_pairs(marked), "candidates")
+    links = verified(asked, nodes, share)
     rows = stash(shared(marked), "shared")
+    discard(asked, marked)  # what is read no more goes, so that only one round's tables are there at a time
     left, turn, more = stash(open_rows(rows, components(links)), "open"), 0, True
     while more:
         asked = stash(hub_pairs(left, turn, share), "candidates")
         found = verified(asked, nodes, share)
         new, turn = found.count(), turn + 1
         more = new * WORTH > asked.count()
+        discard(asked)
         if new:
-            links = links.union(found)
+            links, before = links.union(found), left
             left = stash(open_rows(rows, components(links)), "open")
-    rest = verified(stash(open_pairs(left, share), "candidates"), nodes, share)
+            discard(before)
+    asked = stash(open_pairs(left, share), "candidates")
+    discard(left, rows)
+    rest = verified(asked, nodes, share)
+    discard(asked)
     roots = components(links.union(rest))
     grouped = texts.select(F.col(h).alias("node"), F.col(key).alias("k")).join(roots, "node")
     stays = grouped.groupBy("root").agg(F.min_by("node", F.struct(F.col("k").isNull(), "k", "node")).alias("kept"))
