@@ -209,12 +209,11 @@ def adamw(state: State, gradient: np.ndarray, rate: float, decay: float, clip: f
     state.weights = shaped(x - rate * decay * x - rate * up / (np.sqrt(down) + eps), state.weights)
 
 
-def parted(samples: DataFrame, parts: int, folder: str, key: str, features: str, masks: str, label: str, target: str) -> list[DataFrame]:
-    """Samples as (k, f, m, l, t), written once to folders by hash of the key, so that a step reads its own part alone."""
-    spark = samples.sparkSession
+def parted(run: Run, samples: DataFrame, parts: int, key: str, features: str, masks: str, label: str, target: str) -> list[DataFrame]:
+    """Samples as (k, f, m, l, t), a stage of the run in folders by hash of the key, so that a step reads its own part alone."""
     rows = samples.select(F.col(key).cast("string").alias("k"), F.col(features).alias("f"), F.col(masks).alias("m"), F.col(label).cast("int").alias("l"), F.col(target).cast("double").alias("t"))
-    rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts))).write.mode("ignore").partitionBy("part").parquet(folder)
-    whole = spark.read.schema(rows.withColumn("part", F.lit(0)).schema).parquet(folder)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int"))
+    whole = run.stage("parts", lambda: rows, ["part"], rows.schema)
     return [whole.where(F.col("part") == p).drop("part") for p in range(parts)]
 
 
@@ -228,7 +227,7 @@ def train(train_samples: DataFrame, valid_samples: DataFrame, dims: Sequence[int
     ship(spark)
     config = {"settings": asdict(s), "dims": list(dims), "classes": classes, "class_mode": class_mode, "scenarios": [sc.name for sc in scenarios]}
     run = Run(spark, folder, config, seed=seed, limit=limit)
-    parts = parted(run.stage("samples", lambda: train_samples.select(key, features, masks, label, target)), s.parts, f"{folder}/parts", key, features, masks, label, target)
+    parts = parted(run, train_samples, s.parts, key, features, masks, label, target)
     weigh = class_weights(train_samples, label, classes, class_mode)
     done = 0
     while run.done(f"epoch-{done + 1:05d}"):

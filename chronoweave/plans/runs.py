@@ -11,9 +11,10 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: What has to agree for a run to go on, beside its configuration.
 GUARDED = ("config_hash", "seed", "limit", "stages")
@@ -91,22 +92,23 @@ class Run:
         """What DONE says of a stage, None if it isn't done."""
         return json.loads(self.files.read(f"{stage}/DONE")) if self.files.exists(f"{stage}/DONE") else None
 
-    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The stage's table: read if it is done, else made, written and marked."""
+    def stage(self, name: str, make: Callable[[], DataFrame], by: Sequence[str] = (), schema: StructType | None = None) -> DataFrame:
+        """The stage's table: read if it is done, else made, written (in folders by some columns) and marked. A schema spares looking for it, and a table without rows needs one if it has folders."""
         if (kept := self.done(name)) is None:
             attempt = 1 + max((int(n.rsplit("-", 1)[1]) for n in self.files.names(name) if n.startswith(("RUNNING-", "FAILED-")) and n.rsplit("-", 1)[1].isdigit()), default=0)
             path, began = f"{self.folder}/{name}/attempt-{attempt}", time.time()
             if not self.files.put(f"{name}/RUNNING-{attempt}", json.dumps({"attempt": attempt, "began": began})):
                 raise RuntimeError(f"another driver runs {name}")
             try:
-                make().write.parquet(path)
+                make().write.partitionBy(*by).parquet(path)
             except Exception as error:
                 self.files.put(f"{name}/FAILED-{attempt}", json.dumps({"attempt": attempt, "error": f"{type(error).__name__}: {error}"[:2000]}))
                 raise
             kept = {"attempt": attempt, "path": f"{name}/attempt-{attempt}", "seconds": round(time.time() - began, 3)}
             if not self.files.put(f"{name}/DONE", json.dumps(kept)):
                 kept = self.done(name)
-        return self.spark.read.parquet(f"{self.folder}/{kept['path']}")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.folder}/{kept['path']}")
 
     def status(self) -> DataFrame:
         """(stage, status, attempts, path, seconds, error): how far each stage has come."""
