@@ -7,12 +7,16 @@ or a Unicode version.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +98,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of a reused worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one zero space (0x20) after each, and the offsets at which they start (one more at the end)."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

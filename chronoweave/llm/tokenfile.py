@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, slices, stash, table, tokenizer_path
+from .common import give_back, scratch, ship, slices, stash, table, tokenizer_path
 
 LIMIT, STRIDE, BLOCK = 18, 64, 1 << 16
 #: Chunks of text whose ids a worker remembers at most; beyond, it forgets all and starts anew.
@@ -225,6 +225,7 @@ def token_rows(docs: DataFrame, key: str, text: str, path: str, end: int, width:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tally = np.zeros(0, np.int64)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
