@@ -43,9 +43,12 @@ def overlap_pool(spans: DataFrame, by: list[str], start: str, stop: str, value:
 
 
 def dense(pooled: DataFrame, samples: DataFrame, channels: list[str], sample: str, channel: str, bins: int) -> DataFrame:
-    """Every (sample, channel, bin) with its mask; bins without support have value and weight 0."""
+    """Every (sample, channel, bin) with its mask; bins without support have value and weight 0.
+
+    The frame is larger than what it is made from, and by that it would pass for small enough to be broadcast: the join is one of sorted sides.
+    """
     frame = samples.select(sample).distinct().withColumn(channel, F.explode(F.array(*[F.lit(c) for c in channels]))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    joined = frame.join(pooled, [sample, channel, "bin"], "left")
+    joined = frame.hint("merge").join(pooled, [sample, channel, "bin"], "left")
     return joined.select(sample, channel, "bin", F.col("weight").isNotNull().alias("mask"), F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 

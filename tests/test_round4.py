@@ -1,0 +1,14 @@
+"""Steps that once failed on larger tables."""
+
+from pyspark.sql import functions as F
+
+from chronoweave.operators import sequences
+
+
+def test_a_dense_frame_is_not_broadcast(spark):
+    pooled = spark.createDataFrame([(1, "a", 0, 2.0, 1.0), (2, "b", 1, 3.0, 0.5)], "u long, c string, bin int, value double, weight double")
+    frame = sequences.dense(pooled, spark.createDataFrame([(1,), (2,), (2,)], "u long"), ["a", "b"], "u", "c", 3)
+    kept = sequences.runs(frame, ["u", "c"], "bin", F.col("mask"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", 0, 1), (2, "b", 1, 2)]
+    assert frame.count() == 12
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
