@@ -1,7 +1,10 @@
 """Steps that once failed on larger tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from chronoweave import catalog_models
 from chronoweave.operators import sequences
 
 
@@ -12,3 +15,17 @@ def test_a_dense_frame_is_not_broadcast(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a", 0, 1), (2, "b", 1, 2)]
     assert frame.count() == 12
     assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_at_a_bound_do_not_depend_on_the_order_of_sums(spark, tmp_path):
+    r, rows = random.Random(3), []
+    for user in range(200):
+        cents, n = (4580, 5360)[user % 2], 31
+        values = [r.randint(0, 2 * cents) for _ in range(n - 1)]
+        values.append(cents * n - sum(values))
+        rows += [(user, "error", v / 100) for v in values]
+    rows += [(900, "error", float("nan")), (901, "error", 45.79), (902, "error", 53.61), (903, "error", 1e30), (904, "error", None), (905, "click", 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {x.user_id: x.label for x in catalog_models.labelled(spark, str(tmp_path)).collect()}
+    assert {got[u] for u in range(200)} == {1}
+    assert [got.get(u) for u in range(900, 906)] == [2, 0, 2, 2, 1, None]
