@@ -18,6 +18,8 @@ three passes over documents dealt to blocks, none of which holds more than its s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -194,6 +196,23 @@ def repeats_of(contents: list[bytes], keys: np.ndarray, starts: np.ndarray) -> l
     return [again[begin[i] : begin[i] + max(0, sizes[i] - WINDOW + 1)] for i in range(len(contents))]
 
 
+def transforms(anchor: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Which segments (by number, in order of their anchors) go into each transform. The one content of an anchor needs none: its windows differ."""
+    edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+    total, batch = 0, []
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(anchor)], strict=False):
+        if b - a == 1:
+            continue
+        amount = int(lengths[a:b].sum())
+        if batch and total + amount > 1 << BATCH_BITS:
+            yield np.concatenate(batch)
+            total, batch = 0, []
+        batch.append(np.arange(a, b))
+        total += amount
+    if batch:
+        yield np.concatenate(batch)
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and stops of the true stretches."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
@@ -286,18 +305,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
         first_of.clear()
         out: list[tuple[np.ndarray, ...]] = [(number[~first], keys[~first], pos[~first], sizes[~first])]
         members = np.flatnonzero(first)
-        if len(members):
-            lengths = sizes[members] + WINDOW
-            edges = np.flatnonzero(np.concatenate(([True], anchor[members][1:] != anchor[members][:-1])))
-            load = np.add.reduceat(lengths, edges)
-            total, batch = 0, []
-            for e, stop, amount in zip(edges, [*edges[1:], len(members)], load, strict=True):
-                if batch and total + amount > 1 << BATCH_BITS:
-                    out += found(batch, contents, keys, pos, number)
-                    total, batch = 0, []
-                batch += members[e:stop].tolist()
-                total += amount
-            out += found(batch, contents, keys, pos, number)
+        for batch in transforms(anchor[members], sizes[members] + WINDOW):
+            out += found(members[batch].tolist(), contents, keys, pos, number)
         return pa.Table.from_arrays([pa.array(np.concatenate([o[j] for o in out]), t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32()))], schema=FOUND)
 
     def found(batch: list[int], contents: list[bytes], keys: np.ndarray, pos: np.ndarray, number: np.ndarray) -> list[tuple[np.ndarray, ...]]:

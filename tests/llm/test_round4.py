@@ -1,8 +1,9 @@
 """Rows on which an operator once missed its contract, against plain replays."""
 
+import numpy as np
 import pytest
 
-from chronoweave.llm import crosstoken, tokenfile
+from chronoweave.llm import crosstoken, repeats, tokenfile
 
 from test_round3 import groups_of
 
@@ -25,3 +26,10 @@ def test_texts_that_end_in_a_space_have_tokens(spark):
     counted = {r.k: (r.n_a, r.n_b, r.n_groups) for r in crosstoken.align_corpus(docs).collect()}
     assert counted == {i: (sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g)) for i, g in want.items()}
     assert counted[0][0] > 0
+
+
+def test_transforms_leave_out_anchors_with_one_content():
+    anchor = np.array([1, 2, 2, 3, 4, 4, 4, 5])
+    assert [b.tolist() for b in repeats.transforms(anchor, np.full(8, 150))] == [[1, 2, 4, 5, 6]]
+    assert [b.tolist() for b in repeats.transforms(anchor, np.full(8, 1 << 19))] == [[1, 2], [4, 5, 6]]
+    assert list(repeats.transforms(anchor[:0], anchor[:0])) == list(repeats.transforms(anchor[:1], anchor[:1])) == []
