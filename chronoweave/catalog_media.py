@@ -43,9 +43,9 @@ def frame_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS frames, CAST(sum(strlen(text) + 4) AS BIGINT) AS bytes, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def jpeg_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as images of streams, one a language, with bytes between them; what is read back, by language, with the ids that stand in the images."""
+    """Texts as images of streams, one a task and language, with bytes between them; what is read back, by language, with the ids that stand in the images."""
     folder = shared_folder(spark, "images")
-    docs = read(spark, sf_dir, "documents").where("lang IS NOT NULL").repartition("lang")
+    docs = read(spark, sf_dir, "documents").where("lang IS NOT NULL")
     record = F.concat(F.lit(b"between"), F.lit(b"\xff\xd8"), F.encode("text", "UTF-8"), F.encode(F.lpad(F.col("doc_id").cast("string"), 20, "0"), "UTF-8"))
     docs.select(record.cast("string").alias("value"), "lang").write.partitionBy("lang").option("lineSep", media.IMAGE_END).option("encoding", "ISO-8859-1").text(folder)
     images = media.jpeg_frames(spark, folder)

@@ -212,14 +212,16 @@ def jpeg_frames(spark: SparkSession, path: str) -> DataFrame:
 
     An image runs from the first start marker to the next end marker; bytes before a start, and a start without an end, are left out.
     Files are read as records that end markers close, so one file's ranges go to many tasks, and a record or marker that
-    crosses the edge of a range or a buffer is read once and whole. A record that the file's end closes has one of its bytes too many: its length gives it away.
+    crosses the edge of a range or a buffer is read once and whole. Images are numbered within their range, from how many the ranges before it have. A record that the file's end closes has one of its bytes too many: its length gives it away.
     """
     records = spark.read.option("lineSep", IMAGE_END).option("encoding", "ISO-8859-1").text(path)
     rows = records.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("data"))
     place = F.instr(F.decode("data", "ISO-8859-1"), IMAGE_START)  # a character a byte
     rows = rows.withColumn("lead", F.when(place > 0, place - 1)).withColumn("own", F.length("data") + 2)
-    sizes = rows.groupBy("path").agg(F.sum("own").alias("read"), F.max(F.struct("block", "place")).alias("last"))
-    rows = rows.join(sizes, "path").where((F.struct("block", "place") != F.col("last")) | (F.col("read") == F.col("size"))).where("lead IS NOT NULL")
-    order = Window.partitionBy("path").orderBy("block", "place")
+    blocks = rows.groupBy("path", "block").agg(F.sum("own").alias("own"), F.max("place").alias("last"), F.count("lead").alias("n"))  # a row a range
+    whole, earlier = Window.partitionBy("path"), Window.partitionBy("path").orderBy("block")
+    blocks = blocks.select("path", "block", F.sum("own").over(whole).alias("read"), F.when(F.col("block") == F.max("block").over(whole), F.col("last")).alias("last"), (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    rows = rows.join(blocks, ["path", "block"]).where((F.col("read") == F.col("size")) | ~F.col("place").eqNullSafe(F.col("last"))).where("lead IS NOT NULL")
+    order = Window.partitionBy("path", "block").orderBy("place")
     image = F.concat(F.substring("data", F.col("lead") + 1, F.length("data")), F.lit(b"\xff\xd9"))
-    return rows.select("path", (F.row_number().over(order) - 1).alias("frame"), image.alias("jpeg"))
+    return rows.select("path", (F.row_number().over(order) - 1 + F.col("before")).cast("int").alias("frame"), image.alias("jpeg"))

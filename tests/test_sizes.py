@@ -1,11 +1,13 @@
 """Steps that once failed on larger tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from chronoweave import catalog_models
 from chronoweave.operators import sequences
+from chronoweave.sources import media
 
 
 def test_a_dense_frame_is_not_broadcast(spark):
@@ -29,3 +31,18 @@ def test_labels_at_a_bound_do_not_depend_on_the_order_of_sums(spark, tmp_path):
     got = {x.user_id: x.label for x in catalog_models.labelled(spark, str(tmp_path)).collect()}
     assert {got[u] for u in range(200)} == {1}
     assert [got.get(u) for u in range(900, 906)] == [2, 0, 2, 2, 1, None]
+
+
+def test_images_are_numbered_by_range(spark, tmp_path):
+    images = [b"\xff\xd8" + bytes([65 + i % 20]) * (1000 + i) + b"\xff\xd9" for i in range(200)]
+    (tmp_path / "a.bin").write_bytes(b"".join(b"x" + i for i in images) + b"rest\xff\xd8cut")
+    (tmp_path / "b.bin").write_bytes(b"".join(images[:3]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frames = media.jpeg_frames(spark, str(tmp_path))
+        got = sorted((r.path.rsplit("/", 1)[1], r.frame, bytes(r.jpeg)) for r in frames.collect())
+        assert got == [("a.bin", i, x) for i, x in enumerate(images)] + [("b.bin", i, x) for i, x in enumerate(images[:3])]
+        plan = frames._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"row_number\(\) windowspecdefinition\(path#\w+, block#\w+, place#", plan)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
