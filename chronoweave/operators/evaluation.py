@@ -54,6 +54,8 @@ class Scenario:
 
 
 COMPLETE = Scenario("complete")
+#: Samples that a model predicts at once: attention holds a number for each pair of a sample's steps.
+ROWS = 256
 
 
 def subsets(channels: int) -> list[tuple[int, ...]]:
@@ -290,8 +292,8 @@ def predict(samples: DataFrame, scorer: Scorer, channels: int, *, key: str = "id
     rows = samples.select(F.col(key), F.col(features).alias("f"), F.col(masks).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
                 parts, flags = arrays(b, "f", "m")
                 probability, intensity, gates = scorer.predict(scorer.prepare(parts), flags)
                 lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (probability, gates.mean(axis=1), flags.mean(axis=2))]

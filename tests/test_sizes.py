@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronoweave import catalog_models
-from chronoweave.operators import sequences
+from chronoweave.operators import evaluation, models, sequences
 from chronoweave.sources import media
 
 
@@ -33,6 +34,23 @@ def test_labels_at_a_bound_do_not_depend_on_the_order_of_sums(spark, tmp_path):
     assert [got.get(u) for u in range(900, 906)] == [2, 0, 2, 2, 1, None]
 
 
+def test_models_predict_few_samples_at_once(spark):
+    class FewAtOnce:
+        """A scorer that refuses many samples at once."""
+
+        def prepare(self, features):
+            return features
+
+        def predict(self, prepared, masks):
+            if len(masks) > 256:
+                raise ValueError(f"{len(masks)} samples at once")
+            return np.tile([0.2, 0.8], (len(masks), 1)), prepared[0][:, 0, 0], models.even_gates(masks)
+
+    rows = spark.range(0, 700, 1, 1).selectExpr("id", "array(array(array(double(id)), array(0D))) AS features", "array(array(id % 2 = 0, true)) AS masks")
+    got = {r.id: (r.intensity, r.coverage) for r in evaluation.predict(rows, FewAtOnce(), 1).collect()}
+    assert got == {i: (float(i), [1.0 if i % 2 == 0 else 0.5]) for i in range(700)}
+
+
 def test_images_are_numbered_by_range(spark, tmp_path):
     images = [b"\xff\xd8" + bytes([65 + i % 20]) * (1000 + i) + b"\xff\xd9" for i in range(200)]
     (tmp_path / "a.bin").write_bytes(b"".join(b"x" + i for i in images) + b"rest\xff\xd8cut")
