@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, encode, mix, ship, slices, span_hashes, table
+from .common import FOLD, encode, mix, returning, ship, slices, span_hashes, table
 from .toxicity import IN_WORD
 
 K1, B = 1.2, 0.75
@@ -231,7 +231,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     out = None
     for index in indexes(items, item, item_text, threshold):
-        part = rows.mapInArrow(search_with(index, threshold, share), LEAK)
+        part = rows.mapInArrow(returning(search_with(index, threshold, share)), LEAK)
         out = part if out is None else out.union(part)
     return out
 
@@ -272,7 +272,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
         return run
 
     for index in indexes(items, item, item_text, threshold):
-        docs = docs.mapInArrow(without(index), schema)
+        docs = docs.mapInArrow(returning(without(index)), schema)
     return docs
 
 

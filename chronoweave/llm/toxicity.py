@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, encode, mix, ship, slices, span_hashes, table
+from .common import FOLD, encode, mix, returning, ship, slices, span_hashes, table
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 #: Labelled texts that a fit sees at most, and their bytes at most (whole texts; see ``sample``).
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", language: str = "la
             added = [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(s >= limits)]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], [*names, *as_])
 
-    return docs.mapInArrow(run, f"{schema}, `{as_[0]}` double, `{as_[1]}` int, `{as_[2]}` boolean")
+    return docs.mapInArrow(returning(run), f"{schema}, `{as_[0]}` double, `{as_[1]}` int, `{as_[2]}` boolean")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
