@@ -413,7 +413,8 @@ def monotonic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT conv_id, turn, unnest({TOKENS}) AS w, unnest(range(len({TOKENS}))) AS pos, len({TOKENS}) AS n FROM conversations) SELECT CAST(least(9, pos * 10 // n) AS BIGINT) AS pos_bin, CAST(least(9, turn) AS BIGINT) AS turn_bin, round(avg(length(w)), 6) AS mean_length, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL")
 def word_position_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "conversations").select("turn", F.size(T.tokenize(F.col("text"))).alias("k"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "w"))
+    words = read(spark, sf_dir, "conversations").select("turn", T.tokenize(F.col("text")).alias("all"))
+    words = words.select("turn", F.inline(F.transform("all", lambda w, i: F.struct(i.alias("pos"), F.size("all").alias("k"), w.alias("w")))))  # a count beside an explode is taken anew for each word
     bins = words.select(long(F.least(F.lit(9), F.floor(F.col("pos") * 10 / F.col("k")))).alias("pos_bin"), long(F.least(F.lit(9), "turn")).alias("turn_bin"), "w")
     return bins.groupBy("pos_bin", "turn_bin").agg(r6(F.avg(F.length("w"))).alias("mean_length"), F.count("*").alias("n"))
 
