@@ -72,7 +72,7 @@ def patterns() -> tuple[str, str, str, list[tuple[str, str]]]:
     return _ranges(changed, 16), _ranges({ord(c) for c in many}), f"[A-Za-zİ]{_ranges(marks, 2)}", steps
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that the expression holds once, however often f names it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -92,7 +92,7 @@ def compatible(text: Column) -> Column:
             out = F.regexp_replace(out, pattern, to)
         return F.when(t.rlike(marked), out).otherwise(t)
 
-    changed = _with(_with(F.translate(text, "".join(one), "".join(one.values())), spread), composed)
+    changed = held(held(F.translate(text, "".join(one), "".join(one.values())), spread), composed)
     ascii_alone = F.octet_length(text) == F.length(text)
     return F.when(ascii_alone, text).when(text.rlike(f"(?=[^\\x00-\\x7F]){maybe}"), changed).otherwise(text)
 

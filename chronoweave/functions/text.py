@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.sequences import finite
-from .compat import compatible
+from .compat import compatible, held
 
 # The pattern of a token, and contractions with what they stand for, by match key.
 TOKEN = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
@@ -74,7 +74,7 @@ def match_key(token: Column, equivalents: dict[str, str] | None = None) -> Colum
     if not equivalents:
         return key
     table = F.create_map(*[F.lit(x) for pair in equivalents.items() for x in pair])
-    return F.coalesce(F.element_at(table, key), key)
+    return held(key, lambda k: F.coalesce(F.element_at(table, k), k))
 
 
 def similar_enough(left: Column, right: Column, ratio: float) -> Column:

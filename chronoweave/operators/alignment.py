@@ -20,22 +20,46 @@ TIE = 1e-9
 MOVES = ((2, 1, "equivalent_compound"), (1, 2, "equivalent_compound"), (1, 1, "edit_distance"), (1, 0, ""), (0, 1, ""))
 
 
-def edit_ratios(words: list[str], others: list[str]) -> np.ndarray:
-    """Edit distance by the longer length of every pair; a row of distances at a time, for all others at once."""
-    width = max(map(len, others), default=0)
-    sizes = np.array([len(o) for o in others], np.int64)
-    letters = np.zeros((len(others), width), np.int32)
-    for i, o in enumerate(others):
-        letters[i, : len(o)] = [ord(c) for c in o]
-    out = np.ones((len(words), len(others)))
-    steps = np.arange(width + 1)
-    for n, w in enumerate(words):
-        row = np.tile(steps, (len(others), 1))
-        for c in w:
-            kept = np.minimum(row[:, 1:] + 1, row[:, :-1] + (letters != ord(c)))
-            least = np.concatenate((row[:, :1] + 1, kept), axis=1) - steps
-            row = np.minimum.accumulate(least, axis=1) + steps  # insertions run along the row
-        out[n] = row[np.arange(len(others)), sizes] / np.maximum(np.maximum(sizes, len(w)), 1)
+#: Cells of distance rows that are held at once.
+CELLS = 1 << 20
+
+
+def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of words as a padded matrix, their lengths, and which letters they have as 64 bits (letters of one remainder share a bit)."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    letters = np.zeros((len(words), int(sizes.max(initial=0))), np.int32)
+    for i, w in enumerate(words):
+        letters[i, : len(w)] = [ord(c) for c in w]
+    own = np.where(np.arange(letters.shape[1]) < sizes[:, None], np.uint64(1) << (letters % 64).astype(np.uint64), np.uint64(0))
+    return letters, sizes, np.bitwise_or.reduce(own, axis=1, initial=np.uint64(0))
+
+
+def edit_ratios(words: list[str], others: list[str], ratio: float = 1.0) -> np.ndarray:
+    """Edit distance by the longer length of every pair; pairs beyond ratio may count as 1.
+
+    An edit removes at most one letter that the other word lacks, so lengths and letters rule out most pairs; a row of distances at a time, for all
+    pairs that are left at once.
+    """
+    (left, n, own), (right, m, other) = letters_of(words), letters_of(others)
+    longest = np.maximum(np.maximum(n[:, None], m[None, :]), 1)
+    lacking = np.maximum(np.bitwise_count(own[:, None] & ~other[None, :]), np.bitwise_count(other[None, :] & ~own[:, None]))
+    at, by = np.nonzero(np.maximum(lacking, np.abs(n[:, None] - m[None, :])) / longest <= ratio)
+    order = np.argsort(-n[at], kind="stable")  # those with letters left to read come first
+    at, by = at[order], by[order]
+    out = np.ones(longest.shape)
+    step = max(1, CELLS // (right.shape[1] + 1))
+    for i in range(0, len(at), step):
+        a, b = at[i : i + step], by[i : i + step]
+        width = int(m[b].max())
+        steps, letters = np.arange(width + 1), right[b, :width]
+        row = np.tile(steps, (len(a), 1))
+        for c in range(int(n[a[0]])):
+            live = int(np.searchsorted(-n[a], -c, "left"))
+            before = row[:live]
+            kept = np.minimum(before[:, 1:] + 1, before[:, :-1] + (letters[:live] != left[a[:live], c, None]))
+            least = np.concatenate((before[:, :1] + 1, kept), axis=1) - steps
+            row[:live] = np.minimum.accumulate(least, axis=1) + steps  # insertions run along the row
+        out[a, b] = row[np.arange(len(a)), m[b]] / longest[a, b]
     return out
 
 
@@ -50,7 +74,7 @@ def gains(target: list[str], source: list[str], ratio: float) -> list[np.ndarray
     left, right = list(dict.fromkeys(k for k in target if k)), list(dict.fromkeys(k for k in source if k))
     one_one = np.full((len(target), len(source)), -np.inf)
     if left and right:
-        share = edit_ratios(left, right)
+        share = edit_ratios(left, right, ratio)
         rows, columns = {k: i for i, k in enumerate(left)}, {k: i for i, k in enumerate(right)}
         at, by = np.array([rows.get(k, -1) for k in target]), np.array([columns.get(k, -1) for k in source])
         there = np.ix_(at >= 0, by >= 0)
@@ -66,6 +90,7 @@ def best_path(target: list[str], source: list[str], ratio: float) -> list[tuple[
     """
     n, m = len(target), len(source)
     two_one, one_two, one_one = gains(target, source, ratio)
+    some = [np.isfinite(g).any(axis=1) for g in (two_one, one_two, one_one)]  # rows in which anything matches
     tilt = SKIP_SOURCE * np.arange(m + 1)
     move = np.zeros((n + 1, m + 1), np.int8)
     above = before = np.full(m + 1, -np.inf)
@@ -73,20 +98,22 @@ def best_path(target: list[str], source: list[str], ratio: float) -> list[tuple[
         row = np.full(m + 1, -np.inf)
         row[0] = 0.0 if i == 0 else -np.inf
         offers = []
-        if i > 1:
+        if i > 1 and some[0][i - 2]:
             offers.append((0, 1, before[:-1] + two_one[i - 2]))
         if i:
-            if m > 1:
+            if some[1][i - 1]:
                 offers.append((1, 2, above[:-2] + one_two[i - 1]))
-            offers += [(2, 1, above[:-1] + one_one[i - 1]), (3, 0, above + SKIP_TARGET)]
+            if some[2][i - 1]:
+                offers.append((2, 1, above[:-1] + one_one[i - 1]))
+            offers.append((3, 0, above + SKIP_TARGET))
         for kind, begin, sums in offers:
-            if len(sums):
-                better = sums > row[begin:] + TIE
-                row[begin:][better] = sums[better]
-                move[i, begin:][better] = kind
+            better = sums > row[begin:] + TIE
+            np.copyto(row[begin:], sums, where=better)
+            np.copyto(move[i, begin:], kind, where=better, casting="unsafe")
         along = np.maximum.accumulate(row - tilt) + tilt
         better = along > row + TIE
-        row[better], move[i, better] = along[better], 4
+        np.copyto(row, along, where=better)
+        np.copyto(move[i], 4, where=better, casting="unsafe")
         above, before = row, above
     out, i, j = [], n, m
     while i or j:
@@ -100,10 +127,13 @@ def best_path(target: list[str], source: list[str], ratio: float) -> list[tuple[
 def align(rows: DataFrame, key: str, target: str, source: str, ratio: float) -> DataFrame:
     """(key, target_from, target_to, source_from, source_to, kind): the best monotonic alignment of two token arrays of a row.
 
-    Tokens are compared by their match keys, contractions by what they stand for. A row's table has the product of its two lengths.
+    Tokens are compared by their match keys, contractions by what they stand for. A row's table has the product of its two lengths, so rows are dealt
+    over all shuffle partitions: few bytes make much work.
     """
     ship(rows.sparkSession)
-    keys = rows.select(key, *[F.transform(c, lambda w: match_key(w, EQUIVALENTS)).alias(c) for c in (target, source)])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key, target, source).repartition(parts, F.xxhash64(key))  # by the key itself, Spark would leave rows as the join before has gathered them
+    keys = dealt.select(key, *[F.transform(c, lambda w: match_key(w, EQUIVALENTS)).alias(c) for c in (target, source)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
