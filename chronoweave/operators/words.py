@@ -35,7 +35,7 @@ def tokens(samples: DataFrame, key: str, text: str) -> DataFrame:
     rows = samples.select(key, whole.alias("_t"), compatible(whole).alias("_c"))
     alike = F.length("_c") == F.length("_t")  # characters that stand for several make a text longer
     plain = rows.where(alike).select(key, F.regexp_extract_all("_c", F.lit(TOKEN), F.lit(0)).alias("_w"), F.split("_c", TOKEN, -1).alias("_gaps"))
-    plain = plain.select(key, "_gaps", F.posexplode("_w").alias("n", "word")).withColumn("_gap", F.length(F.get("_gaps", F.col("n"))))
+    plain = plain.select(key, F.inline(F.transform("_w", lambda w, i: F.struct(i.alias("n"), w.alias("word"), F.length(F.get("_gaps", i)).alias("_gap")))))
     ahead = F.sum(F.col("_gap") + F.length("word")).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     plain = plain.withColumn("end_char", ahead.cast("int")).select(key, "n", "word", (F.col("end_char") - F.length("word")).alias("start_char"), "end_char")
     kind = samples.schema[key].dataType.simpleString()
