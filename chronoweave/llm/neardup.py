@@ -11,7 +11,7 @@ pairs that can't reach SHARE. A pair counts only if its whole sets reach it; con
 which the smallest key stays.
 
 Not all pairs of a large group are needed to connect it. After the fingerprints' links, each text is compared, in rounds while
-these add many links, with one text of each of its marks: that is linear. Last, all candidate pairs that the links don't connect
+these add links, with one text of each of its marks, about one hub to DEAL of them: that is linear. Of marks that the same texts share, the first stands for all. Last, all candidate pairs that the links don't connect
 already are compared, with the texts of a frequent mark dealt in salted parts. The last step leaves nothing out; it is
 quadratic only in texts that share a mark and aren't connected.
 
@@ -42,8 +42,10 @@ SHARE, SHINGLE = 0.8, 5
 SAMPLE, FREQUENT, LISTED = 20_000, 3, 100_000
 #: Texts of one mark that a part of the last step holds.
 PART = 1000
-#: Hub rounds go on while one pair of WORTH is a link.
-WORTH = 20
+#: Hub rounds go on while one pair of WORTH is a link, and up to TURNS of them while they add links and over CROSSING pairs a row are open.
+WORTH, TURNS, CROSSING = 20, 5, 2
+#: Texts of one mark that share a hub, about.
+DEAL = 8
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -195,10 +197,22 @@ def print_pairs(marked: DataFrame) -> DataFrame:
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """shared() rows -> (s, node, i, n, root, p) of the marks whose texts aren't all of one component; p: parts of a mark."""
+    """shared() rows -> (s, node, i, n, root, m, p) of the marks whose texts aren't all of one component; m, p: texts and parts of a mark.
+
+    Of marks that exactly the same texts have, only the first in the order of all shingles stays: there, each of their pairs can reach the most.
+    """
     rows = rows.join(roots, "node", "left").select("node", "s", "i", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    return rows.join(mixed.select("s", F.ceil(F.col("m") / PART).cast("int").alias("p")), "s")
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(x))).alias(f"h{x}") for x in range(2)]
+    mixed = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum("i").alias("at"), *alike).where("x <> y")
+    first = mixed.groupBy("m", "h0", "h1").agg(F.min_by("s", F.struct("at", "s")).alias("s"))
+    return rows.join(first.select("s", "m", F.ceil(F.col("m") / PART).cast("int").alias("p")), "s")
+
+
+def crossing(rows: DataFrame) -> int:
+    """open_rows() -> how many pairs of one mark and two components there are, those of several marks repeated."""
+    own = rows.groupBy("s", "root").agg(F.count("*").alias("c"))
+    each = own.groupBy("s").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("x"))
+    return (each.agg(F.sum("x")).first()[0] or 0) // 2
 
 
 def may_reach(left: str, right: str, share: float) -> Column:
@@ -210,9 +224,15 @@ def may_reach(left: str, right: str, share: float) -> Column:
 
 
 def hub_pairs(rows: DataFrame, turn: int, share: float) -> DataFrame:
-    """open_rows() -> distinct (a, b): each text with one text of each of its marks, another one each turn."""
-    hubs = rows.groupBy("s").agg(F.min_by(F.struct("node", "root", "n", "i"), F.xxhash64("node", F.lit(turn))).alias("r"))
-    pairs = rows.alias("l").join(hubs, "s").where(may_reach("l", "r", share))
+    """open_rows() -> distinct (a, b): each text with one text of each of its marks, another one each turn.
+
+    The texts of a large mark are dealt to several hubs, so that no single text has to be like most of them. Marks of much the same texts deal them
+    alike, so that their pairs are the same.
+    """
+    deals = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("m") / DEAL, F.lit(1.0))))).cast("long")
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("node", F.lit(turn)), deals))
+    hubs = dealt.groupBy("s", "deal").agg(F.min_by(F.struct("node", "root", "n", "i"), F.xxhash64(F.lit(turn), "node")).alias("r"))
+    pairs = dealt.alias("l").join(hubs, ["s", "deal"]).where(may_reach("l", "r", share))
     return pairs.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct()
 
 
@@ -265,6 +285,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
             links, before = links.union(found), left
             left = stash(open_rows(rows, components(links)), "open")
             discard(before)
+            more = more or turn < TURNS and crossing(left) > CROSSING * left.count()
     asked = stash(open_pairs(left, share), "candidates")
     discard(left, rows)
     rest = verified(asked, nodes, drawn, share)

@@ -67,3 +67,18 @@ def test_recall_over_all_lengths(spark):
     want, links = brute_kept(texts)
     assert links > 300
     assert kept(spark, texts) == want
+
+
+def test_marks_of_the_same_texts_count_once_and_large_marks_have_several_hubs(spark):
+    marked = spark.createDataFrame([(node, s, i, 60) for node in range(64) for s, i in ((7, 2), (5, 3), (6, 4))] + [(0, 8, 5, 60), (1, 8, 5, 60)], "node long, s long, i int, n int")
+    alone = spark.createDataFrame([], "node long, root long")
+    rows = neardup.open_rows(marked, alone)
+    assert sorted((r.s, r["count"]) for r in rows.groupBy("s").count().collect()) == [(7, 64), (8, 2)]
+    assert neardup.crossing(rows) == 64 * 63 // 2 + 1
+    ends = neardup.hub_pairs(rows, 0, 0.8).collect()
+    assert len(ends) <= 66 and len({x for r in ends for x in r}) > 60
+    degrees = [sum(n in r for r in ends) for n in range(64)]
+    assert max(degrees) < 40  # one hub had all
+    assert neardup.open_pairs(rows, 0.8).count() == 64 * 63 // 2
+    joined = neardup.open_rows(marked, spark.createDataFrame([(n, 0) for n in range(64)], "node long, root long"))
+    assert joined.count() == 0 and neardup.crossing(joined) == 0
