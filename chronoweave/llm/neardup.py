@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, encode, fresh, mix, returning, ship, slices, stash, word_hashes
+from .common import UNBROADCAST, discard, encode, fresh, mix, returning, settings, ship, slices, stash, tallied, word_hashes
 from .graph import components
 from .simhash import links as near_fingerprints
 from .simhash import majority
@@ -255,19 +255,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, drawn: DataFrame, share: float)
     return links
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """The rows of docs that stay: one of each group of exact and near copies, that with the smallest key.
-
-    Null text counts as empty; texts without words are near copies of each other. Null keys count as larger
-    than all others. Of repeated rows one stays. An empty table stays empty. All columns are kept, whatever their names.
-    """
-    names, whole = docs.columns, F.coalesce(F.col(text), F.lit(""))
-    h, g, k = fresh(docs, "h", "g", "k")
-    marked = docs.withColumns({h: F.xxhash64(whole), g: F.xxhash64(whole, F.lit(1))})
-    first = marked.groupBy(h, g).agg(F.min(key).alias(k))
-    texts = marked.join(first, [h, g]).where(F.col(key).eqNullSafe(F.col(k))).dropDuplicates([h, g]).drop(k, g)
-    texts = stash(texts, "texts")
-    nodes = texts.select(F.col(h).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def grouped_texts(nodes: DataFrame, share: float) -> DataFrame:
+    """(node, t) -> (node, root) of the texts that are like others: root is the smallest node of the group."""
     marked = stash(marks(nodes, share), "marks")
     drawn = stash(sketches(nodes), "sketches")
     asked = stash(print_pairs(marked), "candidates")
@@ -276,10 +265,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     discard(asked, marked)  # what is read no more goes, so that only one round's tables are there at a time
     left, turn, more = stash(open_rows(rows, components(links)), "open"), 0, True
     while more:
-        asked = stash(hub_pairs(left, turn, share), "candidates")
+        asked, (many,) = tallied(hub_pairs(left, turn, share), "candidates", F.count(F.lit(1)))
         found = verified(asked, nodes, drawn, share)
         new, turn = found.count(), turn + 1
-        more = new * WORTH > asked.count()
+        more = new * WORTH > many
         discard(asked)
         if new:
             links, before = links.union(found), left
@@ -290,7 +279,24 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     discard(left, rows)
     rest = verified(asked, nodes, drawn, share)
     discard(asked, drawn)
-    roots = components(links.union(rest))
+    return components(links.union(rest))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of docs that stay: one of each group of exact and near copies, that with the smallest key.
+
+    Null text counts as empty; texts without words are near copies of each other. Null keys count as larger
+    than all others. Of repeated rows one stays. An empty table stays empty. All columns are kept, whatever their names.
+    """
+    names, whole = docs.columns, F.coalesce(F.col(text), F.lit(""))
+    h, g, k = fresh(docs, "h", "g", "k")
+    marked = docs.withColumns({h: F.xxhash64(whole), g: F.xxhash64(whole, F.lit(1))})
+    first = marked.groupBy(h, g).agg(F.min(key).alias(k))
+    texts = marked.join(first, [h, g]).where(F.col(key).eqNullSafe(F.col(k))).dropDuplicates([h, g]).drop(k, g)
+    with settings(docs.sparkSession, UNBROADCAST):
+        texts = stash(texts, "texts")
+        nodes = texts.select(F.col(h).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        roots = grouped_texts(nodes, share)
     grouped = texts.select(F.col(h).alias("node"), F.col(key).alias("k")).join(roots, "node")
     stays = grouped.groupBy("root").agg(F.min_by("node", F.struct(F.col("k").isNull(), "k", "node")).alias("kept"))
     gone = grouped.join(stays, "root").where("node <> kept").select(F.col("node").alias(h))
