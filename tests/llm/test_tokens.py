@@ -52,3 +52,18 @@ def test_pieces_cut_together_encode_as_the_whole(monkeypatch):
         monkeypatch.setattr(tokenfile, "REMEMBER", most)
         for t, ids in zip(texts, tokenfile.tokenize(texts, path), strict=True):
             assert ids.tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_of_blocks_are_read_back_as_written():
+    import pyarrow as pa
+
+    ids = np.array([3, 9, 70_000, 200_000_000], "<u4")
+    for own in (ids[:3], ids):  # entries of four and of eight bytes
+        codec = tokenfile.Codec(own.tobytes(), tokenfile.code_lengths(own, np.arange(1, len(own) + 1)).tobytes())
+        whole = np.random.default_rng(2).choice(own, 300).astype(np.uint32)
+        payload, marks = codec.encode(whole)
+        docs = [{"doc": None, "continued": True, "n": 120}, {"doc": 7, "continued": False, "n": 180}]
+        row = {"part": 1, "block": 2, "n_tokens": 300, "payload": payload, "checkpoints": marks, "docs": docs}
+        blocks = pa.RecordBatch.from_pylist([row | {"block": n} for n in range(3)], schema=tokenfile.SCHEMA).slice(1)
+        got = [r for b in tokenfile.decoded(blocks, codec) for r in b.to_pylist()]
+        assert got == [{"part": 1, "block": n, "place": i, "ids": whole[120 * i : 120 + 180 * i].astype("<u4").tobytes(), **d} for n in (1, 2) for i, d in enumerate(docs)]
