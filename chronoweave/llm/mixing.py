@@ -108,7 +108,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     lap = lap.select("no", "b", "n", "x", F.least(F.col("x") + F.col("size"), "reach").alias("y"))
     pieces = lap.withColumn("r", F.explode(F.sequence(F.floor(F.col("x") / block), F.floor((F.col("y") - 1) / block))))
     pieces = pieces.withColumn("words", F.least("y", (F.col("r") + 1) * block) - F.greatest("x", F.col("r") * block))
-    took = pieces.join(slots, ["no", "r"]).groupBy("no", "b", "n").agg(F.sum("words").alias("taken"), F.min("id").alias("first_slot"))
+    # neither side may be broadcast: sizes are guessed from laid's file, which doesn't show how many pieces a row gives
+    took = pieces.join(slots.hint("merge"), ["no", "r"]).groupBy("no", "b", "n").agg(F.sum("words").alias("taken"), F.min("id").alias("first_slot"))
     out = laid.join(took, ["no", "b", "n"], "left")
     return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "weight")
 
