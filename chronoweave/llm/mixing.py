@@ -122,7 +122,7 @@ def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """
     k, n, i = fresh(docs, "k", "n", "i")
     times = mix(docs, key, text, source, epochs=epochs).groupBy(F.col(key).alias(k)).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias(n))
-    taken = docs.join(times.where(F.col(n) > 0), F.col(key).eqNullSafe(F.col(k)))
+    taken = docs.join(times.where(F.col(n) > 0).hint("merge"), F.col(key).eqNullSafe(F.col(k)))
     return taken.withColumn(i, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 

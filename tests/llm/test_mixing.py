@@ -20,3 +20,13 @@ def test_pieces_and_slots_are_not_broadcast(spark):
         mixed = mixing.mix(docs)
         assert joins(mixed, "r") == ["SortMergeJoin"]
     assert sum(r.taken for r in mixed.collect()) == 12 * 4_000
+
+
+def test_repeated_texts_are_not_broadcast(spark, tmp_path):
+    copies = spark.range(400).selectExpr("id AS doc_id", "repeat('the same words ', 2000) AS text", "concat('s', id % 3) AS source")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")  # a small file of large texts
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    with settings(spark, LOOSE):
+        taken = mixing.repeat(docs)
+        assert joins(taken, "doc_id") == ["SortMergeJoin"]
+    assert taken.count() > 0 and taken.where("length(text) <> 30000").count() == 0
