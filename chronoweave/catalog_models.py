@@ -23,7 +23,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     Decimals add up to the same mean in any order: one that is a class's bound stays it. Values that aren't decimals of this size are added as they are.
     """
     exact = F.col("value").try_cast("decimal(24,8)")
-    mean = F.when(F.count("value") == F.count(exact), F.avg(exact).cast("double")).otherwise(F.avg("value"))
+    mean = F.when(F.count("value") == F.count_if(exact.cast("double") == F.col("value")), F.avg(exact).cast("double")).otherwise(F.avg("value"))
     other = read(spark, sf_dir, "events").where(~F.col("event_type").isin(*CHANNELS)).groupBy("user_id").agg(mean.alias("y"))
     label = F.when(F.col("y") < 45.8, 0).when(F.col("y") > 53.6, 2).otherwise(1)
     return other.select("user_id", label.alias("label"), F.least(F.greatest((F.col("y") - 50.0) / 10.0, F.lit(-3.0)), F.lit(3.0)).alias("target"))
